@@ -5,21 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiloom.llm import near_duplicates, quality_rules
+from lexiloom.llm import chat_format, decontamination, near_duplicates, packing, personal_data, quality_rules, tokens
 from lexiloom.llm.tables import table
+from lexiloom.plans.stash import stash
+
+
+def byte_bpe() -> str:
+    """Path of the public byte-level tokenizer that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_digest(spark, tokens.write_tokens(table(spark, sf_dir, "documents"), byte_bpe(), 2))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.span_digest(personal_data.find_personal_data(table(spark, sf_dir, "documents"), keep_text=False))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), 1)
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
+    written = stash(chat_format.format_conversations(turns), "chat")
+    return chat_format.conversation_digest(chat_format.read_windows(written))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_near_duplicates, op9_quality_rules)}
+    own = (op1_token_files, op3_decontamination, op4_personal_data, op5_near_duplicates, op6_packing, op8_chat_format, op9_quality_rules)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
