@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import chat_format, decontamination, near_duplicates, packing, personal_data, quality_rules, tokens
+from lexiloom.llm import chat_format, decontamination, licenses, near_duplicates, packing, personal_data, quality_model, quality_rules, secrets_forest, tokens
 from lexiloom.llm.tables import table
 from lexiloom.plans.stash import stash
 
@@ -23,6 +23,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(spark, tokens.write_tokens(table(spark, sf_dir, "documents"), byte_bpe(), 2))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +43,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), 1)
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -51,8 +59,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets_forest.train(secrets_forest.built_in_findings(spark))
+    return secrets_forest.find_secrets(table(spark, sf_dir, "documents"), forest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_files, op3_decontamination, op4_personal_data, op5_near_duplicates, op6_packing, op8_chat_format, op9_quality_rules)
+    own = (op1_token_files, op2_license_scan, op3_decontamination, op4_personal_data, op5_near_duplicates, op6_packing, op7_quality_model, op8_chat_format, op9_quality_rules, op10_secret_scan)
     return {f.__name__: f for f in own}
 
 
