@@ -107,13 +107,13 @@ def cutoffs(feats: DataFrame, labels: DataFrame, stratum: str = "lang", risk: fl
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     held = feats.where("not base_failed").join(good, "doc_id")
     sums = [F.sum((F.expr(SIGNALS[s]) > c).cast("long")).alias(f"{s}__{i}") for s in SIGNALS for i, c in enumerate(CUTOFFS[s])]
-    wide = held.groupBy(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")).agg(F.count("*").alias("n"), *sums)
+    wide = cut(held.groupBy(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")).agg(F.count("*").alias("n"), *sums))
     tests = [F.struct(F.lit(s).alias("signal"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"{s}__{i}").alias("k")) for s in SIGNALS for i, c in enumerate(CUTOFFS[s])]
     long = wide.select("stratum", "n", F.inline(F.array(*tests)))
-    strata = wide.agg(F.count("*").alias("strata"))
+    strata = wide.count()
     # k beyond n * risk can't pass: its tail is not computed
     tail = F.when(F.col("k") <= F.col("n") * risk, _log_tail(F.col("k"), F.col("n").cast("double"), risk)).otherwise(F.lit(0.0))
-    passed = long.withColumn("log_p", tail).join(F.broadcast(strata)).withColumn("ok", F.col("log_p") <= F.log(F.lit(confidence / len(SIGNALS)) / F.col("strata")))
+    passed = long.withColumn("log_p", tail).withColumn("ok", F.col("log_p") <= F.log(F.lit(confidence / len(SIGNALS) / max(1, strata))))
     first_bad = passed.groupBy("stratum", "signal").agg(F.min(F.when(~F.col("ok"), F.col("i"))).alias("bad"))
     kept = passed.join(first_bad, ["stratum", "signal"]).where("bad is null or i < bad")
     strict = kept.groupBy("stratum", "signal").agg(F.min_by("cutoff", -F.col("i")).alias("cutoff"))
