@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHORT, GRAM = 24, 8
+SHORT, GRAM, PIECE = 24, 8, 256
 
 
 def _numbers(first: Column, last: Column) -> Column:
@@ -31,13 +31,19 @@ def occurrences(needles: DataFrame, hay: DataFrame) -> DataFrame:
     found = subs.join(needles, "b").select("id", "hid", (F.col("p") - 1).alias("pos"))
 
     far = hay.where(F.length("h") > SHORT)
+    # pieces of PIECE characters that see GRAM - 1 more: a place in a piece is reached in constant time, one in a long string is not
+    cut = F.posexplode(F.regexp_extract_all("h", F.lit(rf"(?s)(?=(.{{1,{PIECE + GRAM - 1}}})).{{1,{PIECE}}}"), F.lit(1))).alias("i", "c")
+    spots = far.select("hid", cut).select("hid", "i", "c", F.explode(_numbers(F.lit(1), F.least(F.lit(PIECE), F.length("c")))).alias("p"))
+    place = (F.col("i") * PIECE + F.col("p")).alias("p")
     tiny = needles.where(F.length("b") < GRAM)
-    runs = far.select("hid", "h", at).select("hid", "p", F.explode(_numbers(F.lit(1), F.least(F.lit(GRAM - 1), F.length("h") - F.col("p") + 1))).alias("n"), "h")
-    short = runs.select("hid", "p", F.substring(F.col("h"), F.col("p"), F.col("n")).alias("b")).join(tiny, "b").select("id", "hid", (F.col("p") - 1).alias("pos"))
+    sizes = sorted(r["n"] for r in tiny.select(F.length("b").alias("n")).distinct().collect())  # at most GRAM - 1 numbers
+    runs = spots.select("hid", "i", "p", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("n"), "c").where("p + n <= length(c) + 1")
+    short = runs.select("hid", place, F.substring(F.col("c"), F.col("p"), F.col("n")).alias("b")).join(tiny, "b").select("id", "hid", (F.col("p") - 1).alias("pos"))
 
-    grams = far.select("hid", F.explode(_numbers(F.lit(1), F.length("h") - GRAM + 1)).alias("p"), "h").select("hid", "p", F.substring(F.col("h"), F.col("p"), F.lit(GRAM)).alias("g"))
-    counts = grams.groupBy("g").agg(F.count("*").alias("c"))
     asked = needles.where(F.length("b") >= GRAM).select("id", "b", F.explode(_numbers(F.lit(1), F.length("b") - GRAM + 1)).alias("o")).select("id", F.col("o"), F.substring(F.col("b"), F.col("o"), F.lit(GRAM)).alias("g"))
+    every = spots.where(F.col("p") + GRAM <= F.length("c") + 1).select("hid", place, F.substring(F.col("c"), F.col("p"), F.lit(GRAM)).alias("g"))
+    grams = every.join(asked.select("g").distinct(), "g")
+    counts = grams.groupBy("g").agg(F.count("*").alias("c"))
     rarest = asked.join(counts, "g", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "o", "g")).alias("x")).where("x.c > 0").select("id", F.col("x.o").alias("o"), F.col("x.g").alias("g"))
     hits = grams.join(rarest, "g").select("id", "hid", (F.col("p") - F.col("o") + 1).alias("p")).where("p > 0")
     long = hits.join(needles, "id").join(far, "hid").where(F.substring(F.col("h"), F.col("p"), F.length("b")) == F.col("b")).select("id", "hid", (F.col("p") - 1).alias("pos"))
