@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.hashing import WORD_TABLE, corpus_words, encode, gram_hashes
-from lexiloom.llm.tables import slices
+from lexiloom.llm.tables import slices, source
 
 GRAM, COMMON, ITEM_BLOCK = 4, 16, 5000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -148,7 +148,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     either side gives an empty result.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = source(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     total = items.count()
     blocks = max(1, -(-total // ITEM_BLOCK))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.hashing import WORD_TABLE, corpus_words, encode
-from lexiloom.llm.tables import slices
+from lexiloom.llm.tables import slices, source
 
 MIN_RUN, MAX_GAP, COVER = 3, 12, 0.6
 
@@ -208,5 +208,5 @@ def license_scan(docs: DataFrame) -> DataFrame:
     chains as label:start:end in words.  Null and empty texts have no words and no labels; null and repeated ids keep their
     rows; other columns are ignored; an empty table gives an empty result.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = source(docs)
     return src.mapInArrow(_scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string")

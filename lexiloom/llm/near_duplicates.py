@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.hashing import encode, mix, shingle_sets
-from lexiloom.llm.tables import slices
+from lexiloom.llm.tables import slices, source
 from lexiloom.operators.components import connected_components
 from lexiloom.plans.stash import cut, stash
 
@@ -159,11 +159,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     ``component_id`` is the smallest id reachable over links of Jaccard similarity 0.75 or more (set
     sizes in full), the row's own included.  Empty, blank and null texts have no shingles and link
-    with nothing.  Rows that repeat an id are versions of one document: a link of one is a link of all.
+    with nothing.  Rows that repeat an id are classed row by row, each by its own text.
     A row whose id is null is never linked: component_id null, kept true.  Other columns are ignored;
     an empty table gives an empty result.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = source(docs, id_col, text_col)
     sig = stash(src.mapInArrow(_signatures, "doc_id long, n_shingles long, c1 long, c2 long, keys array<long>, deep array<int>"), "signatures")
     real = sig.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
@@ -199,9 +199,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = left.groupBy("key", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max(F.struct("c", F.negative("comp").alias("m"))).alias("x"), F.sum("c").alias("all")).select("key", F.negative("x.m").alias("main"), F.ceil((F.col("all") - F.col("x.c")) / BLOCK).cast("int").alias("ns"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nm"))
     split = left.join(main, "key")
-    source = split.where("comp <> main").select("key", F.pmod(F.xxhash64("id"), F.col("ns")).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), F.lit(0).alias("role"), "id", "comp")
+    outer = split.where("comp <> main").select("key", F.pmod(F.xxhash64("id"), F.col("ns")).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), F.lit(0).alias("role"), "id", "comp")
     target = split.select("key", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("s"), F.pmod(F.xxhash64("id"), F.col("nm")).cast("int").alias("m"), F.lit(1).alias("role"), "id", "comp")
-    second = cut(_confirm(source.unionByName(target).select(F.xxhash64("key", "s", "m").alias("blk"), "role", "id", "comp"), texts))
+    second = cut(_confirm(outer.unionByName(target).select(F.xxhash64("key", "s", "m").alias("blk"), "role", "id", "comp"), texts))
     comps = connected_components(first.unionByName(second))
 
     named = classes.withColumnRenamed("doc_id", "rep").join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

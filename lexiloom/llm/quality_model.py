@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.hashing import encode, word_hashes
-from lexiloom.llm.tables import slices
+from lexiloom.llm.tables import slices, source
 from lexiloom.plans.stash import stash
 
 WORD_BUCKETS, SHAPE_BUCKETS, DIMS, REACH = 16384, 2048, 24, 2
@@ -167,7 +167,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     network's score for them.  A null id is not held out and not labelled.  Labels of null quality are left out.  Without labels of both kinds
     every score is the smoothed base rate.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = source(docs)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     vectors = word_vectors(src)
     feats = stash(src.mapInArrow(_pool(vectors), "doc_id long, features array<float>"), "pooled")

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm.tables import beside
 from lexiloom.plans.stash import cut
 
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
@@ -142,4 +143,4 @@ def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     calibrate and once beside the row, so that no text is shuffled."""
     slim = features(docs.select("doc_id", "lang", "text")).drop("text")
     limits = cut(cutoffs(slim, labels))
-    return judge(features(docs), limits).where("kept").select(*docs.columns)
+    return beside(docs, ["doc_id", "lang", "text"], lambda own: judge(features(own), limits).where("kept"))

@@ -6,17 +6,36 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiloom.plans.stash import stash
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Arrow batches to Python workers: at most so many rows and bytes, so that a stretch of very long texts stays bounded.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+
+
+def source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) of ``docs`` for a Python operator; bounds the session's Arrow batches."""
+    conf = docs.sparkSession.conf
+    rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if not 0 < rows <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def beside(docs: DataFrame, needed: list[str], work) -> DataFrame:
+    """``work`` on ``docs`` whose other columns are put aside under names that cannot clash; they come back as they were."""
+    aside = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in needed}
+    done = work(docs.withColumnsRenamed(aside))
+    return done.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one slice holds about ``budget`` bytes of text; whole rows only."""
     for batch in batches:
@@ -32,24 +51,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", budget: int =
         yield batch.slice(start)
 
 
-def running_total(df: DataFrame, order: list[str], weight: str, out: str, name: str) -> DataFrame:
+def prefix_within(fixed: DataFrame, order: list[str], weight: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over all rows that come before in ``order``.
 
-    Two passes: a range partitioning that is written to the shared folder (so its partitions stay
-    what they are), one sum per partition, then a running sum inside each partition.  Only one
-    number per partition reaches the driver.  Ties in ``order`` get any of their possible orders, so
-    ``order`` should name a key.
+    ``fixed`` is a stored table whose rows carry the number of their range of ``order`` in ``_part``.  One sum per range reaches
+    the driver; a window inside each range adds the rest, so no task sees the whole table.  ``order`` should name a key.
     """
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = df.repartitionByRange(int(parts), *[F.col(c).asc_nulls_first() for c in order])
-    fixed = stash(ranged.withColumn("_part", F.spark_partition_id()), name)
-    return prefix_within(fixed, order, weight, out)
-
-
-def prefix_within(fixed: DataFrame, order: list[str], weight: str, out: str) -> DataFrame:
-    """``running_total`` of a table that already carries its range number in ``_part``."""
-    from pyspark.sql import Window as W
-
     sums = fixed.groupBy("_part").agg(F.sum(weight).alias("w")).collect()
     ahead, base = 0, {}
     for row in sorted(sums, key=lambda r: r["_part"]):
@@ -60,8 +67,3 @@ def prefix_within(fixed: DataFrame, order: list[str], weight: str, out: str) ->
     inner = W.partitionBy("_part").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(W.unboundedPreceding, -1)
     run = fixed.withColumn("_run", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
     return run.join(F.broadcast(bases), "_part").withColumn(out, F.col("_run") + F.col("_base")).drop("_run", "_base", "_part")
-
-
-def task_index() -> int:
-    ctx = TaskContext.get()
-    return ctx.partitionId() if ctx else 0
