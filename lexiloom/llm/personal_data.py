@@ -6,7 +6,8 @@ then asks which other terms give a protected entity away: over the corpus, a ter
 
     bits(t, e) = log2( contexts(t, e) * documents / (documents(t) * documents(e)) ),
 
-where contexts(t, e) counts distinct surroundings, so that copies of one passage are one observation.  A term
+where contexts(t, e) counts distinct surroundings, so that copies of one passage are one observation; edited copies
+are told from new surroundings by their words, as each context has to bring ``FRESH`` new ones on average.  A term
 seen in at least ``MIN_CONTEXTS`` of them, whose share contexts(t, e) / documents(t) is at least ``MIN_SHARE`` and
 whose bits reach ``MIN_BITS``, discloses the entity: its occurrences are spans of kind ``term``.
 """
@@ -16,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm.tables import beside
 from lexiloom.plans.stash import cut
 
-REACH, MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 3, 3, 0.5, 6.0
+REACH, MIN_CONTEXTS, MIN_SHARE, MIN_BITS, FRESH = 3, 3, 0.5, 6.0, 3
 FILTER_BITS = 1 << 16
 
 _OPEN, _SHUT, _BLANK = "\ue000", "\ue001", "\u00a4"
@@ -129,7 +131,10 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_
     they are counted, and the counts themselves are exact.
     """
     seen = _observations(found)
-    pairs = cut(seen.select("e", "around", F.explode(F.array_distinct("near")).alias("term")).where(F.length("term") > 1).groupBy("e", "term").agg(F.count_distinct("around").alias("contexts")).where(F.col("contexts") >= min_contexts))
+    each = seen.select("e", "around", F.array_distinct("near").alias("words")).select("e", "around", "words", F.explode("words").alias("term")).where(F.length("term") > 1)
+    others = each.select("e", "term", "around", F.explode_outer(F.array_except("words", F.array("term"))).alias("other"))
+    counted = others.groupBy("e", "term").agg(F.count_distinct("around").alias("contexts"), F.count_distinct("other").alias("others"))
+    pairs = cut(counted.where((F.col("contexts") >= min_contexts) & (F.col("others") >= FRESH * F.col("contexts"))).drop("others"))
     bit = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS)).cast("int")
     hits = {r.b for r in pairs.select(bit.alias("b")).distinct().collect()}  # at most FILTER_BITS numbers
     if not hits:
@@ -149,18 +154,25 @@ def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
     hits = {r.b for r in terms.select(bit("term").alias("b")).distinct().collect()}
     bitmap = F.lit(bytearray(1 if i in hits else 0 for i in range(FILTER_BITS)))
-    text = clean_text()
-    key = docs.select("doc_id", F.xxhash64("text").alias("text_key"), text.alias("text"))
-    maybe = key.where(F.exists(F.array_distinct(_terms(F.col("text"))), lambda w: F.substring(bitmap, F.pmod(F.xxhash64(w), F.lit(FILTER_BITS)).cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01")))).distinct()
+    key = docs.select("doc_id", F.xxhash64("text").alias("text_key"), clean_text().alias("text"))
+    hit = lambda w: F.substring(bitmap, F.pmod(F.xxhash64(F.lower(w)), F.lit(FILTER_BITS)).cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
     pieces = F.split(F.regexp_replace("text", r"[\p{L}\p{N}]+", f"{_OPEN}$0{_SHUT}"), _OPEN)
-    at = maybe.select("doc_id", "text_key", F.posexplode(pieces).alias("i", "p"))
-    from pyspark.sql import Window as W
 
-    run = F.sum(F.length("p") - F.when(F.col("i") > 0, 1).otherwise(0)).over(W.partitionBy("doc_id", "text_key").orderBy("i").rowsBetween(W.unboundedPreceding, -1))
-    words = at.withColumn("start", F.coalesce(run, F.lit(0)).cast("int")).where("i > 0").withColumn("value", F.substring_index("p", _SHUT, 1))
-    hit = words.withColumn("term", F.lower("value")).join(terms.select("term"), "term")
-    span = F.struct(F.lit("term").alias("kind"), F.col("start").cast("int").alias("start"), (F.col("start") + F.length("value")).cast("int").alias("end"), F.col("value").alias("value"))
-    return hit.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(span)).alias("term_spans"))
+    def place(p: Column) -> Column:
+        first = F.struct(F.length(F.get(p, F.lit(0))).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
+
+        def step(a: Column, piece: Column) -> Column:
+            value = F.substring_index(piece, _SHUT, 1)
+            out = F.when(hit(value), F.array_append(a["out"], F.struct(a["at"].alias("start"), value.alias("value")))).otherwise(a["out"])
+            return F.struct((a["at"] + F.length(piece) - 1).alias("at"), out.alias("out"))
+
+        return F.aggregate(F.slice(p, F.lit(2), F.size(p)), first, step)["out"]
+
+    # only words that pass the bitmap leave the row
+    words = key.select("doc_id", "text_key", F.explode(_let(pieces, place)).alias("w")).distinct()
+    named = words.select("doc_id", "text_key", F.col("w.start").alias("start"), F.col("w.value").alias("value"), F.lower("w.value").alias("term"))
+    span = F.struct(F.lit("term").alias("kind"), "start", (F.col("start") + F.length("value")).alias("end"), "value")
+    return named.join(terms.select("term"), "term").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(span)).alias("term_spans"))
 
 
 _NONE = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -196,11 +208,12 @@ def span_digest(found: DataFrame) -> DataFrame:
 
 
 def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """Replace ``text_col`` by its text with every span as ``[KIND]``; overlapping spans merge under the first one's kind.
+    """Replace ``text_col`` by its text with every span as ``[KIND]``; overlapping spans merge under the
+    first one's kind, of equal starts the longest.
 
     Terms are removed down to ``[TERM]``.  A null text stays null.
     """
-    spans = F.sort_array(F.transform(F.concat("base_spans", "term_spans"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = F.sort_array(F.transform(F.concat("base_spans", "term_spans"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -215,7 +228,9 @@ def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
 
 def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
     """``docs`` with personal data replaced in ``text``; rows and columns stay (``n_chars`` follows the text)."""
-    out = redact(find_personal_data(docs, **limits))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+
+    def work(own: DataFrame) -> DataFrame:
+        out = redact(find_personal_data(own, **limits))
+        return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+    return beside(docs, ["doc_id", "text", "n_chars"], work)
