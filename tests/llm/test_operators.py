@@ -1,0 +1,472 @@
+"""The training-data operators against brute force, round trips, and awkward rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexiloom.llm import chat_format, decontamination, licenses, near_duplicates, packing, personal_data, quality_model, quality_rules, secrets_forest, tokens
+from lexiloom.llm.queries import byte_bpe
+
+LONG = " ".join(f"w{i % 911}x{i % 7}" for i in range(30_000))
+AWKWARD = [None, "", " \n\t ", "word", "a b c d", "Straße naïve — 東京 \U0001f600 ́", LONG, "mark a@b.co ￿", "tab\there\x0b\x0c\r\n\n\nx", "dup dup dup dup", "dup dup dup dup", "'s 'll  two   spaces \x85\xa0 end ", "0" * 3000, "a." * 3000 + "b@" + "c." * 3000 + "d"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, term_spans string, component_id string, kept string, key string, n_words string"
+
+
+@pytest.fixture(scope="module")
+def prose():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghilmnorstuv") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+
+    def make(n, seed):
+        own = random.Random(seed)
+        return " ".join(own.choice(words) for _ in range(n))
+
+    return make
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    def make(texts, ids=None):
+        rows = [(ids[i] if ids else i, t, "en" if i % 2 else None, "s", None, 7, "x", "x", "x", "x", "x") for i, t in enumerate(texts)]
+        return spark.createDataFrame(rows, SCHEMA)
+
+    return make
+
+
+@pytest.fixture(scope="module")
+def awkward(docs):
+    return docs([*AWKWARD, "null id", "same id", "same id again"], [*range(len(AWKWARD)), None, 500, 500])
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows(df, *order):
+    return df.orderBy(*order).collect()
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(byte_bpe())
+    t.encode_special_tokens = True
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_encoder_equals_the_tokenizer(tokenizer):
+    enc, rng = tokens.Encoder(byte_bpe()), random.Random(1)
+    texts = [t for t in AWKWARD if t] + ["<|endoftext|> x", "we'll it's 'S"]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x250), 32, 10, 39, 115, 97, 0xA0, 0x3B1])) for _ in range(rng.randrange(40))) for _ in range(500)]
+    for t, got in zip(texts, enc.encode_all(texts), strict=True):
+        assert got == np.array(tokenizer(t), "<u4").tobytes(), repr(t[:50])
+
+
+def test_encoder_forgets_without_changing_results(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "_CACHE_ENTRIES", 5)
+    enc = tokens.Encoder(byte_bpe())
+    for t in ["one two three four five six seven", "one two eight nine ten", "one seven", LONG[:5000], "one"]:
+        assert enc.encode(t) == np.array(tokenizer(t), "<u4").tobytes()
+
+
+def test_token_files(spark, awkward, tokenizer, tmp_path):
+    path = tokens.write_tokens(awkward.repartition(5), byte_bpe(), 2)
+    got = rows(tokens.token_digest(spark, path), "start")
+    assert [r["doc_id"] for r in got] == sorted((r["doc_id"] for r in awkward.collect()), key=lambda x: (x is not None, x))
+    at, by_id = 0, {r["doc_id"]: r["text"] for r in awkward.collect()}
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+        if r["doc_id"] not in (500,):
+            ids = [*tokenizer(by_id[r["doc_id"]]), 2]
+            assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert tokens.token_digest(spark, tokens.write_tokens(empty(spark), byte_bpe(), 2)).count() == 0
+
+
+def test_token_files_have_delta_ids_and_page_index(spark, docs, prose):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = tokens.write_tokens(docs([prose(50, i) for i in range(40)]), byte_bpe(), 2).removeprefix("file://")
+    part = max(glob.glob(f"{path}/*.parquet"), key=lambda f: pq.ParquetFile(f).metadata.num_rows)
+    group = pq.ParquetFile(part).metadata.row_group(0)
+    column = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+    assert "DELTA_BINARY_PACKED" in column["ids.list.element"].encodings and column["doc_id"].has_column_index
+    assert pq.read_table(part, columns=["doc_id", "n_tokens"]).num_columns == 2
+
+
+def test_packing(spark, awkward, tokenizer):
+    got = packing.pack(awkward, byte_bpe(), 1, with_ids=True).collect()
+    assert sorted(r["sequence_id"] for r in got) == list(range(len(got)))
+    by_id = {}
+    for r in got:
+        assert r["offset"] == 0 and r["length"] & (r["length"] - 1) == 0 and r["length"] <= 2048
+        assert zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+        by_id.setdefault(r["doc_id"], []).append(r)
+    for d in awkward.where("doc_id <> 500").collect():
+        parts = sorted(by_id[d["doc_id"]], key=lambda r: r["start"])
+        ids = np.array([*tokenizer(d["text"]), 1], "<u4").tobytes()
+        assert b"".join(bytes(r["ids"]) for r in parts) == ids and all(r["doc_tokens"] == len(ids) // 4 for r in parts)
+    order = sorted(got, key=lambda r: r["sequence_id"])
+    assert [r["length"] for r in order] == sorted((r["length"] for r in order), reverse=True)
+    assert packing.pack(empty(spark), byte_bpe(), 1).count() == 0
+
+
+def test_pieces():
+    assert packing.pieces(5000) == [2048, 2048, 512, 256, 128, 8] and packing.pieces(1) == [1] and packing.pieces(2048) == [2048]
+
+
+WORDS = re.compile("[^\x20\x09-\x0d]+")
+LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def shingles(text):
+    w = WORDS.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def components(texts):
+    sets, up = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    keys = list(texts)
+    for n, a in enumerate(keys):
+        for b in keys[:n]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in texts}
+
+
+def edited(text, edits, seed):
+    w, rng = text.split(" "), random.Random(seed)
+    for _ in range(edits):
+        w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def check_components(docs, texts):
+    got = {r["doc_id"]: r for r in near_duplicates.near_duplicate_classes(docs(list(texts.values()), list(texts))).collect()}
+    want = components(texts)
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+    assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+
+
+def test_near_duplicates_of_all_sizes(docs, prose):
+    texts = {100 + i: prose(60, i) for i in range(60)}
+    for i in range(25):
+        texts[300 + i] = edited(texts[100 + i], i % 5, i)
+        texts[400 + i] = edited(texts[300 + i], i % 4, 50 + i)
+    texts |= {600: "a b c d", 601: "A B  c\td", 602: "a b c", 603: "", 604: None, 605: "", 606: " ", 607: "A b C D"}
+    check_components(docs, texts)
+
+
+def test_near_duplicates_in_a_dense_region(docs, prose, monkeypatch):
+    """Most pairs of the region lie around the threshold; several blocks and rounds are needed."""
+    monkeypatch.setattr(near_duplicates, "DENSE", 8)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16)
+    base = prose(150, 1)
+    texts = {i: edited(base, random.Random(i).randrange(1, 14), i) for i in range(150)}
+    texts |= {200 + i: base for i in range(30)} | {300 + i: prose(40, i) + " " + base[:200] for i in range(40)}
+    check_components(docs, texts)
+
+
+def test_near_duplicates_awkward(spark, awkward):
+    got = near_duplicates.near_duplicate_classes(awkward).collect()
+    assert len(got) == awkward.count()
+    null = next(r for r in got if r["doc_id"] is None)
+    assert (null["component_id"], null["kept"]) == (None, True)
+    assert near_duplicates.near_duplicate_classes(empty(spark)).count() == 0
+    kept = near_duplicates.drop_near_duplicates(awkward)
+    assert kept.columns == awkward.columns and 10 not in {r["doc_id"] for r in kept.collect()}
+
+
+def rule_counts(text):
+    text = text or ""
+    w = WORDS.findall(text)
+    wins = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    seen, cover = Counter(wins), set()
+    for i, x in enumerate(wins):
+        if seen[x] > 1:
+            cover.update(range(i, i + 8))
+    lines = [x for x in text.split("\n") if WORDS.search(x)]
+    failed = len(w) < 20 or 100 * len(cover) > 30 * len(w)
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(cover), failed)
+
+
+def test_quality_rule_counts(spark, docs, awkward, prose):
+    texts = [*AWKWARD, "x y " * 30, prose(100, 1) + "\n" + prose(100, 1), "a\nb\na\n\n \na", "1 2 3 4 5 6 7 8 1 2 3 4 5 6 7 8 9", "z " * 8, "z " * 9, "#$%&|<>* " * 25]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_rules.quality_verdicts(docs(texts), labels).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == rule_counts(t), repr((t or "")[:40])
+        assert r["kept"] == (not r["base_failed"])
+    assert quality_rules.quality_verdicts(awkward, labels).count() == awkward.count()
+    assert quality_rules.quality_verdicts(empty(spark), labels).count() == 0
+
+
+def test_binomial_tail(spark):
+    from math import comb
+
+    for n, k, p in [(100, 0, 0.01), (100, 3, 0.05), (5000, 12, 0.005), (20000, 40, 0.005)]:
+        got = spark.range(1).select(quality_rules._log_tail(F.lit(k).cast("long"), F.lit(n).cast("double"), p).alias("x")).first()["x"]
+        terms = [comb(n, i) * (p**i) * (1 - p) ** (n - i) if n <= 5000 else None for i in range(k + 1)]
+        if None not in terms:
+            assert np.exp(got) == pytest.approx(sum(terms), rel=1e-6)
+        else:
+            assert got < 0
+
+
+def test_quality_rules_certify_and_reject(spark, docs, prose):
+    good = [prose(40, i) for i in range(1400)]
+    bad = [" ".join(w + "%$#" for w in prose(40, 5000 + i).split()) for i in range(20)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1400)] + [(1400 + i, 0, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    frame = docs(good + bad).withColumn("lang", F.lit("en"))
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_verdicts(frame, labels).collect()}
+    assert not any(got[1400 + i] for i in range(20)) and sum(got[i] for i in range(1400)) >= 1400 * (1 - quality_rules.RISK * len(quality_rules.SIGNALS))
+    kept = quality_rules.drop_rejected(frame, labels)
+    assert kept.columns == frame.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, k in got.items() if k}
+    few = quality_rules.quality_verdicts(frame.where("doc_id >= 1300"), labels)
+    assert few.where("not base_failed and not kept").count() == 0  # too few labels certify nothing
+
+
+BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def valid(kind, v):
+    d = re.sub("[^0-9]", "", v)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in v.split("."))
+    if kind == "card":
+        return 13 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+    return kind == "email" or 9 <= len(d) <= 15
+
+
+def base_spans(text):
+    return [(k, *m.span()) for k, p in BASE for m in re.finditer(p, text or "") if valid(k, m.group())]
+
+
+def test_personal_data_base(spark, docs, awkward):
+    rng = random.Random(5)
+    bits = ["a@b.co", "x.y_%z@d-e.f.g", "@", "..", "1.2.3.4", "256.1.1.1", "000255.1.2.3", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (743) 555-3824", "+49 (", "+12345678", " ", "\n", "é", "\U0001f600", "_", "-", "9", "a@b.co_x@d.ef", "x@y@z.com", "5", "", "4111111111111111 "]
+    texts = AWKWARD + ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(400)]
+    got = {r["doc_id"]: r for r in personal_data.span_digest(personal_data.find_personal_data(docs(texts), keep_text=False)).collect()}
+    for i, t in enumerate(texts):
+        want = base_spans(t)
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert got[i]["spans"] == text, repr((t or "")[:80])
+        assert got[i]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k, _ in BASE] == [sum(s[0] == k for s in want) for k, _ in BASE]
+    assert personal_data.find_personal_data(awkward).count() == awkward.count()
+    assert personal_data.find_personal_data(empty(spark)).count() == 0
+
+
+def test_disclosing_terms_are_removed(docs, prose):
+    texts = [prose(12, 10 + i) + f" Quentin {prose(1, 900 + i)} quentin@mail.org {prose(2, 700 + i)} meets" for i in range(6)]
+    texts += [prose(30, 100 + i) for i in range(600)] + ["only Quentin's report\nof QUENTIN"]
+    texts += [prose(10, 7) + " Ulrika wrote from ulrika@mail.org about it " + prose(9, 8) + f" note{i}" for i in range(9)]  # one passage, copied
+    frame = docs(texts)
+    found = personal_data.find_personal_data(frame)
+    named = {v["value"].lower() for r in found.collect() for v in r["term_spans"]}
+    assert "quentin" in named and "ulrika" not in named
+    clean = {r["doc_id"]: r["text"] for r in personal_data.sanitise(frame).collect()}
+    assert clean[606] == "only [TERM]'s report\nof [TERM]"
+    assert "quentin" not in clean[0].lower() and "[EMAIL]" in clean[0]
+    assert all(clean[i] == texts[i] for i in range(6, 606))
+    assert personal_data.sanitise(frame).columns == frame.columns
+
+
+def test_redaction_merges_overlaps(docs):
+    out = personal_data.sanitise(docs(["call +4111111111111 now", None, "ä 1.2.3.4 é"])).orderBy("doc_id").collect()
+    assert [r["text"] for r in out] == ["call [PHONE] now", None, "ä [IP] é"]
+
+
+def slow_score(a, b):
+    best, m = 0, [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            m[i][j] = max(0, m[i - 1][j - 1] + (2 if x == y else -1), m[i - 1][j] - 1, m[i][j - 1] - 1)
+            best = max(best, m[i][j])
+    return best
+
+
+def test_alignment_is_smith_waterman():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        a, b = rng.integers(0, 4, rng.integers(0, 15)), rng.integers(0, 4, rng.integers(0, 20))
+        score, lo, hi = decontamination.align(a, b)
+        assert score == slow_score(a.tolist(), b.tolist()) and (not score or slow_score(a.tolist(), b[lo:hi].tolist()) == score)
+
+
+def test_decontamination(spark, docs, prose, monkeypatch):
+    items = {i: prose(30, 50 + i) for i in range(20)} | {90: "two words", 91: "", 92: None}
+    texts = [prose(80, 900 + i) for i in range(60)]
+    planted = set()
+    for i in range(20):
+        w = items[i].split()
+        if i % 2:
+            w[7], w[20] = "CHANGED", "edited, inserted"
+        texts[i] = prose(20, 300 + i) + "\n" + ". ".join(w).upper() + prose(20, 400 + i)
+        planted.add((i, i))
+    texts[40] = "here are Two, words"
+    texts[41] = " ".join(items[3].split()[:9]) + " " + prose(30, 77)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = planted | {(40, 90)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contamination(docs(texts), bench).collect()} == want
+    monkeypatch.setattr(decontamination, "ITEM_BLOCK", 6)
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contamination(docs(texts), bench).collect()} == want
+    clean = decontamination.drop_contaminated(docs(texts), bench)
+    assert {r["doc_id"] for r in clean.collect()} == set(range(60)) - {d for d, _ in want} and clean.columns == docs(texts).columns
+
+
+def test_decontamination_awkward(spark, awkward):
+    bench = spark.createDataFrame([(1, "null id"), (1, "null id")], "item_id long, text string")
+    assert [r["doc_id"] for r in decontamination.contamination(awkward, bench).collect()] == [None]
+    assert decontamination.drop_contaminated(awkward, bench).count() == awkward.count()
+    assert decontamination.contamination(empty(spark), bench).count() == 0
+    assert decontamination.contamination(awkward, bench.limit(0)).count() == 0
+
+
+def test_suffix_automaton_statistics():
+    rng = random.Random(2)
+    for _ in range(40):
+        seqs = [[rng.randrange(3) for _ in range(rng.randrange(1, 12))] for _ in range(4)]
+        text = [rng.randrange(3) for _ in range(30)]
+        sam = licenses.SuffixAutomaton(seqs)
+        subs = {tuple(s[i:j]) for s in seqs for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+        for at, (state, n) in enumerate(sam.statistics(text), 1):
+            assert n == max(k for k in range(at + 1) if not k or tuple(text[at - k : at]) in subs)
+            for k, end in sam.ends[state].items() if n else ():
+                assert seqs[k][end - n + 1 : end + 1] == text[at - n : at]
+            if n:
+                assert set(sam.ends[state]) == {k for k, s in enumerate(seqs) if any(s[i : i + n] == text[at - n : at] for i in range(len(s)))}
+
+
+def test_license_scan(spark, docs, awkward, prose):
+    mit = licenses.TEMPLATES[2][1]
+    edited_mit = mit.replace("software and associated", "program and its associated").replace("publish,", "print, publish,")
+    texts = [prose(30, 1) + " Licensed under CC BY-NC 4.0. All rights reserved.", edited_mit + prose(9, 2), "cc by cc by", "permission is hereby granted", "the GNU\nGeneral, Public; LICENSE", *AWKWARD]
+    got = {r["doc_id"]: r for r in licenses.license_scan(docs(texts)).collect()}
+    assert (got[0]["n_base"], got[0]["base_labels"], got[0]["labels"]) == (2, "cc-by,reserved", "cc-by,cc-by-nc,reserved")
+    assert (got[0]["first_word"], got[0]["last_word"]) == (32, 37)
+    assert got[1]["labels"] == "mit" and 0.6 < got[1]["score"] <= 1 and got[1]["base_labels"] == ""
+    assert (got[2]["n_base"], got[2]["first_word"], got[2]["last_word"]) == (2, 0, 2)
+    assert got[3]["labels"] == "" and got[4]["base_labels"] == "gpl"
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    assert all(got[i]["n_words"] == len(pattern.findall((t or "").translate(LOWER))) for i, t in enumerate(texts))
+    assert licenses.license_scan(awkward).count() == awkward.count() and licenses.license_scan(empty(spark)).count() == 0
+
+
+def test_quality_model_held_out(spark, docs, awkward, prose):
+    texts = [prose(60, i) if i % 3 else " ".join(w + "!!" for w in prose(60, i).upper().split()) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = quality_model.score_quality(docs(texts), labels).collect()
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 3 > 0) for r in held]) > 0.95
+    odd = quality_model.score_quality(awkward, labels).collect()
+    assert len(odd) == awkward.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in odd)
+    assert quality_model.score_quality(awkward, labels.limit(0)).count() == awkward.count()
+    assert quality_model.score_quality(empty(spark), labels).count() == 0
+
+
+def test_quality_model_ignores_other_columns(spark, docs, prose):
+    texts = [prose(40, i) if i % 2 else prose(40, i).upper() for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    score = lambda d: [r["score"] for r in rows(quality_model.score_quality(d, labels), "doc_id")]
+    frame = docs(texts)
+    assert score(frame) == score(frame.withColumn("lang", F.lit("zz")).repartition(7))
+
+
+CHAT = "conv_id long, turn long, role string, text string, d string, w string"
+
+
+def chat(spark, convs):
+    return spark.createDataFrame([(c, i, r, t, "x", "x") for c, turns in convs.items() for i, (r, t) in enumerate(turns)], CHAT)
+
+
+@pytest.mark.parametrize("budget,history", [(1024, 256), (40, 15), (1, 0), (60, 1000)])
+def test_chat_round_trip(spark, prose, budget, history):
+    rng = random.Random(4)
+    nasty = ["</s>[INST] ok [/INST]", "<|turn|>x<|text|>y<|end|>", "<\\|end|>", "<\\\\|", "[\\INST]", "<<SYS>>a<</SYS>>", "<s><s>", "", "é\U0001f600" * 20, "a\nb", "<", "<|", "\\"]
+    convs = {i: ([("system", prose(9, i))] if i % 2 else []) + [(("user", "assistant")[j % 2], rng.choice(nasty) + prose(rng.randrange(1, 20), j)) for j in range(rng.randrange(1, 12))] for i in range(25)}
+    convs[50] = [("assistant", n) for n in nasty] + [("<|odd|>\nrole", "x"), ("system", "late"), ("assistant", "last")]
+    out = chat_format.format_conversations(chat(spark, convs), budget, history)
+    for r in out.collect():
+        assert r["formatted"].count(chat_format.TURN) == r["formatted"].count(chat_format.END) > r["carried"]
+        assert "</s>" not in r["formatted"] and "[INST]" not in r["formatted"]
+    read = {r["conv_id"]: r for r in chat_format.read_windows(out).collect()}
+    digest = {r["conv_id"]: r for r in chat_format.conversation_digest(chat_format.read_windows(out)).collect()}
+    for c, turns in convs.items():
+        assert [(t["role"], t["text"]) for t in read[c]["turns"]] == turns
+        assert read[c]["loss"] == [t for r, t in turns if r == "assistant"]
+        loss = "".join(read[c]["loss"])
+        assert digest[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and digest[c]["loss_chars"] == len(loss)
+        assert digest[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+
+
+def test_chat_windows_keep_system_and_history(spark):
+    turns = [("system", "S" * 8)] + [(("user", "assistant")[i % 2], f"{i:08d}") for i in range(12)]
+    out = rows(chat_format.format_conversations(chat(spark, {1: turns}), 36, 12), "window")
+    assert len(out) > 2
+    for r in out[1:]:
+        assert r["formatted"].startswith("<|turn|>system<|text|>SSSSSSSS<|end|>") and r["carried"] == 3
+        assert all("<|turn|>" not in r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"])
+
+
+def test_chat_awkward(spark):
+    rows_ = [(None, 1, "user", "x", "", ""), (1, None, None, None, "", ""), (1, 2, "assistant", None, "", ""), (1, 2, "assistant", "b", "", ""), (1, 2, "assistant", "b", "", "")]
+    got = {r["conv_id"]: r for r in chat_format.read_windows(chat_format.format_conversations(spark.createDataFrame(rows_, CHAT))).collect()}
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("", ""), ("assistant", ""), ("assistant", "b"), ("assistant", "b")]
+    assert len(got[None]["turns"]) == 1
+    assert chat_format.format_conversations(spark.createDataFrame([], CHAT)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets_forest.train(secrets_forest.built_in_findings(spark))
+
+
+def test_secret_scan(spark, docs, awkward, prose, forest):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
+    texts, want = [], []
+    for i, h in enumerate(hexes):
+        kind = i % 4
+        before = prose(10, i) + {0: ' token = "', 1: " password=", 2: " commit ", 3: " see /docs/api/"}[kind]
+        value = {0: h, 1: h[:18], 2: h, 3: "docs/public/index.html"}[kind]
+        texts.append(before + value + ('" ' if kind == 0 else " ") + prose(10, 99 + i))
+        want.append({f"{len(before)}:{len(before) + len(value)}"} if kind < 2 else set())
+    got = rows(secrets_forest.find_secrets(docs(texts), forest), "doc_id")
+    assert sum({x for x in r["secrets"].split(",") if x} == w for r, w in zip(got, want, strict=True)) >= 38
+    assert secrets_forest.find_secrets(awkward, forest).count() == awkward.count()
+    assert secrets_forest.find_secrets(empty(spark), forest).count() == 0
+
+
+def test_forest_column_equals_its_trees(spark, forest):
+    cols = secrets_forest.describe(F.col("value"), F.col("before"), F.col("after"))
+    sample = secrets_forest.built_in_findings(spark, 300).select("label", *[cols[f].cast("double").alias(f) for f in secrets_forest.FEATURES])
+    got = sample.select("label", F.struct(*secrets_forest.FEATURES).alias("x")).select("label", "x", forest.column(F.col("x")).alias("v")).collect()
+
+    def walk(node, x):
+        while isinstance(node, tuple):
+            node = node[2] if x[secrets_forest.FEATURES[node[0]]] <= node[1] else node[3]
+        return node
+
+    for r in got:
+        assert r["v"] == pytest.approx(np.mean([walk(t, r["x"]) for t in forest.trees]))
+    assert np.mean([(r["v"] >= secrets_forest.CUT) == bool(r["label"]) for r in got]) > 0.95
+    assert secrets_forest.train(secrets_forest.built_in_findings(spark).limit(0)).trees == []
