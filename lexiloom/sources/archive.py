@@ -6,6 +6,7 @@ only strings the blocks together, one at a time.
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
 from collections.abc import Iterator
@@ -168,3 +169,8 @@ def archive_size(lengths: np.ndarray, offsets: np.ndarray, payload: int) -> int:
     """Bytes of an ordered archive of these lines."""
     bits = len(lengths) * (bits_needed(int(lengths.max()) if len(lengths) else 0) + bits_needed(payload))
     return 12 + payload + len(uleb_encode(int(lengths.max()) if len(lengths) else 0)) + len(uleb_encode(len(lengths))) + -(-bits // 8)
+
+
+def encoding_metadata(pattern: str, special_tokens: dict[str, int]) -> str:
+    """The JSON that goes beside a tokenizer's archive: its split pattern and special tokens (by id)."""
+    return json.dumps({"pat_str": pattern, "special_tokens": dict(sorted(special_tokens.items(), key=lambda x: x[1]))}, ensure_ascii=False, indent=2) + "\n"

@@ -259,3 +259,12 @@ def test_write_archive_is_atomic(tmp_path, corpus):
 
         write_archive(path, broken(), b"\n")
     assert not (tmp_path / "x").exists()
+
+
+def test_encoding_metadata():
+    import json
+
+    from lexiloom.sources.archive import encoding_metadata
+
+    text = encoding_metadata("x|y", {"<|b|>": 9, "<|a|>": 7})
+    assert json.loads(text) == {"pat_str": "x|y", "special_tokens": {"<|a|>": 7, "<|b|>": 9}} and text.index("<|a|>") < text.index("<|b|>")
