@@ -8,24 +8,24 @@ fetches a few pages.  Documents stand in ascending ``doc_id`` order.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.tables import prefix_within, slices
+from lexiloom.llm.tables import prefix_within, slices, source
 from lexiloom.plans.stash import stash, stash_path
 
-#: The public byte-level BPE split pattern.
-SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: Below this code point letter and digit classes are the same in every Unicode version in use; texts beyond it
-#: go through the tokenizer's own splitter as a whole.
-SETTLED = 0x0250
-_CACHE_ENTRIES = 300_000
+#: Letters, numbers and white space below U+0250, the same in every Unicode version in use, and with
+#: them the public byte-level BPE split pattern.  Texts with other characters go through the tokenizer's own splitter as a whole.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+SPLIT = rf"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+_CACHE_ENTRIES = 250_000
 
 PARQUET = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -33,15 +33,23 @@ PARQUET = {
     "parquet.block.size": str(16 << 20),
     "parquet.page.size": str(64 << 10),
     "parquet.page.row.count.limit": "2000",
-    "compression": "zstd",
+    "compression": "snappy",
 }
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the characters from U+0100 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of whole texts, equal to the tokenizer's own, with a memory of pieces.
 
-    A byte-level BPE encodes each piece of its split pattern on its own, so each distinct piece is given to
-    the tokenizer once and its ids are kept (the memory is emptied when it holds ``_CACHE_ENTRIES`` pieces).
+    A byte-level BPE encodes each piece of its split pattern on its own, so each distinct piece of a batch is given to
+    the tokenizer's model once and its ids are kept (a tokenizer of another kind gets whole texts).  New pieces are remembered as young, those met again in a later batch as settled; a full
+    memory forgets, which costs time and changes no result.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,30 +57,65 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces: dict[str, bytes] = {}
-        self.split = regex.compile(SPLIT).findall
-        self.beyond = regex.compile(f"[^\x00-{chr(SETTLED - 1)}]").search
+        self.alphabet = _byte_alphabet()
+        self.settled: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.split = re.compile(SPLIT).findall
+        splitter = self.tokenizer.pre_tokenizer
+        known = isinstance(splitter, ByteLevel) and not splitter.add_prefix_space and splitter.use_regex and self.tokenizer.normalizer is None
+        self.beyond = re.compile("[^\x00-\u024f]" if known else "(?s).").search
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of single pieces, by the tokenizer's model: a piece has nothing left to split."""
+        run, table = self.tokenizer.model.tokenize, self.alphabet
+        return {p: array("I", [t.id for t in run(p.encode().decode("latin-1").translate(table))]).tobytes() for p in new}
+
+    def _look_up(self, parts: list[str]) -> list[bytes]:
+        found = list(map(self.settled.get, parts))
+        if None in found:
+            if len(self.settled) > _CACHE_ENTRIES:
+                self.settled.clear()
+            holes = [i for i, f in enumerate(found) if f is None]
+            lost = {parts[i] for i in holes}
+            own = {p: v for p in lost if (v := self.young.pop(p, None)) is not None}
+            self.settled.update(own)
+            fresh = self._pieces([p for p in lost if p not in own])
+            if len(self.young) + len(fresh) > _CACHE_ENTRIES:
+                self.young.clear()
+            self.young.update(fresh)
+            own.update(fresh)
+            for i in holes:
+                found[i] = own[parts[i]]
+        return found
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
+        parts: list[str] = []
+        ends: list[int] = []
+        odd: list[int] = []
+        for i, text in enumerate(texts):
+            if text and self.beyond(text):
+                odd.append(i)
+            elif text:
+                parts += self.split(text)
+            ends.append(len(parts))
+        found, out, at = self._look_up(parts), [], 0
+        for end in ends:
+            out.append(b"".join(found[at:end]))
+            at = end
+        for i in odd:
+            out[i] = self._whole([texts[i]])[0]
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of ``text`` as little-endian unsigned 32-bit integers; null is empty."""
-        if not text:
-            return b""
-        if self.beyond(text):
-            return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        parts = self.split(text)
-        try:
-            return b"".join(map(self.pieces.__getitem__, parts))
-        except KeyError:
-            distinct = set(parts)
-            if len(self.pieces) + len(distinct) > _CACHE_ENTRIES:
-                self.pieces.clear()
-            new = [p for p in distinct if p not in self.pieces]
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.pieces[p] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(self.pieces.__getitem__, parts))
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -89,8 +132,8 @@ def _tokenize(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in slices(batches):
-            ids = [enc.encode(t) + tail for t in batch.column(1).to_pylist()]
+        for batch in slices(batches, budget=2 << 20):
+            ids = [x + tail for x in enc.encode_all(batch.column(1).to_pylist())]
             offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), "<u4").view(np.int32))
             yield pa.record_batch(
@@ -103,7 +146,7 @@ def _tokenize(path: str, end_id: int):
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, ids of every row (null and empty texts: the end id alone)."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = source(docs)
     return src.mapInArrow(_tokenize(tokenizer, end_id), "doc_id long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
@@ -115,7 +158,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, name: str = "toke
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = source(docs)
     ranged = src.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     rows = token_table(ranged, tokenizer, end_id).withColumn("_part", F.spark_partition_id())
     if path is None:
