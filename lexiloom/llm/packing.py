@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.tables import prefix_within, slices
+from lexiloom.llm.tables import prefix_within, slices, source
 from lexiloom.llm.tokens import encoder
 from lexiloom.plans.stash import stash
 
@@ -33,10 +33,10 @@ def _cut(path: str, end_id: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, budget=2 << 20):
             cols: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + tail
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
+                ids += tail
                 n, start = len(ids) // 4, 0
                 for size in pieces(n, length):
                     part = ids[4 * start : 4 * (start + size)]
@@ -53,7 +53,7 @@ def decompose(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH
 
     Null and empty texts are one piece of the end id.  Null and repeated ids keep their rows.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = source(docs)
     return src.mapInArrow(_cut(tokenizer, end_id, length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
 
