@@ -183,6 +183,7 @@ def _block(src: DataFrame, ids: list[int], words: list[np.ndarray], threshold: f
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no test item; rows without a doc_id stay, as no finding can name them."""
+    """The documents that hold no test item.  Rows that repeat a contaminated row's id go with it; rows without an id stay, as no
+    finding can name them."""
     bad = contamination(docs, benchmark, threshold).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)

@@ -211,7 +211,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Keep one document of each group: the one with the smallest id.  Of rows that repeat an id, and of
-    documents without an id, all stay."""
-    gone = near_duplicate_classes(docs).where("not kept").select("doc_id").distinct()
+    """Keep one document of each group: the one with the smallest id.  Rows that repeat an id go together, and only if none of them
+    is kept; rows without an id stay."""
+    gone = near_duplicate_classes(docs).groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
