@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 MIN_LENGTH, TREES, DEPTH, MAX_FINDINGS, CUT = 12, 15, 6, 4000, 0.5
 
 _OPEN, _SHUT, _OTHER = "\ue000", "\ue001", "\u00a4"
-CANDIDATE = rf"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{{{MIN_LENGTH},}}+"
+CANDIDATE = rf"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/.-]{{{MIN_LENGTH},}}+(?:={{1,2}}(?![A-Za-z0-9_+/.=-]))?"
 
 #: Words that come before a secret, words of placeholders, and pieces of ordinary identifiers.
 KEY_WORDS = "api apikey auth authorization bearer credential key passphrase passwd password private pwd secret token access"
@@ -161,7 +161,7 @@ def find_secrets(docs: DataFrame, forest: Forest, cut: float = CUT) -> DataFrame
             value = F.substring_index(piece, _SHUT, 1)
             rest = F.substring(piece, F.length(value) + 2, F.length(piece))
             here = F.struct(a["at"].alias("start"), value.alias("value"), F.right(a["last"], F.lit(40)).alias("before"), F.left(rest, F.lit(2)).alias("after"))
-            return F.struct((a["at"] + F.length(piece) - 1).alias("at"), F.when(F.length(rest) > 0, rest).otherwise(a["last"]).alias("last"), F.when(value.rlike("[0-9]|[a-z][A-Z]"), F.array_append(a["out"], here)).otherwise(a["out"]).alias("out"))
+            return F.struct((a["at"] + F.length(piece) - 1).alias("at"), F.concat(value, rest).alias("last"), F.when(value.rlike("[0-9]|[a-z][A-Z]"), F.array_append(a["out"], here)).otherwise(a["out"]).alias("out"))
 
         return F.aggregate(F.slice(p, F.lit(2), F.size(p)), first, step)["out"]
 
