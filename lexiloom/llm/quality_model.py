@@ -155,7 +155,7 @@ def _score(net: Network):
         for batch in batches:
             if batch.num_rows:
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, 2 * DIMS).astype(np.float64)
-                yield pa.record_batch([batch.column(0), pa.array(net.probability(x))], names=["doc_id", "score"])
+                yield pa.record_batch([batch.column(0), pa.array(np.round(net.probability(x), 9))], names=["doc_id", "score"])
 
     return run
 
