@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.hashing import encode, word_hashes
-from lexiloom.llm.tables import slices, source
+from lexiloom.llm.tables import bounded_sample, slices, source
 from lexiloom.plans.stash import stash
 
 WORD_BUCKETS, SHAPE_BUCKETS, DIMS, REACH = 16384, 2048, 24, 2
@@ -172,7 +172,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     vectors = word_vectors(src)
     feats = stash(src.mapInArrow(_pool(vectors), "doc_id long, features array<float>"), "pooled")
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
-    train = feats.where(~held).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("features", "quality").collect()
+    rows = bounded_sample(feats.where(~held).join(marks, "doc_id"), ["doc_id"], max_train).select(F.xxhash64("doc_id").alias("h"), "doc_id", "features", "quality").collect()
+    train = sorted(rows, key=lambda r: (r.h, r.doc_id, r.features))[:max_train]
     x = np.array([r.features for r in train], np.float64).reshape(len(train), 2 * DIMS)
     net = Network(x, np.array([r.quality for r in train], np.float64))
     scored = feats.mapInArrow(_score(net), "doc_id long, score double")

@@ -13,6 +13,8 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.llm.tables import bounded_sample
+
 MIN_LENGTH, TREES, DEPTH, MAX_FINDINGS, CUT = 12, 15, 6, 4000, 0.5
 
 _OPEN, _SHUT, _OTHER = "\ue000", "\ue001", "\u00a4"
@@ -133,8 +135,9 @@ class Forest:
 def train(findings: DataFrame, max_findings: int = MAX_FINDINGS) -> Forest:
     """Forest from labelled findings (before, value, after, label), of at most ``max_findings`` by hash order."""
     cols = describe(F.coalesce("value", F.lit("")), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))
-    sample = findings.where("label is not null").orderBy(F.xxhash64("before", "value", "after"), "label").limit(max_findings)
-    rows = sample.select("label", *[cols[f].cast("double").alias(f) for f in FEATURES]).collect()
+    sample = bounded_sample(findings.where("label is not null"), ["before", "value", "after"], max_findings)
+    rows = sample.select(F.xxhash64("before", "value", "after").alias("h"), "label", *[cols[f].cast("double").alias(f) for f in FEATURES]).collect()
+    rows = sorted(rows)[:max_findings]
     return Forest([[r[f] for f in FEATURES] for r in rows], [int(r["label"]) for r in rows])
 
 

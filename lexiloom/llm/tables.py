@@ -29,6 +29,17 @@ def source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def bounded_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """About ``most`` rows of ``df`` by the hash of ``keys`` (all of them, if there are no more): the same ones at every call.
+
+    A threshold on the hash is set from one count, so no task keeps a list of candidates and the driver gets what it asked for.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < F.lit(int((1 << 30) * most / n)))
+
+
 def beside(docs: DataFrame, needed: list[str], work) -> DataFrame:
     """``work`` on ``docs`` whose other columns are put aside under names that cannot clash; they come back as they were."""
     aside = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in needed}
