@@ -186,7 +186,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     texts = stash(src.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "text"), "candidate-texts")
 
     star = cut(star)
-    wide = star.groupBy("top").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    wide = cut(star.groupBy("top").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")))  # stored: then the join can split a large top
     spread = star.join(wide, "top").select("top", "id", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("b"))
     leaf = spread.select(F.xxhash64("top", "b").alias("blk"), F.lit(1).alias("role"), "id", F.col("id").alias("comp"))
     hub = spread.select("top", "b").distinct().select(F.xxhash64("top", "b").alias("blk"), F.lit(0).alias("role"), F.col("top").alias("id"), F.col("top").alias("comp"))
