@@ -17,19 +17,22 @@ def _numbers(first: Column, last: Column) -> Column:
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
-def occurrences(needles: DataFrame, hay: DataFrame) -> DataFrame:
-    """(id, hid, pos): every place (from 0) where needle ``b`` stands in haystack ``h``.
+def _asked(needles: DataFrame, hay: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return needles.select("id", "b").where(F.length("b") > 0), hay.select("hid", "h").where(F.length("h") > 0)
 
-    ``needles``: id, b; ``hay``: hid, h.  A string occurs in itself; empty and null strings occur nowhere.
-    """
-    needles = needles.select("id", "b").where(F.length("b") > 0)
-    hay = hay.select("hid", "h").where(F.length("h") > 0)
-    at = F.explode(_numbers(F.lit(1), F.length("h"))).alias("p")
 
+def _substrings(hay: DataFrame, proper: bool = False) -> DataFrame:
+    """(hid, p, b): the substrings of short haystacks with their places from 1."""
+    at = F.explode(_numbers(F.lit(1), F.length("h"))).alias("p")
     near = hay.where(F.length("h") <= SHORT).select("hid", "h", at)
-    subs = near.select("hid", F.col("p"), F.explode(_numbers(F.lit(1), F.length("h") - F.col("p") + 1)).alias("n"), "h").select("hid", "p", F.substring(F.col("h"), F.col("p"), F.col("n")).alias("b"))
-    found = subs.join(needles, "b").select("id", "hid", (F.col("p") - 1).alias("pos"))
+    subs = near.select("hid", "p", F.explode(_numbers(F.lit(1), F.length("h") - F.col("p") + 1)).alias("n"), "h")
+    if proper:
+        subs = subs.where(F.col("n") < F.length("h"))
+    return subs.select("hid", "p", F.substring(F.col("h"), F.col("p"), F.col("n")).alias("b"))
+
 
+def _in_long(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """(id, hid, pos) in haystacks of over SHORT bytes."""
     far = hay.where(F.length("h") > SHORT)
     # pieces of PIECE characters that see GRAM - 1 more: a place in a piece is reached in constant time, one in a long string is not
     cut = F.posexplode(F.regexp_extract_all("h", F.lit(rf"(?s)(?=(.{{1,{PIECE + GRAM - 1}}})).{{1,{PIECE}}}"), F.lit(1))).alias("i", "c")
@@ -47,7 +50,40 @@ def occurrences(needles: DataFrame, hay: DataFrame) -> DataFrame:
     rarest = asked.join(counts, "g", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "o", "g")).alias("x")).where("x.c > 0").select("id", F.col("x.o").alias("o"), F.col("x.g").alias("g"))
     hits = grams.join(rarest, "g").select("id", "hid", (F.col("p") - F.col("o") + 1).alias("p")).where("p > 0")
     long = hits.join(needles, "id").join(far, "hid").where(F.substring(F.col("h"), F.col("p"), F.length("b")) == F.col("b")).select("id", "hid", (F.col("p") - 1).alias("pos"))
-    return found.unionByName(short).unionByName(long)
+    return short.unionByName(long)
+
+
+def _any_long(hay: DataFrame) -> bool:
+    return bool(hay.where(F.length("h") > SHORT).head(1))
+
+
+def occurrences(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """(id, hid, pos): every place (from 0) where needle ``b`` stands in haystack ``h``.
+
+    ``needles``: id, b; ``hay``: hid, h.  A string occurs in itself; empty and null strings occur nowhere.
+    """
+    needles, hay = _asked(needles, hay)
+    found = _substrings(hay).join(needles, "b").select("id", "hid", (F.col("p") - 1).alias("pos"))
+    return found.unionByName(_in_long(needles, hay)) if _any_long(hay) else found
+
+
+def first_occurrences(needles: DataFrame, hay: DataFrame, proper: bool = False) -> DataFrame:
+    """(id, hid, pos): the first place of each needle that has one, by ``hid``, then by place.
+
+    ``proper``: not as the whole of a haystack.  Equal substrings meet on the map side before anything is shuffled, so a
+    one-letter needle costs one row per task and not one per place.
+    """
+    needles, hay = _asked(needles, hay)
+    # one long per place: a struct would need a sort instead of a hash aggregation
+    near = _substrings(hay, proper).groupBy("b").agg(F.min(F.col("hid") * 32 + F.col("p")).alias("x"))
+    found = near.join(needles, "b").select("id", F.shiftright("x", 5).alias("hid"), (F.col("x").bitwiseAND(F.lit(31)) - 1).cast("int").alias("pos"))
+    if not _any_long(hay):
+        return found
+    far = _in_long(needles, hay)
+    if proper:
+        sized = needles.select("id", F.length("b").alias("nb"))
+        far = far.join(sized, "id").join(hay.where(F.length("h") > SHORT).select("hid", F.length("h").alias("nh")), "hid").where("nb < nh").select("id", "hid", "pos")
+    return found.unionByName(far).groupBy("id").agg(F.min(F.struct("hid", "pos")).alias("x")).select("id", "x.hid", "x.pos")
 
 
 def contained_pairs(vocab: DataFrame) -> DataFrame:
@@ -57,7 +93,7 @@ def contained_pairs(vocab: DataFrame) -> DataFrame:
 
 def survivors(vocab: DataFrame) -> DataFrame:
     """The words that stand in no other word.  A vocabulary of one word stays as it is; of several, the empty word goes."""
-    gone = contained_pairs(vocab).select("id").distinct()
+    gone = first_occurrences(vocab, vocab.select(F.col("id").alias("hid"), F.col("b").alias("h")), proper=True).select("id")
     other = vocab.where(F.length("b") > 0).limit(1).select(F.lit("").alias("b"))
     alone = vocab.where(F.length("b") == 0).join(other, "b", "left_anti")
     return vocab.where(F.length("b") > 0).join(gone, "id", "left_anti").unionByName(alone.select(*vocab.columns))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.functions.bytesview import bits_needed, uleb128_hex, uleb128_size
-from lexiloom.operators.containment import occurrences
+from lexiloom.operators.containment import first_occurrences
 from lexiloom.plans.running import running
 
 
@@ -24,8 +24,8 @@ def locate(vocab: DataFrame, kept: DataFrame, superwords: DataFrame, places: Dat
     """
     own = places.join(superwords.select("island_id", "base"), "island_id").select("id", (F.col("base") + F.col("start")).alias("offset"))
     rest = vocab.where(F.length("b") > 0).join(kept.select("id"), "id", "left_anti")
-    inside = occurrences(rest, kept.select(F.col("id").alias("hid"), F.col("b").alias("h"))).groupBy("id").agg(F.min(F.struct("hid", "pos")).alias("x"))
-    via = inside.select("id", F.col("x.hid").alias("hid"), F.col("x.pos").alias("pos")).join(own.withColumnRenamed("id", "hid"), "hid").select("id", (F.col("offset") + F.col("pos")).alias("offset"))
+    inside = first_occurrences(rest, kept.select(F.col("id").alias("hid"), F.col("b").alias("h")))
+    via = inside.join(own.withColumnRenamed("id", "hid"), "hid").select("id", (F.col("offset") + F.col("pos")).alias("offset"))
     all_ = own.unionByName(via)
     return vocab.join(all_, "id", "left").select("id", "b", F.when(F.length("b") == 0, F.lit(0)).otherwise(F.col("offset")).cast("long").alias("offset"), F.length("b").cast("long").alias("length"))
 

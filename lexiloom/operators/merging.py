@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.operators.assembly import Options
-from lexiloom.operators.containment import occurrences
+from lexiloom.operators.containment import first_occurrences
 from lexiloom.operators.kernels.paths import overlap
 from lexiloom.plans.build import build_dictionary
 from lexiloom.plans.stash import stash
@@ -34,7 +34,7 @@ def split_update(words: DataFrame, chunks: DataFrame) -> DataFrame:
     Any place counts, also across the borders of primary words.  The empty word is at 0.  Repeats keep their rows.
     """
     distinct = words.groupBy("b").agg(F.min("line_no").alias("id"))
-    hits = occurrences(distinct, chunks).groupBy("id").agg(F.min(F.col("hid") + F.col("pos")).alias("offset"))
+    hits = first_occurrences(distinct, chunks).select("id", (F.col("hid") + F.col("pos")).alias("offset"))
     found = distinct.join(hits, "id", "left").select("b", F.when(F.length("b") == 0, F.lit(0)).otherwise(F.col("offset")).cast("long").alias("offset"))
     return words.join(found, "b", "left")
 
