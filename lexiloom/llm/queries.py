@@ -69,5 +69,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_NEAR = r"""WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d),
+n AS (SELECT doc_id, len(x) AS n FROM s),
+e AS (SELECT doc_id, unnest(x) AS x FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 75 * (a.n + b.n - c)),
+y AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y.u, r.root FROM r JOIN y ON y.v = r.id)
+SELECT doc_id, n AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM n JOIN r ON r.id = doc_id GROUP BY doc_id, n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Near duplicates are plain SQL.  The others rest on a tokenizer, a trained or calibrated model, an alignment or the format's windows."""
+    return {"op5_near_duplicates": _NEAR}
