@@ -41,8 +41,18 @@ def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(stash_path(df, name, **options))
 
 
+_RUN = uuid.uuid4().hex
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this driver process has stashed.  Results that still read them fail afterwards, so this is for the
+    end of a job; checkpoints are left to Spark's own cleaner."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/stash-{_RUN}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stash_path(df: DataFrame, name: str, **options: str) -> str:
-    path = f"{shared_dir(df.sparkSession)}/stash/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/stash-{_RUN}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     for k, v in options.items():
         writer = writer.option(k, v)

@@ -268,3 +268,14 @@ def test_encoding_metadata():
 
     text = encoding_metadata("x|y", {"<|b|>": 9, "<|a|>": 7})
     assert json.loads(text) == {"pat_str": "x|y", "special_tokens": {"<|a|>": 7, "<|b|>": 9}} and text.index("<|a|>") < text.index("<|b|>")
+
+
+def test_stashed_tables_can_be_cleared(spark):
+    import os
+
+    from lexiloom.plans import stash
+
+    path = stash.stash_path(spark.range(3), "t").removeprefix("file://")
+    assert os.path.isdir(path)
+    stash.clear(spark)
+    assert not os.path.isdir(path)
