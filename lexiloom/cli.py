@@ -56,7 +56,7 @@ def _build(spark: SparkSession, a: argparse.Namespace) -> int:
     ga = None
     if a.ga_time > 0 or a.ga_iters > 0:
         ga = Settings(max(0, a.ga_pop), max(0, a.ga_tourney), max(0, a.ga_stag), a.ga_iters or 10**9, a.ga_time or None, a.ga_seed)
-    built = build_dictionary(corpus, Options(a.min_overlap, a.dp_limit, a.ga_time, ga), not a.unordered, separator)
+    built = build_dictionary(corpus, Options(a.min_overlap, a.dp_limit, a.ga_time, ga, verbose=a.verbose), not a.unordered, separator)
     size = built.write(a.output, a.metadata)
     if a.verbose:
         print(f"{a.output}: {size} bytes, payload/raw {built.compression():.3f}", file=sys.stderr)

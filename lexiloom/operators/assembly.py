@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.bytesview import max_overlap
 from lexiloom.operators.kernels.exact import MOST, solve_exact
-from lexiloom.operators.kernels.genetic import Settings, solve_genetic
+from lexiloom.operators.kernels.genetic import Settings, Telemetry, solve_genetic
 from lexiloom.operators.kernels.greedy import solve_greedy
 from lexiloom.operators.kernels.paths import join_path
 from lexiloom.plans.running import running
@@ -29,6 +29,7 @@ class Options:
     ga_seconds: float = 0.0
     ga: Settings | None = None
     slice_words: int = SLICE
+    verbose: bool = False
 
     def genetic(self) -> Settings | None:
         if self.ga is not None:
@@ -72,6 +73,7 @@ _SOLVED = "grp string, id long, start long, ov int, seq int, sw string, solver s
 
 def _solver(options: Options):
     ga, limit = options.genetic(), min(options.dp_limit, MOST)
+    log = Telemetry() if options.verbose else None
 
     def solve(ids: list[int], texts: list[str], budget: float, rows: list[tuple], grp: str, may_exact: bool) -> None:
         words = [t.encode("latin-1") for t in texts]
@@ -81,7 +83,7 @@ def _solver(options: Options):
             (path, gains), name = solve_exact(words), "exact"
         elif ga is not None and (ga.seconds is None or budget >= LEAST_SECONDS):
             timed = ga if ga.seconds is None else replace(ga, seconds=min(ga.seconds, budget))
-            (path, gains), name = solve_genetic(words, options.min_overlap, timed), "genetic"
+            (path, gains), name = solve_genetic(words, options.min_overlap, timed, log), "genetic"
         else:
             (path, gains), name = solve_greedy(words, options.min_overlap), "greedy"
         text, starts = join_path(words, path, gains)

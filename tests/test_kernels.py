@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from lexiloom.functions.bytesview import unescape_separator
 from lexiloom.operators.kernels.exact import MOST, solve_exact
-from lexiloom.operators.kernels.genetic import Settings, clamp, crossover, first_population, move_one, scramble_span, solve_genetic, swap_two, tournament
+from lexiloom.operators.kernels.genetic import Settings, Telemetry, clamp, crossover, first_population, move_one, scramble_span, solve_genetic, swap_two, tournament
 from lexiloom.operators.kernels.greedy import LONGEST, solve_greedy
 from lexiloom.operators.kernels.paths import Overlaps, borders, join_path, overlap
 from lexiloom.sources import codecs
@@ -91,7 +91,7 @@ def plain_greedy(words, k):
     return path, [gain.get(i, 0) for i in path]
 
 
-@pytest.mark.parametrize("seed,k", itertools.product(range(6), (0, 1, 3)))
+@pytest.mark.parametrize("seed,k", list(itertools.product(range(6), (0, 1, 3))))
 def test_greedy_follows_the_rule(seed, k):
     words = strings(25, seed)
     assert solve_greedy(words, k) == plain_greedy(words, max(1, k))
@@ -141,6 +141,15 @@ def test_genetic_is_seeded_and_not_worse():
     assert first == solve_genetic(words, 3, options) and len(superstring(words, *first)) <= greedy and "stagnation" in told
 
 
+def test_telemetry_is_rate_limited(caplog):
+    log = Telemetry(every=60)
+    with caplog.at_level("INFO", "lexiloom.genetic"):
+        for i in range(5):
+            log("optimum", {"step": i})
+        log("stagnation", {})
+    assert [r.args[0] for r in caplog.records] == ["optimum", "stagnation"]
+
+
 def test_genetic_stops_in_time():
     import time
 
