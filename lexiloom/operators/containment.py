@@ -94,9 +94,8 @@ def contained_pairs(vocab: DataFrame) -> DataFrame:
 def survivors(vocab: DataFrame) -> DataFrame:
     """The words that stand in no other word.  A vocabulary of one word stays as it is; of several, the empty word goes."""
     gone = first_occurrences(vocab, vocab.select(F.col("id").alias("hid"), F.col("b").alias("h")), proper=True).select("id")
-    other = vocab.where(F.length("b") > 0).limit(1).select(F.lit("").alias("b"))
-    alone = vocab.where(F.length("b") == 0).join(other, "b", "left_anti")
-    return vocab.where(F.length("b") > 0).join(gone, "id", "left_anti").unionByName(alone.select(*vocab.columns))
+    words = vocab.where(F.length("b") > 0)
+    return words.join(gone, "id", "left_anti") if words.head(1) else vocab
 
 
 def survivors_by_force(words: list[bytes]) -> list[bytes]:
