@@ -194,7 +194,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     comps = connected_components(first)
 
     now = members.join(comps.select("id", "component"), "id", "left").select("key", "id", "top", "n", F.coalesce("component", "id").alias("comp"))
-    open_keys = now.where("id <> top and n > 2").groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+    # a region's first document has met all others already, but in a dense one only the first of each part
+    unmet = (F.col("n") > 2) & ((F.col("id") != F.col("top")) | (F.col("n") > DENSE))
+    open_keys = now.where(unmet).groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
     left = cut(now.join(open_keys, "key").select("key", "id", "n", "comp"))
     sizes = left.groupBy("key", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max(F.struct("c", F.negative("comp").alias("m"))).alias("x"), F.sum("c").alias("all")).select("key", F.negative("x.m").alias("main"), F.ceil((F.col("all") - F.col("x.c")) / BLOCK).cast("int").alias("ns"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nm"))
