@@ -17,6 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Arrow batches to Python workers: at most so many rows and bytes, so that a stretch of very long texts stays bounded.
 BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+#: Ranges whose sums are broadcast; more are joined by key.
+MOST_RANGES = 1_000_000
 
 
 def source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,4 +79,5 @@ def prefix_within(fixed: DataFrame, order: list[str], weight: str, out: str) ->
     bases = spark.createDataFrame([(k, v) for k, v in base.items()], "_part int, _base long")
     inner = W.partitionBy("_part").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(W.unboundedPreceding, -1)
     run = fixed.withColumn("_run", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
-    return run.join(F.broadcast(bases), "_part").withColumn(out, F.col("_run") + F.col("_base")).drop("_run", "_base", "_part")
+    few = len(base) <= MOST_RANGES
+    return run.join(F.broadcast(bases) if few else bases, "_part").withColumn(out, F.col("_run") + F.col("_base")).drop("_run", "_base", "_part")

@@ -174,6 +174,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, n_tokens long, ids_crc32 long, ids array<int>, _part int").parquet(path)
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32: the column chunks of the ids are not touched."""
+    return read_tokens(spark, path).select("doc_id", "n_tokens", "ids_crc32")
+
+
+def read_documents(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:
+    """The rows of ``low <= doc_id <= high``: as files are in order of doc_id, their statistics and page indexes leave few pages to read."""
+    return read_tokens(spark, path).where(F.col("doc_id").between(low, high)).drop("_part")
+
+
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lengths and checksums from the ids that were read, one list at a time."""
     for batch in batches:

@@ -100,7 +100,11 @@ def test_token_files_have_delta_ids_and_page_index(spark, docs, prose):
     group = pq.ParquetFile(part).metadata.row_group(0)
     column = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
     assert "DELTA_BINARY_PACKED" in column["ids.list.element"].encodings and column["doc_id"].has_column_index
-    assert pq.read_table(part, columns=["doc_id", "n_tokens"]).num_columns == 2
+    spark = docs([]).sparkSession
+    some = tokens.read_documents(spark, path, 5, 7)
+    assert sorted(r["doc_id"] for r in some.collect()) == [5, 6, 7] and "GreaterThanOrEqual(doc_id,5)" in some._jdf.queryExecution().executedPlan().toString()
+    assert "ids:array" not in tokens.read_metadata(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert tokens.read_metadata(spark, path).count() == 40
 
 
 def test_packing(spark, awkward, tokenizer):
