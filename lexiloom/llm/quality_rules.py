@@ -18,7 +18,7 @@ from lexiloom.llm.tables import beside
 from lexiloom.plans.stash import cut
 
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
-RISK, CONFIDENCE = 0.005, 0.05
+RISK, CONFIDENCE, MOST_STRATA = 0.005, 0.05, 10_000
 
 #: Signals, all rising with worse text, and their cutoffs from lenient to strict.
 SIGNALS: dict[str, str] = {
@@ -122,25 +122,38 @@ def cutoffs(feats: DataFrame, labels: DataFrame, stratum: str = "lang", risk: fl
 
 
 def judge(feats: DataFrame, limits: DataFrame, stratum: str = "lang") -> DataFrame:
-    """Add ``kept``: false where a base rule fails or a signal exceeds its stratum's certified cutoff."""
+    """Add ``kept``: false where a base rule fails or a signal exceeds its stratum's certified cutoff.
+
+    ``limits`` has a row per stratum; it is broadcast if it has at most ``MOST_STRATA``, else joined by its key.
+    """
     bad = F.lit(False)
     for s in SIGNALS:
         bad = bad | F.coalesce(F.expr(SIGNALS[s]) > F.col(f"max_{s}"), F.lit(False))
-    joined = feats.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit(""))).join(limits.withColumnRenamed("stratum", "_stratum"), "_stratum", "left")
+    named = limits.withColumnRenamed("stratum", "_stratum")
+    few = limits.count() <= MOST_STRATA
+    joined = feats.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit(""))).join(F.broadcast(named) if few else named, "_stratum", "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~bad).drop("_stratum", *[f"max_{s}" for s in SIGNALS])
 
 
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Counts and verdicts, with a hash of the text beside the id.  The counts are computed once and stored: a filter on them
+    would otherwise be pushed below and compute them again for each mention."""
+    feats = features(docs.select("doc_id", "lang", "text")).withColumn("text_key", F.xxhash64("text"))
+    stored = cut(feats.select("doc_id", "lang", "text_key", *_COUNTS, "n_lines", "n_upper", "base_failed"))
+    return judge(stored, cut(cutoffs(stored, labels)))
+
+
 def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed and kept of every row of ``docs``."""
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    feats = cut(features(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", *counts, "n_lines", "n_upper", "base_failed"))
-    limits = cut(cutoffs(feats, labels))
-    return judge(feats, limits).select("doc_id", *counts, "base_failed", "kept")
+    return _judged(docs, labels).select("doc_id", *_COUNTS, "base_failed", "kept")
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, columns unchanged.  The counts are computed twice, once to
-    calibrate and once beside the row, so that no text is shuffled."""
-    slim = features(docs.select("doc_id", "lang", "text")).drop("text")
-    limits = cut(cutoffs(slim, labels))
-    return beside(docs, ["doc_id", "lang", "text"], lambda own: judge(features(own), limits).where("kept"))
+    """The rows of ``docs`` that the rules keep, columns unchanged.  A rejected row is found by its id, language and text, so of rows
+    that repeat an id each has its own verdict."""
+    gone = _judged(docs, labels).where("not kept").select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"), F.col("text_key").alias("_t")).distinct()
+    match = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("lang").eqNullSafe(F.col("_l")) & (F.xxhash64("text") == F.col("_t"))
+    return beside(docs, ["doc_id", "lang", "text"], lambda own: own.join(gone, match, "left_anti"))
