@@ -1,5 +1,7 @@
 """Connected components by alternating large-star and small-star contractions.
 
+Edges up to a number that the caller sets go to one task instead, a union-find over arrays: a few dozen shuffles cost more than that.
+
 Both contractions are a partial-aggregated ``min`` per node followed by an equi-join, so a node
 with very many neighbours is reduced on the map side and its join partition can be split by AQE.
 The number of rounds grows with the logarithm of the longest path, not with the path.
@@ -7,6 +9,10 @@ The number of rounds grows with the logarithm of the longest path, not with the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +31,38 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, left: str = "u", right: str = "v", max_rounds: int = 60) -> DataFrame:
+def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the smallest node of each one's component."""
+    nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = flat[: len(u)], flat[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        # hook the roots of both ends to the smaller label, then jump to the root of roots
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while True:
+            far = new[new]
+            if np.array_equal(far, new):
+                break
+            new = far
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        nodes, low = smallest_reachable(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(low, pa.int64())], names=["id", "component"])
+
+
+def connected_components(edges: DataFrame, left: str = "u", right: str = "v", max_rounds: int = 60, small: int = 0) -> DataFrame:
     """``(id, component)`` for every node that has an edge; ``component`` is the smallest id of it.
 
+    ``small``: up to so many distinct edges are solved in one task.
     Null endpoints and loops are no edges: a node with only a loop does not appear.  Repeated and
     reversed edges count once.  An empty edge table gives an empty result.
     """
@@ -37,6 +72,8 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ma
         .distinct()
     )
     e, seen = cut(e), None
+    if small and e.count() <= small:
+        return e.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_in_one_task, "id long, component long")
     for _ in range(max_rounds):
         e = cut(_small_star(_large_star(e)))
         now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum((F.col("v") % 1000003)).alias("s")).first()

@@ -92,6 +92,30 @@ def test_chain_with_duplicates(corpus):
     assert built.payload_bytes() == 36
 
 
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components_both_ways(spark, small):
+    from lexiloom.operators.components import connected_components
+
+    rng = random.Random(8)
+    chain = [(i, i + 1) for i in range(100, 160)]
+    edges = chain + [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(120)] + [(7, 7), (None, 3), (900, 901), (901, 900), (900, 901)]
+    up = {}
+
+    def find(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    got = connected_components(spark.createDataFrame(edges, "u long, v long"), small=small).collect()
+    assert {(r["id"], r["component"]) for r in got} == {(x, find(x)) for x in up} and len(got) == len(up)
+    assert connected_components(spark.createDataFrame([], "u long, v long"), small=small).count() == 0
+
+
 def check_offsets(built):
     payload = b"".join(built.payload())
     for r in built.offsets.collect():
