@@ -29,6 +29,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text; a table in fewer pieces than there are cores is dealt out first, since its words are many times its rows."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def work_file(spark: SparkSession, name: str) -> str:
     """A path that the driver can write and executors can read."""
     shared = shared_dir(spark)
@@ -42,7 +49,7 @@ def work_file(spark: SparkSession, name: str) -> str:
 
 def words_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus of all letter runs of all documents, numbered by document and place."""
-    words = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("i", "w"))
+    words = _documents(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("i", "w"))
     return words.select((F.col("doc_id") * POSITIONS + F.col("i")).alias("line_no"), from_text(F.col("w")).alias("b"))
 
 
@@ -214,7 +221,7 @@ def lps(spark, sf_dir):
 
 def multi_pattern_hits(spark, sf_dir):
     patterns = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), from_text(F.col("text")).alias("b"))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", from_text(F.col("text")).alias("b"))
+    docs = _documents(spark, sf_dir).select("doc_id", from_text(F.col("text")).alias("b"))
     hits = containment.multi_pattern(patterns, docs)
     return hits.select("doc_id", "pattern_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 

@@ -36,15 +36,20 @@ def _in_long(needles: DataFrame, hay: DataFrame) -> DataFrame:
     far = hay.where(F.length("h") > SHORT)
     # pieces of PIECE characters that see GRAM - 1 more: a place in a piece is reached in constant time, one in a long string is not
     cut = F.posexplode(F.regexp_extract_all("h", F.lit(rf"(?s)(?=(.{{1,{PIECE + GRAM - 1}}})).{{1,{PIECE}}}"), F.lit(1))).alias("i", "c")
-    spots = far.select("hid", cut).select("hid", "i", "c", F.explode(_numbers(F.lit(1), F.least(F.lit(PIECE), F.length("c")))).alias("p"))
-    place = (F.col("i") * PIECE + F.col("p")).alias("p")
+    pieces = far.select("hid", cut)
+
+    def runs(n: Column) -> Column:
+        """The substrings of ``n`` characters that start in a piece, as an array: exploded rows then do not carry the piece."""
+        return F.transform(_numbers(F.lit(1), F.least(F.lit(PIECE), F.length("c") - n + 1)), lambda p: F.struct(p.alias("p"), F.substring(F.col("c"), p, n).alias("b")))
+
+    place = (F.col("i") * PIECE + F.col("x.p")).alias("p")
     tiny = needles.where(F.length("b") < GRAM)
     sizes = sorted(r["n"] for r in tiny.select(F.length("b").alias("n")).distinct().collect())  # at most GRAM - 1 numbers
-    runs = spots.select("hid", "i", "p", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("n"), "c").where("p + n <= length(c) + 1")
-    short = runs.select("hid", place, F.substring(F.col("c"), F.col("p"), F.col("n")).alias("b")).join(tiny, "b").select("id", "hid", (F.col("p") - 1).alias("pos"))
+    some = F.flatten(F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), runs))
+    short = pieces.select("hid", "i", F.explode(some).alias("x")).select("hid", place, "x.b").join(tiny, "b").select("id", "hid", (F.col("p") - 1).alias("pos"))
 
     asked = needles.where(F.length("b") >= GRAM).select("id", "b", F.explode(_numbers(F.lit(1), F.length("b") - GRAM + 1)).alias("o")).select("id", F.col("o"), F.substring(F.col("b"), F.col("o"), F.lit(GRAM)).alias("g"))
-    every = spots.where(F.col("p") + GRAM <= F.length("c") + 1).select("hid", place, F.substring(F.col("c"), F.col("p"), F.lit(GRAM)).alias("g"))
+    every = pieces.select("hid", "i", F.explode(runs(F.lit(GRAM))).alias("x")).select("hid", place, F.col("x.b").alias("g"))
     grams = every.join(asked.select("g").distinct(), "g")
     counts = grams.groupBy("g").agg(F.count("*").alias("c"))
     rarest = asked.join(counts, "g", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "o", "g")).alias("x")).where("x.c > 0").select("id", F.col("x.o").alias("o"), F.col("x.g").alias("g"))
