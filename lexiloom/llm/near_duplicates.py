@@ -169,11 +169,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     classes = real.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
     one = real.join(classes, ["c1", "c2", "n_shingles", "doc_id"])
     rows = one.select(F.col("doc_id").alias("id"), F.explode(F.arrays_zip("keys", "deep")).alias("k")).select("id", F.col("k.keys").alias("key"), F.col("k.deep").alias("deep"))
-    regions = rows.groupBy("key").agg(F.min("id").alias("top"), F.count("*").alias("n")).where("n > 1")
+    # one row per key is stored before it is joined back: the join then reads two plain exchanges, whose large partitions can be split
+    regions = cut(rows.groupBy("key").agg(F.min("id").alias("top"), F.count("*").alias("n")).where("n > 1"))
     members = stash(rows.join(regions, "key"), "regions")
 
     dense = members.where(F.col("n") > DENSE)
-    parts = dense.groupBy("key", "deep").agg(F.min("id").alias("sub"))
+    parts = cut(dense.groupBy("key", "deep").agg(F.min("id").alias("sub")))
     near = dense.join(parts, ["key", "deep"])
     star = (
         members.where(F.col("n") <= DENSE)
@@ -186,7 +187,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     texts = stash(src.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "text"), "candidate-texts")
 
     star = cut(star)
-    wide = cut(star.groupBy("top").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")))  # stored: then the join can split a large top
+    wide = cut(star.groupBy("top").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")))
     spread = star.join(wide, "top").select("top", "id", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("b"))
     leaf = spread.select(F.xxhash64("top", "b").alias("blk"), F.lit(1).alias("role"), "id", F.col("id").alias("comp"))
     hub = spread.select("top", "b").distinct().select(F.xxhash64("top", "b").alias("blk"), F.lit(0).alias("role"), F.col("top").alias("id"), F.col("top").alias("comp"))
@@ -196,10 +197,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     now = members.join(comps.select("id", "component"), "id", "left").select("key", "id", "top", "n", F.coalesce("component", "id").alias("comp"))
     # a region's first document has met all others already, but in a dense one only the first of each part
     unmet = (F.col("n") > 2) & ((F.col("id") != F.col("top")) | (F.col("n") > DENSE))
-    open_keys = now.where(unmet).groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+    open_keys = cut(now.where(unmet).groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key"))
     left = cut(now.join(open_keys, "key").select("key", "id", "n", "comp"))
     sizes = left.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("c", F.negative("comp").alias("m"))).alias("x"), F.sum("c").alias("all")).select("key", F.negative("x.m").alias("main"), F.ceil((F.col("all") - F.col("x.c")) / BLOCK).cast("int").alias("ns"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nm"))
+    main = cut(sizes.groupBy("key").agg(F.max(F.struct("c", F.negative("comp").alias("m"))).alias("x"), F.sum("c").alias("all")).select("key", F.negative("x.m").alias("main"), F.ceil((F.col("all") - F.col("x.c")) / BLOCK).cast("int").alias("ns"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nm")))
     split = left.join(main, "key")
     outer = split.where("comp <> main").select("key", F.pmod(F.xxhash64("id"), F.col("ns")).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), F.lit(0).alias("role"), "id", "comp")
     target = split.select("key", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("s"), F.pmod(F.xxhash64("id"), F.col("nm")).cast("int").alias("m"), F.lit(1).alias("role"), "id", "comp")
