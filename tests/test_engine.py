@@ -163,8 +163,8 @@ def test_golden_unordered_tokenizer(spark, tmp_path):
     source = tmp_path / "t.tiktoken"
     source.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
     (tmp_path / "m.json").write_text('{"pat_str": "x"}')
-    assert main(["build", "-i", str(source), "-o", str(tmp_path / "t.scs"), "--tiktoken", "--metadata", str(tmp_path / "m.json")], spark) == 0
-    data = (tmp_path / "t.scs").read_bytes()
+    assert main(["build", "-i", str(source), "-o", str(tmp_path / "t.dict"), "--tiktoken", "--metadata", str(tmp_path / "m.json")], spark) == 0
+    data = (tmp_path / "t.dict").read_bytes()
     assert data == bytes.fromhex("534353020a1d000000000000") + b"loworldhelloabc\0\n" + bytes.fromhex("01020f0103010c0502020507" "0100")
     assert (tmp_path / "t.rank").read_bytes() == b"".join(r.to_bytes(4, "little") for r in (1, 0, 5, 4, 2, 3))
     assert (tmp_path / "t.json").read_text() == '{"pat_str": "x"}'
@@ -172,7 +172,7 @@ def test_golden_unordered_tokenizer(spark, tmp_path):
 
 def test_golden_ordered(spark, tmp_path, capfdbinary):
     (tmp_path / "w").write_bytes(b"hello\nworld\n\nfoo\nbar\nbaz\n")
-    out = str(tmp_path / "w.scs")
+    out = str(tmp_path / "w.dict")
     assert main(["build", "-i", str(tmp_path / "w"), "-o", out], spark) == 0
     assert open(out, "rb").read() == bytes.fromhex("534353020a1f000000000080") + b"helloworldbarbazfoo" + bytes.fromhex("0506052d0083536b")
     capfdbinary.readouterr()
@@ -186,8 +186,8 @@ def test_golden_ordered(spark, tmp_path, capfdbinary):
 @pytest.mark.parametrize("unordered,size", [(False, 14), (True, 12)])
 def test_empty_file(spark, tmp_path, unordered, size):
     (tmp_path / "e").write_bytes(b"")
-    assert main(["build", "-i", str(tmp_path / "e"), "-o", str(tmp_path / "e.scs"), *["--unordered"] * unordered], spark) == 0
-    assert len((tmp_path / "e.scs").read_bytes()) == size
+    assert main(["build", "-i", str(tmp_path / "e"), "-o", str(tmp_path / "e.dict"), *["--unordered"] * unordered], spark) == 0
+    assert len((tmp_path / "e.dict").read_bytes()) == size
 
 
 @pytest.mark.parametrize("data,sep,want", [(b"a\r\n\n b\t\n", b"\n", [b"a\r", b"", b" b\t"]), (b"\n\n\n", b"\n", [b"", b"", b""]), (b"hello\nworld\x1f\0data\x1fend\x1f", b"\x1f", [b"hello\nworld", b"\0data", b"end"]), (b"a\xffb\xff", b"\xff", [b"a", b"b"]), (b"x", b"\n", [b"x"])])

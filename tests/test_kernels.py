@@ -198,7 +198,7 @@ def test_header(head):
     assert len(data) == 12 and Header.decode(data) == head
 
 
-@pytest.mark.parametrize("data", [b"SC", b"XCS\x02\n" + b"\x0c" + b"\0" * 6, b"SCS\x01\n" + b"\x0c" + b"\0" * 6])
+@pytest.mark.parametrize("data", [codecs.MAGIC[:2], b"XYZ\x02\n" + b"\x0c" + b"\0" * 6, codecs.MAGIC + b"\x01\n" + b"\x0c" + b"\0" * 6])
 def test_header_errors(data):
     with pytest.raises(ArchiveError):
         Header.decode(data)
