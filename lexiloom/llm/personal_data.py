@@ -4,12 +4,11 @@ Base spans are e-mail addresses, IPv4 addresses, payment cards (Luhn) and teleph
 then asks which other terms give a protected entity away: over the corpus, a term that stands within
 ``REACH`` words of an entity is scored by its pointwise mutual information with it,
 
-    bits(t, e) = log2( contexts(t, e) * documents / (documents(t) * documents(e)) ),
+    bits(t, e) = log2( contexts(t, e) * documents / (documents(t) * documents(e)) ).
 
-where contexts(t, e) counts distinct surroundings, so that copies of one passage are one observation; edited copies
-are told from new surroundings by their words, as each context has to bring ``FRESH`` new ones on average.  A term
-seen in at least ``MIN_CONTEXTS`` of them, whose share contexts(t, e) / documents(t) is at least ``MIN_SHARE`` and
-whose bits reach ``MIN_BITS``, discloses the entity: its occurrences are spans of kind ``term``.
+All four counts are of the same unit: texts after exact copies, and near copies as ``near_copies`` links them, have become
+one.  A term seen in at least ``MIN_CONTEXTS`` of them, whose share contexts(t, e) / documents(t) is at least
+``MIN_SHARE`` and whose bits reach ``MIN_BITS``, discloses the entity: its occurrences are spans of kind ``term``.
 """
 
 from __future__ import annotations
@@ -18,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.tables import beside
-from lexiloom.plans.stash import cut
+from lexiloom.operators.components import connected_components
+from lexiloom.plans.stash import cut, stash
 
-REACH, MIN_CONTEXTS, MIN_SHARE, MIN_BITS, FRESH = 3, 3, 0.5, 6.0, 3
+REACH, MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 3, 3, 0.5, 6.0
 FILTER_BITS = 1 << 16
+#: Near copies: words of a shingle, values of a sketch, bands of two minima each, least similarity.
+SHINGLE, SKETCH, BANDS, COPY = 3, 64, 10, 0.7
 
 _OPEN, _SHUT, _BLANK = "\ue000", "\ue001", "\u00a4"
 
@@ -115,12 +117,47 @@ def _surroundings(text: Column) -> Column:
 
 
 def _observations(found: DataFrame) -> DataFrame:
-    """(doc_id, entity, term, surroundings) of every base span: the REACH words on each side of it."""
-    one = found.select("doc_id", F.explode("near").alias("s"))
+    """(text_key, e, term), each once: the REACH words on each side of every base span of a text."""
+    one = found.select(F.col("_key").alias("text_key"), F.explode("near").alias("s"))
     words = lambda c: F.filter(_terms(F.col(c)), lambda w: w != "")
     left, right = F.reverse(F.slice(F.reverse(words("s.before")), 1, REACH)), F.slice(words("s.after"), 1, REACH)
     entity = F.concat_ws(":", "s.kind", F.when(F.col("s.kind") == "email", F.lower("s.value")).otherwise(_digits(F.col("s.value"))))
-    return one.select("doc_id", F.xxhash64(entity).alias("e"), F.concat(left, right).alias("near")).withColumn("around", F.xxhash64("near"))
+    return one.select("text_key", F.xxhash64(entity).alias("e"), F.explode(F.concat(left, right)).alias("term")).distinct()
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(text_key, unit) of every text that has near copies among the distinct texts; ``unit`` is the smallest key of its group.
+
+    A sketch is the ``SKETCH`` smallest hashes of a text's word shingles.  Texts that agree in a band (two minima over the
+    sketch) with the band's first text are linked if their sketches put the similarity at ``COPY`` or more; groups are what hangs
+    together by links.  A pair of similarity 0.75 shares no band with probability (1 - 0.75**2)**10, about 3e-4.
+    """
+    words = F.filter(_terms(F.coalesce(F.col("text").cast("string"), F.lit(""))), lambda w: w != "")
+
+    def sketch(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0)))
+        grams = F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
+        return F.when(F.size(w) > 0, F.slice(F.sort_array(F.array_distinct(grams)), 1, SKETCH))
+
+    each = docs.select(F.xxhash64("text").alias("text_key"), _let(words, sketch).alias("sketch")).where("sketch is not null")
+    sketches = stash(each.groupBy("text_key").agg(F.first("sketch").alias("sketch")), "sketches")
+    low = lambda i: F.array_min(F.transform("sketch", lambda x: F.xxhash64(x, F.lit(i))))
+    bands = F.array(*[F.xxhash64(F.lit(b), low(2 * b), low(2 * b + 1)) for b in range(BANDS)])
+    held = stash(sketches.select("text_key", F.explode(bands).alias("band")), "bands")
+    first = cut(held.groupBy("band").agg(F.min("text_key").alias("unit"), F.max("text_key").alias("last")).where("unit < last").drop("last"))
+    links = cut(held.join(first, "band").where("text_key <> unit").select("text_key", "unit").distinct())
+    both = links.join(sketches, "text_key").join(sketches.select(F.col("text_key").alias("unit"), F.col("sketch").alias("other")), "unit")
+    union = F.slice(F.sort_array(F.array_union("sketch", "other")), 1, SKETCH)
+    alike = _let(union, lambda u: F.size(F.array_intersect(F.array_intersect(u, F.col("sketch")), F.col("other"))) >= COPY * F.size(u))
+    return cut(connected_components(both.where(alike).select("text_key", "unit"), "text_key", "unit").select(F.col("id").alias("text_key"), F.col("component").alias("unit")))
+
+
+def _in_units(own: DataFrame, by: list[str], out: str) -> DataFrame:
+    """``own`` holds each (text_key, *by) once, with the text's unit; number of units by ``by``.  Texts without near copies are units
+    of their own and are summed before they are dealt out."""
+    alone = own.where("unit is null").groupBy(*by).agg(F.count("*").alias("n"))
+    grouped = own.where("unit is not null").select("unit", *by).distinct().groupBy(*by).agg(F.count("*").alias("n"))
+    return alone.unionByName(grouped).groupBy(*by).agg(F.sum("n").alias(out))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
@@ -130,20 +167,25 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_
     documents pass a bitmap of ``FILTER_BITS`` bits of the candidates' hashes (a fixed size whatever the corpus) before
     they are counted, and the counts themselves are exact.
     """
-    seen = _observations(found)
-    each = seen.select("e", "around", F.array_distinct("near").alias("words")).select("e", "around", "words", F.explode("words").alias("term")).where(F.length("term") > 1)
-    others = each.select("e", "term", "around", F.explode_outer(F.array_except("words", F.array("term"))).alias("other"))
-    counted = others.groupBy("e", "term").agg(F.count_distinct("around").alias("contexts"), F.count_distinct("other").alias("others"))
-    pairs = cut(counted.where((F.col("contexts") >= min_contexts) & (F.col("others") >= FRESH * F.col("contexts"))).drop("others"))
+    seen = cut(_observations(found).where(F.length("term") > 1))
+    none = seen.select("term", F.lit(0.0).alias("bits"), F.lit(0).cast("long").alias("contexts")).limit(0)
+    if not seen.groupBy("e", "term").count().where(F.col("count") >= min_contexts).head(1):
+        return none
+    units = near_copies(docs)
+    seen = cut(seen.join(units, "text_key", "left"))
+    pairs = cut(_in_units(seen, ["e", "term"], "contexts").where(F.col("contexts") >= min_contexts))
     bit = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS)).cast("int")
     hits = {r.b for r in pairs.select(bit.alias("b")).distinct().collect()}  # at most FILTER_BITS numbers
     if not hits:
-        return pairs.select("term", F.lit(0.0).alias("bits"), "contexts").limit(0)
+        return none
     bitmap = F.lit(bytearray(1 if i in hits else 0 for i in range(FILTER_BITS)))
-    words = docs.select(F.explode(F.array_distinct(_terms(F.coalesce(F.col("text").cast("string"), F.lit(""))))).alias("term")).where(F.substring(bitmap, bit + 1, F.lit(1)) == F.lit(bytearray(b"\x01")))
-    df = words.groupBy("term").agg(F.count("*").alias("df"))
-    de = seen.select("e", "doc_id").distinct().groupBy("e").agg(F.count("*").alias("de"))
-    total = docs.count()
+    held = lambda w: F.substring(bitmap, F.pmod(F.xxhash64(w), F.lit(FILTER_BITS)).cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+    words = docs.select(F.xxhash64("text").alias("text_key"), F.filter(F.array_distinct(_terms(F.coalesce(F.col("text").cast("string"), F.lit("")))), held).alias("terms"))
+    texts = stash(words.groupBy("text_key").agg(F.first("terms").alias("terms")).join(units, "text_key", "left"), "terms")  # exact copies meet on the map side
+    df = _in_units(texts.select("unit", F.explode("terms").alias("term")), ["term"], "df")
+    de = _in_units(seen.select("e", "text_key", "unit").distinct(), ["e"], "de")
+    merged = units.agg(F.count("*").alias("n"), F.count_distinct("unit").alias("u")).first()
+    total = docs.select(F.xxhash64("text")).distinct().count() - merged.n + merged.u
     bits = F.log2(F.col("contexts") * F.lit(float(total)) / (F.col("df") * F.col("de")))
     scored = pairs.join(df, "term").join(de, "e").withColumn("bits", bits)
     return cut(scored.where((F.col("bits") >= min_bits) & (F.col("contexts") >= min_share * F.col("df"))).groupBy("term").agg(F.max("bits").alias("bits"), F.max("contexts").alias("contexts")))

@@ -294,6 +294,15 @@ def test_disclosing_terms_are_removed(docs, prose):
     assert personal_data.sanitise(frame).columns == frame.columns
 
 
+def test_disclosing_terms_with_repeated_wording(docs, prose):
+    texts = [prose(30, 1000 + i) + " Regards Odalys Acme odalys@mail.org phone office" for i in range(6)]  # one signature, other texts
+    real = [prose(30, 2000 + i) + f" Wilfred {prose(1, 2100 + i)} wilfred@mail.org " + prose(9, 2200 + i) for i in range(3)]
+    texts += real + [real[0]] * 5 + [real[0] + f" note{i}" for i in range(4)]  # exact and near copies of one of three
+    texts += [prose(30, 3000 + i) for i in range(600)]
+    named = {v["value"].lower() for r in personal_data.find_personal_data(docs(texts)).collect() for v in r["term_spans"]}
+    assert {"odalys", "wilfred"} <= named
+
+
 def test_redaction_merges_overlaps(docs):
     out = personal_data.sanitise(docs(["call +4111111111111 now", None, "ä 1.2.3.4 é"])).orderBy("doc_id").collect()
     assert [r["text"] for r in out] == ["call [PHONE] now", None, "ä [IP] é"]
