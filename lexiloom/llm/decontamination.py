@@ -1,15 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Seeds are the word n-grams of the test items.  One pass counts in how many documents each seed occurs; of each
-item the rarer half of its seeds is kept (and every seed of at most ``COMMON`` documents), so an item
-always keeps seeds, however often it leaked.  A second pass finds the kept seeds in each document and aligns the words around
-them with the item's words.  The score is the alignment's share of a perfect one.  Test items are a query
-set against all documents, taken in blocks of ``ITEM_BLOCK`` items, so what is broadcast is bounded
-whatever the table's size.
+"""Benchmark decontamination: n-gram seeds that no alignment can avoid, then Smith-Waterman alignment.
+
+Seeds are all word pairs of a test item, none left out however often it leaked.  An alignment of score s with an item of n words
+has at least s - n - 1 matched pairs of neighbours within 3n - s words of the document; places with so many seeds that near
+each other are aligned, and no other place can reach the threshold.  Where that number is below one (items of up to five words at
+0.6) single words are the seeds, of which s / 2 must match.  The score is the alignment's share of a perfect one.  Test items
+are a query set against all documents, taken in blocks of ``ITEM_BLOCK`` items, so what is broadcast is bounded whatever the
+table's size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm.hashing import WORD_TABLE, corpus_words, encode, gram_hashes
 from lexiloom.llm.tables import slices, source
 
-GRAM, COMMON, ITEM_BLOCK = 4, 16, 5000
+ITEM_BLOCK, MOST_HITS = 5000, 1 << 21
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.6
 MAX_ITEM_WORDS = 4096
@@ -64,72 +65,83 @@ def _items(rows: list[tuple[int, str]]) -> tuple[list[int], list[np.ndarray]]:
     return ids, words
 
 
-def _seeds(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seed hashes with item index and place; an item shorter than a seed is one seed of its own length."""
-    grams = [gram_hashes(w, min(GRAM, len(w))) for w in words]
-    item = np.repeat(np.arange(len(words)), [len(g) for g in grams])
-    place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
-    return (np.concatenate(grams) if grams else np.empty(0, np.uint64)), item, place
-
-
-def _grams_of(words: np.ndarray, lengths: list[int]) -> list[tuple[np.ndarray, int]]:
-    return [(gram_hashes(words, n), n) for n in lengths]
-
-
-def _count_seeds(table: np.ndarray, lengths: list[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(table), np.int64)
-        for batch in slices(batches):
-            words, bounds = corpus_words([encode(t) for t in batch.column(1).to_pylist()], WORD_TABLE)
-            owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            for grams, n in _grams_of(words, lengths):
-                at = np.searchsorted(table, grams)
-                at[at == len(table)] = 0
-                hit = np.flatnonzero(table[at] == grams)
-                hit = hit[owner[hit] == owner[hit + n - 1]]
-                pairs = np.unique(owner[hit] * len(table) + at[hit])
-                total += np.bincount(pairs % len(table), minlength=len(table))
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some, pa.int64()), pa.array(total[some])], names=["seed", "n"])
-
-    return run
+def _bounds(n: int, threshold: float) -> tuple[int, int, int]:
+    """For an item of ``n`` words: seed length, seeds that every alignment of the threshold holds, and its most document words."""
+    least = math.ceil(MATCH * threshold * n - 1e-9)
+    span = max(1, 3 * n - least)
+    return (2, least - n - 1, span) if least - n - 1 >= 1 else (1, max(1, -(-least // 2)), span)
 
 
-def _find(ids: list[int], words: list[np.ndarray], table: np.ndarray, first: np.ndarray, item: np.ndarray, place: np.ndarray, lengths: list[int], threshold: float):
-    """table: sorted kept seeds; first: bounds of each seed's (item, place) run."""
+def _seeds(words: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Seed hashes with item index, sorted by hash."""
+    grams = [gram_hashes(w, n) for w, n in zip(words, sizes, strict=True)]
+    item = np.repeat(np.arange(len(words)), [len(g) for g in grams])
+    seeds = np.concatenate(grams)
+    order = np.argsort(seeds, kind="stable")
+    return seeds[order], item[order]
+
+
+def _places(hit: np.ndarray, seed: np.ndarray, owner: np.ndarray, first: np.ndarray, item: np.ndarray, need: np.ndarray, span: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(document, item, word) of every hit that begins a run of enough seeds; at most about MOST_HITS hits of whole documents at a time."""
+    many = first[seed + 1] - first[seed]
+    upto, begin = np.cumsum(many), 0
+    while begin < len(hit):
+        end = int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + MOST_HITS, "right"))
+        end = max(end, begin + 1)
+        if end < len(hit):
+            whole = int(np.searchsorted(owner, owner[end]))
+            end = whole if whole > begin else int(np.searchsorted(owner, owner[end], "right"))
+        n = many[begin:end]
+        at = np.repeat(hit[begin:end], n)
+        doc = np.repeat(owner[begin:end], n)
+        it = item[np.repeat(first[seed[begin:end]], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)]
+        pair = doc * len(need) + it
+        order = np.argsort(pair, kind="stable")  # hits are in the order of the words
+        at, doc, it, pair = at[order], doc[order], it[order], pair[order]
+        last = np.arange(len(at)) + need[it] - 1
+        inside = last < len(at)
+        last[~inside] = 0
+        for k in np.flatnonzero(inside & (pair[last] == pair) & (at[last] - at < span[it])):
+            yield int(doc[k]), int(it[k]), int(at[k])
+        begin = end
+
+
+def _find(ids: list[int], words: list[np.ndarray], threshold: float):
+    limits = [_bounds(len(w), threshold) for w in words]
+    need, span = np.array([x[1] for x in limits]), np.array([x[2] for x in limits])
+    seeds, item = _seeds(words, [x[0] for x in limits])
+    table, first = np.unique(seeds, return_index=True)
+    first, lengths = np.append(first, len(seeds)), sorted({x[0] for x in limits})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             docs, found = batch.column(0).to_pylist(), []
             all_words, bounds = corpus_words([encode(t) for t in batch.column(1).to_pylist()], WORD_TABLE)
             owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            near: dict[tuple[int, int], list[int]] = {}
-            for grams, n in _grams_of(all_words, lengths):
+            windows: dict[tuple[int, int], list[list[int]]] = {}
+            for n in lengths:
+                grams = gram_hashes(all_words, n)
                 at = np.searchsorted(table, grams)
                 at[at == len(table)] = 0
                 hit = np.flatnonzero(table[at] == grams)
-                for h in hit[owner[hit] == owner[hit + n - 1]]:
-                    for k in range(first[at[h]], first[at[h] + 1]):
-                        near.setdefault((int(owner[h]), int(item[k])), []).append(int(h - place[k]))
-            for (doc, it), starts in near.items():
+                hit = hit[owner[hit] == owner[hit + n - 1]]
+                for doc, it, x in _places(hit, at[hit], owner[hit], first, item, need, span):
+                    a, b = max(int(bounds[doc]), x - int(span[it])), min(int(bounds[doc + 1]), x + int(span[it]))
+                    have = windows.setdefault((doc, it), [])
+                    if have and a <= have[-1][1]:  # hits of one item come in order
+                        have[-1][1] = b
+                    else:
+                        have.append([a, b])
+            for (doc, it), spans in windows.items():
                 w, best = words[it], (0, 0, 0)
-                margin = len(w) // 2 + 2
-                starts.sort()
-                lo, hi = starts[0], starts[0]
-                spans = []
-                for s in starts[1:]:  # seeds of one occurrence share a window
-                    if s - hi > margin:
-                        spans.append((lo, hi))
-                        lo = s
-                    hi = s
-                spans.append((lo, hi))
-                for lo, hi in spans:
-                    a, b = max(int(bounds[doc]), lo - margin), min(int(bounds[doc + 1]), hi + len(w) + margin)
+                for a, b in spans:
+                    if MATCH * np.isin(w, all_words[a:b]).sum() < MATCH * threshold * len(w) - 1e-9:
+                        continue  # too few of the item's words, in any order
                     score, x, y = align(w, all_words[a:b])
                     if score > best[0]:
                         best = (score, a + x - int(bounds[doc]), a + y - int(bounds[doc]))
                 share = best[0] / (MATCH * len(w))
-                if share >= threshold:
+                if best[0] and share >= threshold:
                     found.append((docs[doc], ids[it], best[0], share, best[1], best[2]))
             if found:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "score", "share", "first_word", "end_word"])
@@ -158,30 +170,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
         ids, words = _items(sorted(rows))
         if not ids:
             continue
-        out = out.unionByName(_block(src, ids, words, threshold))
+        out = out.unionByName(src.mapInArrow(_find(ids, words, threshold), _FOUND))
     return out
 
 
-def _block(src: DataFrame, ids: list[int], words: list[np.ndarray], threshold: float) -> DataFrame:
-    seeds, item, place = _seeds(words)
-    lengths = sorted({min(GRAM, len(w)) for w in words})
-    table = np.unique(seeds)
-    counted = src.mapInArrow(_count_seeds(table, lengths), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    df = np.zeros(len(table), np.int64)
-    for r in counted.collect():  # one number per seed of the block
-        df[r["seed"]] = r["n"]
-    at = np.searchsorted(table, seeds)
-    keep = np.zeros(len(seeds), bool)
-    for i in range(len(ids)):
-        own = np.flatnonzero(item == i)
-        keep[own] = df[at[own]] <= max(COMMON, np.median(df[at[own]]))
-    seeds, item, place = seeds[keep], item[keep], place[keep]
-    order = np.argsort(seeds, kind="stable")
-    seeds, item, place = seeds[order], item[order], place[order]
-    table, first = np.unique(seeds, return_index=True)
-    return src.mapInArrow(_find(ids, words, table, np.append(first, len(seeds)), item, place, lengths, threshold), _FOUND)
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no test item.  Rows that repeat a contaminated row's id go with it; rows without an id stay, as no
     finding can name them."""

@@ -346,6 +346,31 @@ def test_decontamination(spark, docs, prose, monkeypatch):
     assert {r["doc_id"] for r in clean.collect()} == set(range(60)) - {d for d, _ in want} and clean.columns == docs(texts).columns
 
 
+def test_decontamination_equals_brute_force(spark, docs, prose, monkeypatch):
+    w = prose(30, 70).split()
+    even = [*w[:15], *("x" if k % 3 == 0 else v for k, v in enumerate(w[15:], 15))]
+    items = {0: " ".join(w), 1: prose(5, 71), 2: prose(8, 72), 3: prose(20, 73)}
+    texts = [" ".join(w[:15]) + f" {prose(20, 7000 + i)}" for i in range(40)]  # the item's first half is common
+    texts += [f"{prose(9, 80)} {' '.join(even)} {prose(9, 81)}"]
+    rng = random.Random(12)
+    for k in range(120):
+        v = items[k % 4].split()
+        share = rng.choice([0.1, 0.2, 0.25, 0.3, 0.4])
+        spread = [x for i, x in enumerate(v) for x in ([x] if rng.random() > share else rng.choice([[], ["y"], [x, "z"]]))]
+        texts.append(f"{prose(6, 8000 + k)} {' '.join(spread)} {prose(6, 9000 + k)}")
+    want = {}
+    for d, t in enumerate(texts):
+        for i, v in items.items():
+            score = slow_score(v.split(), t.split())
+            if score >= 0.6 * 2 * len(v.split()):
+                want[d, i] = score
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for most in (decontamination.MOST_HITS, 7):
+        monkeypatch.setattr(decontamination, "MOST_HITS", most)
+        assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contamination(docs(texts), bench).collect()} == want
+    assert (40, 0) in want
+
+
 def test_decontamination_awkward(spark, awkward):
     bench = spark.createDataFrame([(1, "null id"), (1, "null id")], "item_id long, text string")
     assert [r["doc_id"] for r in decontamination.contamination(awkward, bench).collect()] == [None]
