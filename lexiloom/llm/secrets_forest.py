@@ -1,6 +1,7 @@
 """Secret scans with a random forest against false positives.  DataFrame functions only.
 
-Candidates are long runs of key-like characters.  Each is described by native expressions: length, kinds of
+Candidates are long runs of key-like characters, and whatever stands as the value after a key word and an assignment or quote: any
+characters but blanks, in quotes also blanks.  Each is described by native expressions: length, kinds of
 characters and the transitions between them, how much of it a dictionary explains, whether it is part of a path or
 address, and the words before it.  The forest is grown on labelled findings (a bounded sample whose bound is a parameter)
 and compiled into nested CASE expressions, so scoring is one projection beside the text, without Python on the executors.
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 from lexiloom.llm.tables import bounded_sample
 
 MIN_LENGTH, TREES, DEPTH, MAX_FINDINGS, CUT = 12, 15, 6, 4000, 0.5
+MIN_VALUE = 4  # after a key word
 
 _OPEN, _SHUT, _OTHER = "\ue000", "\ue001", "\u00a4"
-CANDIDATE = rf"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/.-]{{{MIN_LENGTH},}}+(?:={{1,2}}(?![A-Za-z0-9_+/.=-]))?"
+_RUN = rf"[A-Za-z0-9_+/.-]{{{MIN_LENGTH},}}+(?:={{1,2}}(?![A-Za-z0-9_+/.=-]))?"
 
 #: Words that come before a secret, words of placeholders, and pieces of ordinary identifiers.
 KEY_WORDS = "api apikey auth authorization bearer credential key passphrase passwd password private pwd secret token access"
@@ -33,6 +35,14 @@ def _any_of(words: str) -> str:
     return "(?:" + "|".join(words.split()) + ")"
 
 
+#: A key word with an assignment or an opening quote after it, and the value there: a run that ends with the value, a quoted
+#: text without such runs, or non-blank characters up to closing punctuation.
+KEYED = rf"(?:(?<![a-z])|(?=[A-Z]))(?i:{_any_of(KEY_WORDS)})[A-Za-z0-9_-]{{0,8}}+(?:[\"']?\s{{0,4}}(?::=|=>|[=:])\s{{0,4}}[\"']?|\s{{1,4}}[\"'])"
+_QUOTED = "|".join(rf"(?<={q})(?![^{q}\r\n]*[A-Za-z0-9_+/.-]{{{MIN_LENGTH}}})[^{q}\r\n]{{{MIN_VALUE},}}+(?={q})" for q in "\"'")
+_VALUE = rf"{_RUN}(?=[\s\"',;&)\]}}]|$)|{_QUOTED}|[^\s\"']{{{MIN_VALUE - 1},}}[^\s\"',;.)\]}}]"
+CANDIDATE = rf"({KEYED})({_VALUE})|(?<![A-Za-z0-9_+/.-])({_RUN})"
+
+
 def describe(value: Column, before: Column, after: Column) -> dict[str, Column]:
     """The features of a candidate from its text and up to 40 characters before and 2 after."""
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
@@ -63,21 +73,25 @@ def describe(value: Column, before: Column, after: Column) -> dict[str, Column]:
 
 
 def built_in_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
-    """Labelled findings (before, value, after, label) by rule: keys and passwords in assignments against digests, paths,
-    identifiers, placeholders and long words in the places where those stand.  The same rows at every call."""
+    """Labelled findings (before, value, after, label) by rule: keys, passwords with symbols, keys of letters in one case and
+    passphrases in assignments against digests, paths, identifiers, placeholders, long and plain words in the places where those
+    stand.  The same rows at every call."""
     pick = lambda salt, of: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(of))
     choose = lambda salt, items: F.get(F.array(*[F.lit(x) for x in items]), pick(salt, len(items)).cast("int"))
     hex_, b64 = F.sha2(F.concat(F.lit("h"), "id"), 256), F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), "id"), 256)))
     word = F.concat(*[choose(f"w{k}", "ther ing ation ever ance light stone water under press form ment ed er".split()) for k in range(5)])
     name = F.concat_ws("_", *[choose(f"n{k}", DICTIONARY.split()) for k in range(3)])
-    secret = F.element_at(F.array(F.left(hex_, F.lit(40)), F.left(hex_, F.lit(32)), F.substring(b64, 1, 24), F.substring(b64, 3, 40), F.left(hex_, F.lit(18)), F.concat(F.lit("AK"), F.upper(F.left(hex_, F.lit(18)))), F.concat(F.lit("gh"), F.translate(F.substring(b64, 1, 36), "+/=", "xyz"))), (pick("s", 7) + 1).cast("int"))
+    letters = F.translate(F.left(hex_, F.lit(16)), "0123456789", "ghjkmpqrtv")
+    mixed = F.concat(F.substring(b64, 1, 3), choose("m", ["!", "$", "%", "@"]), F.substring(b64, 7, 3), choose("m2", ["#", "&", "*", "?"]), F.left(F.substring(b64, 12, 6), pick("m3", 6).cast("int")))
+    phrase = F.concat_ws(" ", *[F.concat(choose(f"a{k}", "ther light stone water under press form hat ever corn".split()), choose(f"z{k}", ["", "er", "ing", "le"])) for k in range(4)])
+    secret = F.element_at(F.array(F.left(hex_, F.lit(40)), F.left(hex_, F.lit(32)), F.substring(b64, 1, 24), F.substring(b64, 3, 40), F.left(hex_, F.lit(18)), F.concat(F.lit("AK"), F.upper(F.left(hex_, F.lit(18)))), F.concat(F.lit("gh"), F.translate(F.substring(b64, 1, 36), "+/=", "xyz")), mixed, F.left(hex_, F.lit(9)), letters, F.upper(letters), phrase), (pick("s", 12) + 1).cast("int"))
     uuid = F.concat_ws("-", F.substring(hex_, 1, 8), F.substring(hex_, 9, 4), F.substring(hex_, 13, 4), F.substring(hex_, 17, 4), F.substring(hex_, 21, 12))
-    plain = F.element_at(F.array(F.left(hex_, F.lit(40)), hex_, uuid, F.concat(F.lit("/"), F.replace(name, F.lit("_"), F.lit("/")), F.lit("/index.html")), name, word, F.concat(F.lit("your_"), name, F.lit("_here")), F.concat_ws(".", F.lit("www"), word, F.lit("com"))), (pick("p", 8) + 1).cast("int"))
+    plain = F.element_at(F.array(F.left(hex_, F.lit(40)), hex_, uuid, F.concat(F.lit("/"), F.replace(name, F.lit("_"), F.lit("/")), F.lit("/index.html")), name, word, F.concat(F.lit("your_"), name, F.lit("_here")), F.concat_ws(".", F.lit("www"), word, F.lit("com")), choose("u", "required none null true string value empty missing optional default hidden below other first".split()), F.concat(choose("y", "ther light stone water under press form ever".split()), choose("y2", ["", "er", "ing", "ed"]))), (pick("p", 10) + 1).cast("int"))
     is_secret = pick("l", 2) == 0
     key = F.concat(choose("k", ["token", "password", "api_key", "secret", "auth_token", "ACCESS_KEY", "private_key", "pwd"]), choose("e", [" = ", "=", ": ", ":", ' = "', "='", " = '"]))
     dull_first = choose("d", ["commit ", "sha256 ", "md5: ", "see ", "file ", "id: ", "checksum = ", "the ", "of ", "version ", "etag: "])
     bad_key = pick("q", 8)
-    before = F.when(is_secret | (bad_key == 0) & (pick("p", 8) >= 3), key).otherwise(dull_first)
+    before = F.when(is_secret | (bad_key == 0) & (pick("p", 10) >= 3) | (pick("p", 10) >= 8), key).otherwise(dull_first)
     return spark.range(n).select(F.concat(F.lit("and then "), before).alias("before"), F.when(is_secret, secret).otherwise(plain).alias("value"), F.when(F.col("id") % 2 == 0, " and").otherwise(F.when(before.rlike("[\"']$"), F.substring(before, -1, 1)).otherwise(" x")).alias("after"), is_secret.cast("int").alias("label"))
 
 
@@ -148,13 +162,14 @@ def _let(value: Column, body) -> Column:
 def find_secrets(docs: DataFrame, forest: Forest, cut: float = CUT) -> DataFrame:
     """doc_id, n_candidates, n_secrets, secrets (start:end, code points), score (largest vote) of every row.
 
-    A candidate is a run of at least ``MIN_LENGTH`` key characters with a digit or a change of case inside.  Null and empty texts
+    A candidate is a run of at least ``MIN_LENGTH`` key characters with a digit or a change of case inside, or a value of at least
+    ``MIN_VALUE`` characters of any kind after a key word.  Null and empty texts
     have none; null and repeated ids keep their rows; other columns are ignored; an empty table gives an empty result.
     """
     held = F.coalesce(F.col("text").cast("string"), F.lit(""))
     safe = F.translate(held, _OPEN + _SHUT, _OTHER + _OTHER)
     text = F.when(F.contains(held, F.lit(_OPEN)) | F.contains(held, F.lit(_SHUT)), safe).otherwise(held)
-    pieces = F.split(F.regexp_replace(text, CANDIDATE, f"{_OPEN}$0{_SHUT}"), _OPEN)
+    pieces = F.split(F.regexp_replace(text, CANDIDATE, f"$1{_OPEN}$2$3{_SHUT}"), _OPEN)
     shape = "array<struct<start:int,value:string,before:string,after:string>>"
 
     def place(p: Column) -> Column:
@@ -164,7 +179,7 @@ def find_secrets(docs: DataFrame, forest: Forest, cut: float = CUT) -> DataFrame
             value = F.substring_index(piece, _SHUT, 1)
             rest = F.substring(piece, F.length(value) + 2, F.length(piece))
             here = F.struct(a["at"].alias("start"), value.alias("value"), F.right(a["last"], F.lit(40)).alias("before"), F.left(rest, F.lit(2)).alias("after"))
-            return F.struct((a["at"] + F.length(piece) - 1).alias("at"), F.concat(value, rest).alias("last"), F.when(value.rlike("[0-9]|[a-z][A-Z]"), F.array_append(a["out"], here)).otherwise(a["out"]).alias("out"))
+            return F.struct((a["at"] + F.length(piece) - 1).alias("at"), F.concat(value, rest).alias("last"), F.when(value.rlike("[0-9]|[a-z][A-Z]") | F.right(a["last"], F.lit(40)).rlike(f"{KEYED}$"), F.array_append(a["out"], here)).otherwise(a["out"]).alias("out"))
 
         return F.aggregate(F.slice(p, F.lit(2), F.size(p)), first, step)["out"]
 

@@ -494,6 +494,18 @@ def test_secret_scan(spark, docs, awkward, prose, forest):
     assert secrets_forest.find_secrets(empty(spark), forest).count() == 0
 
 
+def test_secret_scan_values_after_key_words(docs, forest):
+    cases = [("password='", "S3cr!t#Pa55w", "' and"), ("pwd=", "x7#Kq9!z", " next"), ("DB_PASSWORD: ", "qzjvkxwpbtrmdgfh", " end"), ('{"secret": "', "KQXWZVJTBGMPRDHC", '"}')]
+    cases += [('passphrase = "', "water stoner lighting corn", '" end'), ("token=", "4f1c9a7be", ";")]
+    got = rows(secrets_forest.find_secrets(docs([f"we set {a}{v}{z}" for a, v, z in cases]), forest), "doc_id")
+    for r, (a, v, _) in zip(got, cases, strict=True):
+        assert (r["n_candidates"], r["secrets"]) == (1, f"{7 + len(a)}:{7 + len(a) + len(v)}"), (a, v)
+    plain = ["the password: required", "a key: value pair", "no keyed word 'S3cr!t#P'", "token: none, 'twas"]
+    assert all(r["n_secrets"] == 0 for r in secrets_forest.find_secrets(docs(plain), forest).collect())
+    kept = "token: 'twas " + hashlib.sha1(b"1").hexdigest() + " don't, key=" + hashlib.sha1(b"2").hexdigest() + ",rest"
+    assert f"{len(kept) - 45}:{len(kept) - 5}" in rows(secrets_forest.find_secrets(docs([kept]), forest), "doc_id")[0]["secrets"]
+
+
 def test_forest_column_equals_its_trees(spark, forest):
     cols = secrets_forest.describe(F.col("value"), F.col("before"), F.col("after"))
     sample = secrets_forest.built_in_findings(spark, 300).select("label", *[cols[f].cast("double").alias(f) for f in secrets_forest.FEATURES])
