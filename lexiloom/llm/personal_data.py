@@ -1,8 +1,8 @@
 """Personal data: pattern spans and information-theoretic sanitisation.  DataFrame functions only.
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards (Luhn) and telephone numbers.  The method
-then asks which other terms give a protected entity away: over the corpus, a term that stands within
-``REACH`` words of an entity is scored by its pointwise mutual information with it,
+then asks which other terms give a protected entity away: over the corpus, a term that stands in a document with
+an entity, outside all base spans, is scored by its pointwise mutual information with it,
 
     bits(t, e) = log2( contexts(t, e) * documents / (documents(t) * documents(e)) ).
 
@@ -20,7 +20,7 @@ from lexiloom.llm.tables import beside
 from lexiloom.operators.components import connected_components
 from lexiloom.plans.stash import cut, stash
 
-REACH, MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 3, 3, 0.5, 6.0
+MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 6.0
 FILTER_BITS = 1 << 16
 #: Near copies: words of a shingle, values of a sketch, bands of two minima each, least similarity.
 SHINGLE, SKETCH, BANDS, COPY = 3, 64, 10, 0.7
@@ -106,23 +106,33 @@ def _terms(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
-def _surroundings(text: Column) -> Column:
-    """For each base span: kind, value, and up to 64 characters on each side."""
+def _outside(text: Column) -> Column:
+    """Distinct terms of the text between the base spans, where there are any."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    spans = F.sort_array(F.transform("base_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["out"], gap).alias("out"))
+
+    rest = _let(F.aggregate(spans, start, step), lambda a: F.array_append(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    terms = F.filter(F.array_distinct(_terms(F.array_join(rest, " "))), lambda w: F.length(w) > 1)
+    return F.when(F.size("base_spans") > 0, terms)
 
-    def around(s: Column) -> Column:
-        before = F.substring(text, F.greatest(F.lit(1), s["start"] - 63), F.least(F.lit(64), s["start"]))
-        return F.struct(s["kind"].alias("kind"), s["value"].alias("value"), before.alias("before"), F.substring(text, s["end"] + 1, F.lit(64)).alias("after"))
 
-    return F.transform("base_spans", around)
+def _entities() -> Column:
+    """Hashes of the distinct entities of the base spans."""
+    name = lambda s: F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(_digits(s["value"])))
+    return F.array_distinct(F.transform("base_spans", lambda s: F.xxhash64(name(s))))
 
 
-def _observations(found: DataFrame) -> DataFrame:
-    """(text_key, e, term), each once: the REACH words on each side of every base span of a text."""
-    one = found.select(F.col("_key").alias("text_key"), F.explode("near").alias("s"))
-    words = lambda c: F.filter(_terms(F.col(c)), lambda w: w != "")
-    left, right = F.reverse(F.slice(F.reverse(words("s.before")), 1, REACH)), F.slice(words("s.after"), 1, REACH)
-    entity = F.concat_ws(":", "s.kind", F.when(F.col("s.kind") == "email", F.lower("s.value")).otherwise(_digits(F.col("s.value"))))
-    return one.select("text_key", F.xxhash64(entity).alias("e"), F.explode(F.concat(left, right)).alias("term")).distinct()
+def _observations(found: DataFrame, min_contexts: int) -> DataFrame:
+    """(text_key, e, term), each once: every term of a text with every entity of it that enough texts hold to be scored."""
+    texts = stash(found.groupBy(F.col("_key").alias("text_key")).agg(F.first("entities").alias("es"), F.first("terms").alias("terms")), "entities")
+    one = texts.select("text_key", F.explode("es").alias("e"))
+    enough = cut(one.groupBy("e").agg(F.count("*").alias("n")).where(F.col("n") >= min_contexts).select("e"))
+    kept = one.join(enough, "e", "left_semi").groupBy("text_key").agg(F.collect_set("e").alias("es"))
+    return texts.select("text_key", "terms").join(kept, "text_key").select("text_key", "es", F.explode("terms").alias("term")).select("text_key", F.explode("es").alias("e"), "term")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -167,7 +177,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_
     documents pass a bitmap of ``FILTER_BITS`` bits of the candidates' hashes (a fixed size whatever the corpus) before
     they are counted, and the counts themselves are exact.
     """
-    seen = cut(_observations(found).where(F.length("term") > 1))
+    seen = cut(_observations(found, min_contexts))
     none = seen.select("term", F.lit(0.0).alias("bits"), F.lit(0).cast("long").alias("contexts")).limit(0)
     if not seen.groupBy("e", "term").count().where(F.col("count") >= min_contexts).head(1):
         return none
@@ -227,9 +237,9 @@ def find_personal_data(docs: DataFrame, keep_text: bool = True, **limits: float)
     named like an output are replaced.  An empty table gives an empty result.
     """
     found = with_base_spans(docs.select("doc_id", "text"))
-    seen = cut(found.select("doc_id", F.xxhash64("text").alias("_key"), "base_spans", _surroundings(F.col("text")).alias("near")))
-    terms = disclosing_terms(docs, seen.where(F.size("near") > 0), **limits)
-    rows = with_base_spans(docs.drop("base_spans", "term_spans", "_key")).withColumn("_key", F.xxhash64("text")) if keep_text else seen.drop("near")
+    seen = cut(found.select("doc_id", F.xxhash64("text").alias("_key"), "base_spans", _entities().alias("entities"), _outside(clean_text()).alias("terms")))
+    terms = disclosing_terms(docs, seen.where(F.size("entities") > 0), **limits)
+    rows = with_base_spans(docs.drop("base_spans", "term_spans", "_key")).withColumn("_key", F.xxhash64("text")) if keep_text else seen.drop("entities", "terms")
     if not terms.head(1):
         return rows.drop("_key").withColumn("term_spans", F.array().cast(_NONE))
     extra = _term_spans(docs, terms).withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})

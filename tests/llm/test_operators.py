@@ -303,6 +303,15 @@ def test_disclosing_terms_with_repeated_wording(docs, prose):
     assert {"odalys", "wilfred"} <= named
 
 
+def test_disclosing_terms_far_from_the_entity(docs, prose):
+    texts = [f"Zdenka Okoro, head of the Lyon office: zdenka@mail.org {prose(20, 1000 + i)}" for i in range(4)]
+    texts += [f"Ottoline {prose(300, 2000 + i)} otto@mail.org {prose(20, 2100 + i)}" for i in range(4)]
+    texts += [prose(300, 3000 + i) for i in range(600)]
+    named = {v["value"].lower() for r in personal_data.find_personal_data(docs(texts)).collect() for v in r["term_spans"]}
+    assert {"zdenka", "okoro", "ottoline"} <= named
+    assert not named & set(" ".join(texts[8:]).split())
+
+
 def test_redaction_merges_overlaps(docs):
     out = personal_data.sanitise(docs(["call +4111111111111 now", None, "ä 1.2.3.4 é"])).orderBy("doc_id").collect()
     assert [r["text"] for r in out] == ["call [PHONE] now", None, "ä [IP] é"]
