@@ -71,6 +71,9 @@ def decompose(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH
 def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """One row per piece with its sequence_id and offset (0: a sequence is one piece); ids on request.
 
+    Null and empty texts are one piece of the end id; texts of any length are cut whole; null and repeated ids keep their rows; other
+    columns are ignored; an empty table gives an empty result.
+
     Numbering shuffles no piece: each task ranks its pieces within each bucket, the pieces are stored, and the stored tasks' counts,
     summed up in order of bucket and task, give every (bucket, task) its first number.  That table is broadcast if it has at most
     ``MOST_STARTS`` rows, else joined by its key.

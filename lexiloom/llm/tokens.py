@@ -48,8 +48,9 @@ class Encoder:
     """Ids of whole texts, equal to the tokenizer's own, with a memory of pieces.
 
     A byte-level BPE encodes each piece of its split pattern on its own, so each distinct piece of a batch is given to
-    the tokenizer's model once and its ids are kept (a tokenizer of another kind gets whole texts).  New pieces are remembered as young, those met again in a later batch as settled; a full
-    memory forgets, which costs time and changes no result.
+    the tokenizer's model once and its ids are kept (a tokenizer of another kind gets whole texts).  Texts that hold the content of an
+    added token, such as an end-of-text mark, go through the tokenizer as a whole too, which decides what becomes of it.  New pieces
+    are remembered as young, those met again in a later batch as settled; a full memory forgets, which costs time and changes no result.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,14 +61,15 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.alphabet = _byte_alphabet()
         self.settled: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.split = re.compile(SPLIT).findall
         splitter = self.tokenizer.pre_tokenizer
         known = isinstance(splitter, ByteLevel) and not splitter.add_prefix_space and splitter.use_regex and self.tokenizer.normalizer is None
-        self.beyond = re.compile("[^\x00-\u024f]" if known else "(?s).").search
+        beyond = re.compile("[^\x00-\u024f]" if known else "(?s).").search
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = lambda text: beyond(text) or any(a in text for a in added)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -101,7 +103,7 @@ class Encoder:
         ends: list[int] = []
         odd: list[int] = []
         for i, text in enumerate(texts):
-            if text and self.beyond(text):
+            if text and self.odd(text):
                 odd.append(i)
             elif text:
                 parts += self.split(text)
@@ -131,29 +133,31 @@ def _tokenize(path: str, end_id: int):
     tail = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc, row = encoder(path), 0
         for batch in slices(batches, budget=2 << 20):
             ids = [x + tail for x in enc.encode_all(batch.column(1).to_pylist())]
             offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), "<u4").view(np.int32))
             yield pa.record_batch(
-                [batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.ListArray.from_arrays(offsets, values)],
-                names=["doc_id", "n_tokens", "ids_crc32", "ids"],
+                [batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array(np.arange(row, row + len(ids)))],
+                names=["doc_id", "n_tokens", "ids_crc32", "ids", "_row"],
             )
+            row += len(ids)
 
     return run
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, ids of every row (null and empty texts: the end id alone)."""
+    """doc_id, n_tokens, ids_crc32, ids, and the row's place in its task, of every row (null and empty texts: the end id alone)."""
     src = source(docs)
-    return src.mapInArrow(_tokenize(tokenizer, end_id), "doc_id long, n_tokens long, ids_crc32 long, ids array<int>")
+    return src.mapInArrow(_tokenize(tokenizer, end_id), "doc_id long, n_tokens long, ids_crc32 long, ids array<int>, _row long")
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, name: str = "tokens", path: str | None = None) -> str:
-    """Write the token files in ascending doc_id order (null ids first, repeated ids side by side); returns their folder.
+    """Write the token files in ascending doc_id order (null ids first, repeated ids side by side, by text); returns their folder.
 
-    Ranges of ids are cut over the raw rows, before the costly encoding, and each range is sorted by its task.
+    Null and empty texts are the end id alone, texts of any length are encoded whole, other columns are ignored, and an empty table
+    gives a folder that reads as empty.  Ranges of ids are cut over the raw rows, before the costly encoding, and each range is sorted by its task.
     Spark's committer writes the files, so a repeated task leaves no double rows.
     """
     spark = docs.sparkSession
@@ -171,7 +175,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, name: str = "toke
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, n_tokens long, ids_crc32 long, ids array<int>, _part int").parquet(path)
+    return spark.read.schema("doc_id long, n_tokens long, ids_crc32 long, ids array<int>, _row long, _part int").parquet(path)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -181,25 +185,25 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:
     """The rows of ``low <= doc_id <= high``: as files are in order of doc_id, their statistics and page indexes leave few pages to read."""
-    return read_tokens(spark, path).where(F.col("doc_id").between(low, high)).drop("_part")
+    return read_tokens(spark, path).where(F.col("doc_id").between(low, high)).drop("_part", "_row")
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lengths and checksums from the ids that were read, one list at a time."""
     for batch in batches:
-        lists = batch.column(2)
+        lists = batch.column(3)
         flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4").view("<u4")
         ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)] if len(ends) else []
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "_part", "n_tokens", "ids_crc32"])
+        yield pa.record_batch([*batch.columns[:3], pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "_part", "_row", "n_tokens", "ids_crc32"])
 
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of a token folder, from the ids in its files.
 
-    ``start`` counts the ids of all documents before it: a sum per written range, then a running
-    sum inside each range.  The running sum reads lengths only, not ids.
+    ``start`` counts the ids of all rows before it in the files, also among rows that repeat an id: a sum per written range, then a
+    running sum by the row's place inside each range.  The running sum reads lengths only, not ids.
     """
     read = read_tokens(spark, path)
-    out = read.select("doc_id", "_part", "ids").mapInArrow(_checksums, "doc_id long, _part int, n_tokens long, ids_crc32 long")
-    return prefix_within(stash(out, "token-digest"), ["doc_id", "ids_crc32", "n_tokens"], "n_tokens", "start").select("doc_id", F.col("start").cast("long").alias("start"), "n_tokens", "ids_crc32")
+    out = read.select("doc_id", "_part", "_row", "ids").mapInArrow(_checksums, "doc_id long, _part int, _row long, n_tokens long, ids_crc32 long")
+    return prefix_within(stash(out, "token-digest"), ["_row"], "n_tokens", "start").select("doc_id", F.col("start").cast("long").alias("start"), "n_tokens", "ids_crc32")

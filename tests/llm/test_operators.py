@@ -14,7 +14,7 @@ from lexiloom.llm import chat_format, decontamination, licenses, near_duplicates
 from lexiloom.llm.queries import byte_bpe
 
 LONG = " ".join(f"w{i % 911}x{i % 7}" for i in range(30_000))
-AWKWARD = [None, "", " \n\t ", "word", "a b c d", "Straße naïve — 東京 \U0001f600 ́", LONG, "mark a@b.co ￿", "tab\there\x0b\x0c\r\n\n\nx", "dup dup dup dup", "dup dup dup dup", "'s 'll  two   spaces \x85\xa0 end ", "0" * 3000, "a." * 3000 + "b@" + "c." * 3000 + "d"]
+AWKWARD = [None, "", " \n\t ", "word", "a b c d", "Straße naïve — 東京 \U0001f600 ́", LONG, "mark a@b.co ￿", "tab\there\x0b\x0c\r\n\n\nx", "dup dup dup dup", "dup dup dup dup", "'s 'll  two   spaces \x85\xa0 end ", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n<|endoftext", "0" * 3000, "a." * 3000 + "b@" + "c." * 3000 + "d"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, term_spans string, component_id string, kept string, key string, n_words string"
 
 
@@ -41,7 +41,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def awkward(docs):
-    return docs([*AWKWARD, "null id", "same id", "same id again"], [*range(len(AWKWARD)), None, 500, 500])
+    return docs([*AWKWARD, "null id", "same id", "same id again", "same", "same id and so on"], [*range(len(AWKWARD)), None, 500, 500, 500, 500])
 
 
 def empty(spark):
@@ -57,7 +57,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(byte_bpe())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -79,14 +78,12 @@ def test_encoder_forgets_without_changing_results(tokenizer, monkeypatch):
 def test_token_files(spark, awkward, tokenizer, tmp_path):
     path = tokens.write_tokens(awkward.repartition(5), byte_bpe(), 2)
     got = rows(tokens.token_digest(spark, path), "start")
-    assert [r["doc_id"] for r in got] == sorted((r["doc_id"] for r in awkward.collect()), key=lambda x: (x is not None, x))
-    at, by_id = 0, {r["doc_id"]: r["text"] for r in awkward.collect()}
-    for r in got:
-        assert r["start"] == at
-        at += r["n_tokens"]
-        if r["doc_id"] not in (500,):
-            ids = [*tokenizer(by_id[r["doc_id"]]), 2]
-            assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    want = sorted(((r["doc_id"], r["text"] or "") for r in awkward.collect()), key=lambda x: (x[0] is not None, x))
+    ids = [[*tokenizer(t), 2] for _, t in want]
+    starts = [0, *np.cumsum([len(x) for x in ids]).tolist()]
+    assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got] == [(d, s, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (d, _), s, x in zip(want, starts, ids, strict=False)]
+    files = spark.read.parquet(path).orderBy("_part", "_row").collect()  # the order of the files
+    assert [list(r["ids"]) for r in files] == ids
     assert tokens.token_digest(spark, tokens.write_tokens(empty(spark), byte_bpe(), 2)).count() == 0
 
 
@@ -110,15 +107,18 @@ def test_token_files_have_delta_ids_and_page_index(spark, docs, prose):
 def test_packing(spark, awkward, tokenizer):
     got = packing.pack(awkward, byte_bpe(), 1, with_ids=True).collect()
     assert sorted(r["sequence_id"] for r in got) == list(range(len(got)))
-    by_id = {}
+    pieces_of = Counter()
     for r in got:
         assert r["offset"] == 0 and r["length"] & (r["length"] - 1) == 0 and r["length"] <= 2048
         assert zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
-        by_id.setdefault(r["doc_id"], []).append(r)
-    for d in awkward.where("doc_id <> 500").collect():
-        parts = sorted(by_id[d["doc_id"]], key=lambda r: r["start"])
-        ids = np.array([*tokenizer(d["text"]), 1], "<u4").tobytes()
-        assert b"".join(bytes(r["ids"]) for r in parts) == ids and all(r["doc_tokens"] == len(ids) // 4 for r in parts)
+        pieces_of[r["doc_id"], r["start"], r["doc_tokens"], bytes(r["ids"])] += 1
+    want = Counter()
+    for d in awkward.collect():
+        ids, at = np.array([*tokenizer(d["text"]), 1], "<u4").tobytes(), 0
+        for size in packing.pieces(len(ids) // 4):
+            want[d["doc_id"], at, len(ids) // 4, ids[4 * at : 4 * (at + size)]] += 1
+            at += size
+    assert pieces_of == want
     order = sorted(got, key=lambda r: r["sequence_id"])
     assert [r["length"] for r in order] == sorted((r["length"] for r in order), reverse=True)
     assert packing.pack(empty(spark), byte_bpe(), 1).count() == 0

@@ -58,7 +58,6 @@ def test_run_equals_brute_force(spark, tmp_path):
     from lexiloom.llm.queries import byte_bpe
 
     t = Tokenizer.from_file(byte_bpe())
-    t.encode_special_tokens = True
     want = {i: np.array([*t.encode(redacted(x), add_special_tokens=False).ids, 1], "<u4").tobytes() for i, x in left.items() if i not in leaked}
     got: dict[int, list] = {}
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
