@@ -1,9 +1,10 @@
 """Connected components by alternating large-star and small-star contractions.
 
-Edges up to a number that the caller sets go to one task instead, a union-find over arrays: a few dozen shuffles cost more than that.
+On request, edges up to a number that the caller sets go to one task instead, a union-find over arrays: a few dozen shuffles cost more than that.
 
-Both contractions are a partial-aggregated ``min`` per node followed by an equi-join, so a node
-with very many neighbours is reduced on the map side and its join partition can be split by AQE.
+Both contractions are a partial-aggregated ``min`` per node followed by an equi-join.  A node with more neighbours than a quarter of a
+partition's fair share would fill its join task, however many machines there are; such nodes are fewer than eight times the partitions,
+so their minima are broadcast and their edges stay where they are.
 The number of rounds grows with the logarithm of the longest path, not with the path.
 """
 
@@ -19,16 +20,23 @@ from pyspark.sql import functions as F
 from lexiloom.plans.stash import cut
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _with_low(rows: DataFrame, n_rows: int) -> DataFrame:
+    """Add ``m``, the smallest ``v`` of each ``u``."""
+    low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    most = max(16, n_rows // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    hot = F.broadcast(low.where(F.col("n") > most).select("u", "m"))  # at most n_rows / most of them
+    usual = rows.join(hot, "u", "left_anti").join(low.where(F.col("n") <= most).select("u", "m"), "u")
+    return usual.unionByName(rows.join(hot, "u"))
+
+
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_low(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(e: DataFrame, n: int) -> DataFrame:
+    moved = _with_low(e, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(e.groupBy("u").agg(F.min("v").alias("v"))).distinct()
 
 
 def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,14 +80,15 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ma
         .distinct()
     )
     e, seen = cut(e), None
-    if small and e.count() <= small:
+    n = e.count()
+    if small and n <= small:
         return e.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_in_one_task, "id long, component long")
     for _ in range(max_rounds):
-        e = cut(_small_star(_large_star(e)))
+        e = cut(_small_star(_large_star(e, n), n))
         now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum((F.col("v") % 1000003)).alias("s")).first()
         if seen == now:
             break
-        seen = now
+        seen, n = now, now.n
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     tops = e.select(F.col("v").alias("id")).distinct()
