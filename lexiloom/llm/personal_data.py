@@ -4,28 +4,34 @@ Base spans are e-mail addresses, IPv4 addresses, payment cards (Luhn) and teleph
 then asks which other terms give a protected entity away: over the corpus, a term that stands in a document with
 an entity, outside all base spans, is scored by its pointwise mutual information with it,
 
-    bits(t, e) = log2( contexts(t, e) * documents / (documents(t) * documents(e)) ).
+    bits(t, e) = log2( contexts(t, e) * texts / (df(t) * de(e)) ).
 
-All four counts are of the same unit: texts after exact copies, and near copies as ``near_copies`` links them, have become
-one.  A term seen in at least ``MIN_CONTEXTS`` of them, whose share contexts(t, e) / documents(t) is at least
-``MIN_SHARE`` and whose bits reach ``MIN_BITS``, discloses the entity: its occurrences are spans of kind ``term``.
+The counts are of distinct texts after near copies, as ``near_copies`` links them, have become one: contexts and de among the texts
+that hold an entity which enough texts hold to be scored, df among all texts that hold a candidate.  A term seen with an entity in at
+least ``MIN_CONTEXTS`` of them, whose share contexts(t, e) / df(t) is at least ``MIN_SHARE``, both among the texts with entities and
+among all, and whose bits reach ``MIN_BITS``, discloses the entity: its occurrences are spans of kind ``term``.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm import rows
+from lexiloom.llm.rows import OPEN, SHUT, let
 from lexiloom.llm.tables import beside
 from lexiloom.operators.components import connected_components
 from lexiloom.plans.stash import cut, stash
 
 MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 6.0
-FILTER_BITS = 1 << 16
+#: Slots of the filter of candidate terms: sixteen for each of them, within these bounds.
+FEWEST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 22
 #: Near copies: words of a shingle, values of a sketch, bands of two minima each, least similarity.
 SHINGLE, SKETCH, BANDS, COPY = 3, 64, 10, 0.7
-
-_OPEN, _SHUT, _BLANK = "\ue000", "\ue001", "\u00a4"
+#: Spans that are replaced against one stretch of the text.
+PART = 512
 
 #: Possessive and anchored forms of the base patterns: same matches, linear time, no recursion.
 KINDS: dict[str, str] = {
@@ -39,10 +45,6 @@ _HINTS = {"email": "@", "ip": None, "card": None, "phone": "+"}
 _GUARDS = {"ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}"}
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def _digits(v: Column) -> Column:
     return F.regexp_replace(v, r"[^0-9]", "")
 
@@ -62,44 +64,47 @@ def _valid(kind: str, v: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(v, r"\."), lambda p: p.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"))
     if kind == "card":
-        return _let(_digits(v), lambda d: F.when(F.length(d).between(13, 19), _luhn(d)).otherwise(F.lit(False)))
+        return let(_digits(v), lambda d: F.when(F.length(d).between(13, 19), _luhn(d)).otherwise(F.lit(False)))
     if kind == "phone":
         return F.length(_digits(v)).between(9, 15)
     return F.lit(True)
 
 
+_SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
+
+
+def _worth(text: Column, kind: str) -> Column:
+    return F.contains(text, F.lit(_HINTS[kind])) if _HINTS[kind] else text.rlike(_GUARDS[kind])
+
+
 def _spans(text: Column, kind: str) -> Column:
     """Array of (kind, start, end, value), in code points.  ``text`` holds none of the two marks."""
-    marked = F.split(F.regexp_replace(text, KINDS[kind], f"{_OPEN}$0{_SHUT}"), _OPEN)
 
-    def place(pieces: Column) -> Column:
-        empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-        first = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), empty.alias("out"))
+    def place(cut_: Column) -> Column:
+        def one(at: Column) -> Column:
+            def span(piece: Column, i: Column) -> Column:
+                value, start = rows.matched(piece), F.get(at, i).cast("int")
+                return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(value)).cast("int").alias("end"), value.alias("value"))
+
+            return F.filter(F.transform(F.slice(cut_, F.lit(2), F.size(cut_)), span), lambda x: _valid(kind, x["value"]))
 
-        def step(acc: Column, piece: Column) -> Column:
-            value = F.substring_index(piece, _SHUT, 1)
-            here = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(value)).alias("end"), value.alias("value"))
-            return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.array_append(acc["out"], here).alias("out"))
+        return let(rows.starts(cut_), one)
 
-        found = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), first, step)["out"]
-        return F.filter(found, lambda x: _valid(kind, x["value"]))
+    return F.when(_worth(text, kind), let(rows.pieces(text, KINDS[kind]), place)).otherwise(F.array().cast(_SPANS))
 
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    worth = F.contains(text, F.lit(_HINTS[kind])) if _HINTS[kind] else text.rlike(_GUARDS[kind])
-    out = F.when(worth, _let(marked, place)).otherwise(none)
-    return F.transform(out, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
 
+def _without(kind: str, text: Column) -> Column:
+    """``text`` with a blank for each valid match of the kind."""
 
-def clean_text(col: str = "text") -> Column:
-    """Null as empty; the two private-use marks become another symbol of one code point."""
-    return F.translate(F.coalesce(F.col(col).cast("string"), F.lit("")), _OPEN + _SHUT, _BLANK + _BLANK)
+    def blanked(piece: Column, i: Column) -> Column:
+        return F.when(i == 0, piece).when(_valid(kind, rows.matched(piece)), F.concat(F.lit(" "), rows.rest(piece))).otherwise(F.replace(piece, F.lit(SHUT), F.lit("")))
+
+    return F.when(_worth(text, kind), F.array_join(F.transform(rows.pieces(text, KINDS[kind]), blanked), "")).otherwise(text)
 
 
 def with_base_spans(docs: DataFrame, text_col: str = "text", out: str = "base_spans") -> DataFrame:
     """Add ``out``: array of (kind, start, end, value), by kind as listed, then by start."""
-    held = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    safe = F.when(F.contains(held, F.lit(_OPEN)) | F.contains(held, F.lit(_SHUT)), clean_text(text_col)).otherwise(held)
-    return docs.withColumn(out, _let(safe, lambda t: F.concat(*[_spans(t, k) for k in KINDS])))
+    return docs.withColumn(out, let(rows.unmarked(F.col(text_col)), lambda t: F.concat(*[_spans(t, k) for k in KINDS])))
 
 
 def _terms(text: Column) -> Column:
@@ -107,17 +112,11 @@ def _terms(text: Column) -> Column:
 
 
 def _outside(text: Column) -> Column:
-    """Distinct terms of the text between the base spans, where there are any."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    spans = F.sort_array(F.transform("base_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["out"], gap).alias("out"))
-
-    rest = _let(F.aggregate(spans, start, step), lambda a: F.array_append(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    terms = F.filter(F.array_distinct(_terms(F.array_join(rest, " "))), lambda w: F.length(w) > 1)
-    return F.when(F.size("base_spans") > 0, terms)
+    """Distinct terms of the text after its base spans, kind by kind, have become blanks."""
+    out = text
+    for kind in KINDS:
+        out = let(out, partial(_without, kind))
+    return F.filter(F.array_distinct(_terms(out)), lambda w: F.length(w) > 1)
 
 
 def _entities() -> Column:
@@ -126,40 +125,38 @@ def _entities() -> Column:
     return F.array_distinct(F.transform("base_spans", lambda s: F.xxhash64(name(s))))
 
 
-def _observations(found: DataFrame, min_contexts: int) -> DataFrame:
-    """(text_key, e, term), each once: every term of a text with every entity of it that enough texts hold to be scored."""
-    texts = stash(found.groupBy(F.col("_key").alias("text_key")).agg(F.first("entities").alias("es"), F.first("terms").alias("terms")), "entities")
-    one = texts.select("text_key", F.explode("es").alias("e"))
-    enough = cut(one.groupBy("e").agg(F.count("*").alias("n")).where(F.col("n") >= min_contexts).select("e"))
-    kept = one.join(enough, "e", "left_semi").groupBy("text_key").agg(F.collect_set("e").alias("es"))
-    return texts.select("text_key", "terms").join(kept, "text_key").select("text_key", "es", F.explode("terms").alias("term")).select("text_key", F.explode("es").alias("e"), "term")
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(text_key, unit) of every text that has near copies among the distinct texts; ``unit`` is the smallest key of its group.
+def _sketch(text: Column) -> Column:
+    """The ``SKETCH`` smallest hashes of the text's word shingles; null without words."""
 
-    A sketch is the ``SKETCH`` smallest hashes of a text's word shingles.  Texts that agree in a band (two minima over the
-    sketch) with the band's first text are linked if their sketches put the similarity at ``COPY`` or more; groups are what hangs
-    together by links.  A pair of similarity 0.75 shares no band with probability (1 - 0.75**2)**10, about 3e-4.
-    """
-    words = F.filter(_terms(F.coalesce(F.col("text").cast("string"), F.lit(""))), lambda w: w != "")
-
-    def sketch(w: Column) -> Column:
+    def lowest(w: Column) -> Column:
         at = F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0)))
         grams = F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
         return F.when(F.size(w) > 0, F.slice(F.sort_array(F.array_distinct(grams)), 1, SKETCH))
 
-    each = docs.select(F.xxhash64("text").alias("text_key"), _let(words, sketch).alias("sketch")).where("sketch is not null")
-    sketches = stash(each.groupBy("text_key").agg(F.first("sketch").alias("sketch")), "sketches")
+    return let(F.filter(_terms(text), lambda w: w != ""), lowest)
+
+
+def near_copies(sketches: DataFrame) -> DataFrame:
+    """(text_key, unit) of every text that has near copies among ``sketches`` (text_key, sketch; each text once); ``unit`` is the smallest
+    key of its group.
+
+    Texts that agree in a band (two minima over the sketch) with the band's first text are linked if their sketches put the
+    similarity at ``COPY`` or more; groups are what hangs together by links.  A pair of similarity 0.75 shares no band with
+    probability (1 - 0.75**2)**10, about 3e-4.
+    """
+    held = sketches.where("sketch is not null")
     low = lambda i: F.array_min(F.transform("sketch", lambda x: F.xxhash64(x, F.lit(i))))
     bands = F.array(*[F.xxhash64(F.lit(b), low(2 * b), low(2 * b + 1)) for b in range(BANDS)])
-    held = stash(sketches.select("text_key", F.explode(bands).alias("band")), "bands")
-    first = cut(held.groupBy("band").agg(F.min("text_key").alias("unit"), F.max("text_key").alias("last")).where("unit < last").drop("last"))
-    links = cut(held.join(first, "band").where("text_key <> unit").select("text_key", "unit").distinct())
-    both = links.join(sketches, "text_key").join(sketches.select(F.col("text_key").alias("unit"), F.col("sketch").alias("other")), "unit")
+    banded = stash(held.select("text_key", F.explode(bands).alias("band")), "bands")
+    first = cut(banded.groupBy("band").agg(F.min("text_key").alias("unit"), F.max("text_key").alias("last")).where("unit < last").drop("last"))
+    links = cut(banded.join(first, "band").where("text_key <> unit").select("text_key", "unit").distinct())
+    both = links.join(held, "text_key").join(held.select(F.col("text_key").alias("unit"), F.col("sketch").alias("other")), "unit")
     union = F.slice(F.sort_array(F.array_union("sketch", "other")), 1, SKETCH)
-    alike = _let(union, lambda u: F.size(F.array_intersect(F.array_intersect(u, F.col("sketch")), F.col("other"))) >= COPY * F.size(u))
-    return cut(connected_components(both.where(alike).select("text_key", "unit"), "text_key", "unit").select(F.col("id").alias("text_key"), F.col("component").alias("unit")))
+    alike = let(union, lambda u: F.size(F.array_intersect(F.array_intersect(u, F.col("sketch")), F.col("other"))) >= COPY * F.size(u))
+    true = cut(both.where(alike).select("text_key", "unit"))
+    if not true.head(1):
+        return true
+    return cut(connected_components(true, "text_key", "unit").select(F.col("id").alias("text_key"), F.col("component").alias("unit")))
 
 
 def _in_units(own: DataFrame, by: list[str], out: str) -> DataFrame:
@@ -170,81 +167,103 @@ def _in_units(own: DataFrame, by: list[str], out: str) -> DataFrame:
     return alone.unionByName(grouped).groupBy(*by).agg(F.sum("n").alias(out))
 
 
+class _Filter:
+    """One byte for each slot of the hashes of ``terms`` (term, distinct): at most ``MOST_SLOTS`` bytes, whatever the corpus."""
+
+    def __init__(self, terms: DataFrame) -> None:
+        n = terms.count()
+        self.slots = min(MOST_SLOTS, max(FEWEST_SLOTS, 1 << (16 * n).bit_length()))
+        held = bytearray(self.slots)
+        for at in terms.select(self._slot(F.col("term")).alias("at")).distinct().toArrow()["at"].to_pylist():  # at most MOST_SLOTS numbers
+            held[at] = 1
+        self.table = F.lit(held)
+
+    def _slot(self, w: Column) -> Column:
+        return F.pmod(F.xxhash64(w), F.lit(self.slots)).cast("int")
+
+    def passes(self, w: Column) -> Column:
+        return F.substring(self.table, self._slot(w) + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+
+
+def _entity_texts(found: DataFrame, min_contexts: int) -> DataFrame:
+    """(text_key, es, terms, sketch), each text once: those with an entity that enough texts hold, and these entities."""
+    texts = stash(found.groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("entities", "terms", "sketch")]), "entity-texts")
+    one = texts.select("text_key", F.explode("entities").alias("e"))
+    enough = cut(one.groupBy("e").agg(F.count("*").alias("n")).where(F.col("n") >= min_contexts).select("e"))
+    kept = one.join(enough, "e", "left_semi").groupBy("text_key").agg(F.collect_set("e").alias("es"))
+    return stash(texts.drop("entities").join(kept, "text_key"), "scored-texts")
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
     """One row per term over the thresholds: term, bits (its largest), contexts.
 
-    Candidates (term, entity) with enough distinct contexts come first; only their document counts are needed.  Words of all
-    documents pass a bitmap of ``FILTER_BITS`` bits of the candidates' hashes (a fixed size whatever the corpus) before
-    they are counted, and the counts themselves are exact.
+    ``found``: text_key, entities, terms, sketch of the texts with entities.  These give the candidates: a term that stands in more of
+    them than ``min_share`` allows for its contexts is none, which leaves out the common words before the corpus is read.  Words of all
+    documents pass a filter of the candidates (a fixed size whatever the corpus) inside the row; the counts of those that pass are exact.
     """
-    seen = cut(_observations(found, min_contexts))
-    none = seen.select("term", F.lit(0.0).alias("bits"), F.lit(0).cast("long").alias("contexts")).limit(0)
-    if not seen.groupBy("e", "term").count().where(F.col("count") >= min_contexts).head(1):
+    own = _entity_texts(found, min_contexts)
+    none = own.select(F.lit("").alias("term"), F.lit(0.0).alias("bits"), F.lit(0).cast("long").alias("contexts")).limit(0)
+    if not own.head(1):
         return none
-    units = near_copies(docs)
-    seen = cut(seen.join(units, "text_key", "left"))
-    pairs = cut(_in_units(seen, ["e", "term"], "contexts").where(F.col("contexts") >= min_contexts))
-    bit = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS)).cast("int")
-    hits = {r.b for r in pairs.select(bit.alias("b")).distinct().collect()}  # at most FILTER_BITS numbers
-    if not hits:
+    units = near_copies(own.select("text_key", "sketch"))
+    seen = cut(own.join(units, "text_key", "left").select("text_key", "unit", "es", "terms"))
+    pairs = _in_units(seen.select("text_key", "unit", F.explode("es").alias("e"), "terms").select("text_key", "unit", "e", F.explode("terms").alias("term")), ["e", "term"], "contexts")
+    among = _in_units(seen.select("text_key", "unit", F.explode("terms").alias("term")), ["term"], "among")
+    likely = cut(pairs.where(F.col("contexts") >= min_contexts).join(among, "term").where(F.col("contexts") >= min_share * F.col("among")).drop("among"))
+    terms = cut(likely.select("term").distinct())
+    if not terms.head(1):
         return none
-    bitmap = F.lit(bytearray(1 if i in hits else 0 for i in range(FILTER_BITS)))
-    held = lambda w: F.substring(bitmap, F.pmod(F.xxhash64(w), F.lit(FILTER_BITS)).cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
-    words = docs.select(F.xxhash64("text").alias("text_key"), F.filter(F.array_distinct(_terms(F.coalesce(F.col("text").cast("string"), F.lit("")))), held).alias("terms"))
-    texts = stash(words.groupBy("text_key").agg(F.first("terms").alias("terms")).join(units, "text_key", "left"), "terms")  # exact copies meet on the map side
-    df = _in_units(texts.select("unit", F.explode("terms").alias("term")), ["term"], "df")
-    de = _in_units(seen.select("e", "text_key", "unit").distinct(), ["e"], "de")
-    merged = units.agg(F.count("*").alias("n"), F.count_distinct("unit").alias("u")).first()
-    total = docs.select(F.xxhash64("text")).distinct().count() - merged.n + merged.u
+    asked = _Filter(terms)
+    held = docs.select(F.xxhash64("text").alias("text_key"), rows.unmarked(F.col("text")).alias("text"))
+    hits = held.withColumn("terms", F.filter(F.array_distinct(_terms(F.col("text"))), asked.passes)).where(F.size("terms") > 0)
+    holders = stash(hits.select("text_key", "terms", _sketch(F.col("text")).alias("sketch")).groupBy("text_key").agg(F.first("terms").alias("terms"), F.first("sketch").alias("sketch")), "holders")
+    copies = near_copies(holders.select("text_key", "sketch"))
+    each = holders.join(copies, "text_key", "left").select("text_key", "unit", F.explode("terms").alias("term")).join(terms, "term", "left_semi")
+    df = _in_units(each, ["term"], "df")
+    de = _in_units(seen.select("text_key", "unit", F.explode("es").alias("e")), ["e"], "de")
+    total = docs.select(F.xxhash64("text")).distinct().count()
     bits = F.log2(F.col("contexts") * F.lit(float(total)) / (F.col("df") * F.col("de")))
-    scored = pairs.join(df, "term").join(de, "e").withColumn("bits", bits)
+    scored = likely.join(df, "term").join(de, "e").withColumn("bits", bits)
     return cut(scored.where((F.col("bits") >= min_bits) & (F.col("contexts") >= min_share * F.col("df"))).groupBy("term").agg(F.max("bits").alias("bits"), F.max("contexts").alias("contexts")))
 
 
 def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, text_key, term_spans): occurrences of disclosing terms, for the documents that hold any."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
-    hits = {r.b for r in terms.select(bit("term").alias("b")).distinct().collect()}
-    bitmap = F.lit(bytearray(1 if i in hits else 0 for i in range(FILTER_BITS)))
-    key = docs.select("doc_id", F.xxhash64("text").alias("text_key"), clean_text().alias("text"))
-    hit = lambda w: F.substring(bitmap, F.pmod(F.xxhash64(F.lower(w)), F.lit(FILTER_BITS)).cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
-    pieces = F.split(F.regexp_replace("text", r"[\p{L}\p{N}]+", f"{_OPEN}$0{_SHUT}"), _OPEN)
-
-    def place(p: Column) -> Column:
-        first = F.struct(F.length(F.get(p, F.lit(0))).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
+    asked = _Filter(terms)
+    key = docs.select("doc_id", F.xxhash64("text").alias("text_key"), rows.unmarked(F.col("text")).alias("text"))
+    some = key.where(F.exists(_terms(F.col("text")), asked.passes))
 
-        def step(a: Column, piece: Column) -> Column:
-            value = F.substring_index(piece, _SHUT, 1)
-            out = F.when(hit(value), F.array_append(a["out"], F.struct(a["at"].alias("start"), value.alias("value")))).otherwise(a["out"])
-            return F.struct((a["at"] + F.length(piece) - 1).alias("at"), out.alias("out"))
+    def place(cut_: Column) -> Column:
+        words = lambda at: F.transform(F.slice(cut_, F.lit(2), F.size(cut_)), lambda p, i: F.struct(F.get(at, i).cast("int").alias("start"), rows.matched(p).alias("value")))
+        return F.filter(let(rows.starts(cut_), words), lambda x: asked.passes(F.lower(x["value"])))
 
-        return F.aggregate(F.slice(p, F.lit(2), F.size(p)), first, step)["out"]
-
-    # only words that pass the bitmap leave the row
-    words = key.select("doc_id", "text_key", F.explode(_let(pieces, place)).alias("w")).distinct()
+    # only words that pass the filter leave the row
+    words = some.select("doc_id", "text_key", F.explode(let(rows.pieces(F.col("text"), r"[\p{L}\p{N}]+"), place)).alias("w")).distinct()
     named = words.select("doc_id", "text_key", F.col("w.start").alias("start"), F.col("w.value").alias("value"), F.lower("w.value").alias("term"))
     span = F.struct(F.lit("term").alias("kind"), "start", (F.col("start") + F.length("value")).alias("end"), "value")
     return named.join(terms.select("term"), "term").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(span)).alias("term_spans"))
 
 
-_NONE = "array<struct<kind:string,start:int,end:int,value:string>>"
-
-
 def find_personal_data(docs: DataFrame, keep_text: bool = True, **limits: float) -> DataFrame:
     """``docs`` with base_spans and term_spans (arrays of kind, start, end, value; code points, end exclusive).
 
-    Null and empty texts have no spans.  Rows that repeat an id are searched one by one.  Null ids are kept; columns of ``docs``
-    named like an output are replaced.  An empty table gives an empty result.
+    Spans are found once and stored, beside all columns of ``docs`` or, without ``keep_text``, beside the id alone.  Null and empty texts have
+    no spans; texts of any length are searched whole.  Rows that repeat an id are searched one by one.  Null ids are kept; columns of
+    ``docs`` named like an output are replaced.  An empty table gives an empty result.
     """
-    found = with_base_spans(docs.select("doc_id", "text"))
-    seen = cut(found.select("doc_id", F.xxhash64("text").alias("_key"), "base_spans", _entities().alias("entities"), _outside(clean_text()).alias("terms")))
-    terms = disclosing_terms(docs, seen.where(F.size("entities") > 0), **limits)
-    rows = with_base_spans(docs.drop("base_spans", "term_spans", "_key")).withColumn("_key", F.xxhash64("text")) if keep_text else seen.drop("entities", "terms")
+    plain = docs.drop("base_spans", "term_spans", "text_key", "entities", "terms", "sketch")
+    found = with_base_spans(plain).withColumn("text_key", F.xxhash64("text"))
+    some = F.size("base_spans") > 0
+    text = rows.unmarked(F.col("text"))
+    about = {"entities": _entities(), "terms": F.when(some, let(text, _outside)), "sketch": F.when(some, let(text, _sketch))}
+    stored = stash((found if keep_text else found.select("doc_id", "text", "text_key", "base_spans")).withColumns(about).drop(*([] if keep_text else ["text"])), "spans")
+    terms = disclosing_terms(plain.select("doc_id", "text"), stored.where(F.size("entities") > 0).select("text_key", "entities", "terms", "sketch"), **limits)
+    out = stored.drop("entities", "terms", "sketch")
     if not terms.head(1):
-        return rows.drop("_key").withColumn("term_spans", F.array().cast(_NONE))
-    extra = _term_spans(docs, terms).withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
-    out = rows.join(extra, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left").drop("_d", "_t", "_key")
-    return out.withColumn("term_spans", F.coalesce("term_spans", F.array().cast(_NONE)))
+        return out.drop("text_key").withColumn("term_spans", F.array().cast(_SPANS))
+    extra = _term_spans(plain.select("doc_id", "text"), terms).withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
+    both = out.join(extra, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t")), "left").drop("_d", "_t", "text_key")
+    return both.withColumn("term_spans", F.coalesce("term_spans", F.array().cast(_SPANS)))
 
 
 def span_digest(found: DataFrame) -> DataFrame:
@@ -263,23 +282,47 @@ def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
     """Replace ``text_col`` by its text with every span as ``[KIND]``; overlapping spans merge under the
     first one's kind, of equal starts the longest.
 
-    Terms are removed down to ``[TERM]``.  A null text stays null.
+    Terms are removed down to ``[TERM]``.  A null text stays null.  Spans are worked off in parts of ``PART``, each with its own stretch of
+    the text, so that a long text with many spans is not walked from its start for each of them.
     """
-    spans = F.sort_array(F.transform(F.concat("base_spans", "term_spans"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.col(text_col)
+    ordered = F.sort_array(F.transform(F.concat("base_spans", "term_spans"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+
+    def marked(s: Column) -> Column:
+        """Of each span the end of the text before it that is gone already."""
+        upto = rows.scan(F.transform(s, lambda x: (-x["back"]).cast("long")), F.greatest)
+        return let(upto, lambda u: F.transform(s, lambda x, i: F.struct(F.coalesce(F.get(u, i - 1), F.lit(0)).cast("int").alias("gone"), x["start"].alias("start"), F.get(u, i).cast("int").alias("end"), x["kind"].alias("kind"))))
+
+    def part(m: Column, k: Column) -> Column:
+        """Text and marks of the k-th part, from the end of the part before."""
+        own = F.slice(m, k * PART + 1, F.lit(PART))
+
+        def written(o: Column) -> Column:
+            begin = F.get(o, F.lit(0))["gone"]
+            stretch = F.substring(text, begin + 1, F.get(o, F.size(o) - 1)["end"] - begin)
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text_col), acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        mark = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], mark).alias("out"))
+            def one(x: Column, t: Column) -> Column:
+                gap = F.substring(t, x["gone"] - begin + 1, F.greatest(F.lit(0), x["start"] - x["gone"]))
+                return F.when(x["start"] >= x["gone"], F.concat(gap, F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(F.lit(""))
+
+            return let(stretch, lambda t: F.array_join(F.transform(o, lambda x: one(x, t)), ""))
+
+        return let(own, written)
+
+    def whole(m: Column) -> Column:
+        last = F.floor((F.size(m) - 1) / PART).cast("int")
+        tail = F.substring(text, F.get(m, F.size(m) - 1)["end"] + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), last), lambda k: part(m, k)), ""), tail)
 
-    done = _let(F.aggregate(spans, start, step), lambda a: F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, F.length(F.col(text_col)))))
     some = F.size("base_spans") + F.size("term_spans") > 0
-    return found.withColumn(text_col, F.when(some, done).otherwise(F.col(text_col))).drop("base_spans", "term_spans")
+    return found.withColumn(text_col, F.when(some, let(let(ordered, marked), whole)).otherwise(text)).drop("base_spans", "term_spans")
 
 
 def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
-    """``docs`` with personal data replaced in ``text``; rows and columns stay (``n_chars`` follows the text)."""
+    """``docs`` with personal data replaced in ``text``; rows and columns stay (``n_chars`` follows the text).
+
+    Null and empty texts stay as they are, long ones are worked on whole, rows that repeat an id one by one; an empty table stays empty.
+    """
 
     def work(own: DataFrame) -> DataFrame:
         out = redact(find_personal_data(own, **limits))
