@@ -1,16 +1,18 @@
 """MinHash near-duplicates through an LSH forest.
 
-A document is its set of distinct five-word shingles.  ``TREES`` sorted signature orders hold every
-distinct set once (exact copies collapse first).  In each order, documents whose signatures share a
-prefix of at least ``DEPTH`` values are neighbours; a pair of similarity 0.75 is missed by all 32 orders
-with probability (1 - 0.75**4)**32, about 5e-6.  The depth adapts to the region: where more than
-``DENSE`` documents share a prefix, the region is split by the next four values, each part is linked
-to its own first document and that one to the region's.
-
-Candidates are confirmed on full shingle sets.  Linking to one representative leaves pairs untested, so
-a second step looks at every region whose documents still fall in several components: all documents outside
-its main component are compared with all of the region, in blocks of ``BLOCK`` documents, exactly.  A
-region is therefore never reduced, capped or sampled, pairs are never emitted as rows (a block returns
+A document is its set of distinct five-word shingles; exact copies collapse first.  Each of ``TREES`` orders gives a document a label of
+``DEPTH`` + ``MORE`` minima, and all labels are sorted, order by order.  Documents whose labels agree in at least ``DEPTH`` minima stand
+together in their order and are candidates: a pair of similarity 0.75 has no such prefix in any of 32 orders with probability
+(1 - 0.75**4)**32, about 5e-6.  Neighbours' longest common prefixes cut such a region further: while a part has more than ``DENSE``
+documents it is cut at the next minimum, so the depth adapts to the region.
+
+1. Every document is compared with the first document of its part, and the first ones of parts with the region's.
+2. Where a region still holds several components, the first document of each is compared with the largest one's.
+3. What is then left, documents of regions with several components, is decided exactly by a prefix filter: with shingles ordered from rare
+   to common, two sets of similarity 0.75 share one among the first 1/7 of the smaller and the first 1/4 of the larger set.  Documents
+   that share such a shingle are compared in blocks of ``BLOCK``; equal groups of documents are compared once.
+
+All comparisons are on full shingle sets.  No region is reduced, capped or sampled, pairs are never emitted as rows (a block returns
 at most a spanning forest of its links), and no task holds more than two blocks.
 """
 
@@ -28,13 +30,15 @@ from lexiloom.llm.tables import slices, source
 from lexiloom.operators.components import connected_components
 from lexiloom.plans.stash import cut, stash
 
-TREES, DEPTH, DEEPER = 32, 4, 4
+TREES, DEPTH, MORE = 32, 4, 8
 SHINGLE, DENSE, BLOCK = 5, 64, 256
+#: In regions that were cut, first documents that a document is compared with; shingle counts that order the prefix filter; rows sorted out at a time.
+BEST, COUNTS, CHUNK = 2, 1 << 16, 1 << 16
 _SEEDS = np.random.default_rng(20240229).integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _signature_batch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Region keys (prefix of DEPTH values) and continuation keys of each order, per non-empty set."""
+    """Per non-empty set and order: the hash of its first DEPTH minima, and 16 bits of each of these packed into one number."""
     flat = np.concatenate(sets)
     at = np.cumsum([0, *(len(s) for s in sets[:-1])])
     low = np.empty((TREES * DEPTH, len(sets)), np.uint64)
@@ -43,11 +47,11 @@ def _signature_batch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         np.multiply(flat, seed, out=buffer)
         low[k] = np.minimum.reduceat(buffer, at)
     low = mix(low).reshape(TREES, DEPTH, len(sets))
-    keys = np.zeros((TREES, len(sets)), np.uint64)
+    keys, packed = np.zeros((2, TREES, len(sets)), np.uint64)
     for d in range(DEPTH):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + low[:, d])
-    keys = mix(keys + np.arange(1, TREES + 1, dtype=np.uint64)[:, None])
-    return keys.T.copy(), np.roll(keys, -1, axis=0).T.copy()  # an order goes on with the next order's values
+        packed = packed << np.uint64(16) | low[:, d] >> np.uint64(48)
+    return mix(keys + np.arange(1, TREES + 1, dtype=np.uint64)[:, None]).T.copy(), packed.T.copy()
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,14 +63,14 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alts = np.array([int(np.add.reduce(mix(s))) if len(s) else 0 for s in sets], np.uint64)
         full = np.flatnonzero(count)
         keys = np.zeros((len(sets), TREES), np.uint64)
-        deep = np.zeros((len(sets), TREES), np.uint64)
+        packed = np.zeros((len(sets), TREES), np.uint64)
         step = 0
         while step < len(full):  # so many shingles at a time that they stay in cache
             end, held = step, 0
             while end < len(full) and (end == step or held + count[full[end]] <= 65536):
                 held += count[full[end]]
                 end += 1
-            keys[full[step:end]], deep[full[step:end]] = _signature_batch([sets[i] for i in full[step:end]])
+            keys[full[step:end]], packed[full[step:end]] = _signature_batch([sets[i] for i in full[step:end]])
             step = end
         offsets = np.arange(0, len(sets) * TREES + 1, TREES, dtype=np.int32)
         yield pa.record_batch(
@@ -76,12 +80,78 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(sums.view(np.int64)),
                 pa.array(alts.view(np.int64)),
                 pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel())),
-                pa.ListArray.from_arrays(offsets, pa.array((deep >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel())),
+                pa.ListArray.from_arrays(offsets, pa.array(packed.view(np.int64).ravel())),
             ],
-            names=["doc_id", "n_shingles", "c1", "c2", "keys", "deep"],
+            names=["doc_id", "n_shingles", "c1", "c2", "keys", "packed"],
         )
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
+    """The columns of as many batches as make up ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield [np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(batch.num_columns)]
+            held = []
+    if held:
+        yield [np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(held[0].num_columns)]
+
+
+def _common(key: np.ndarray, *deep: np.ndarray) -> np.ndarray:
+    """Length of the prefix that each row's label shares with the row before: 0, or DEPTH and more."""
+    out = np.zeros(len(key), np.int64)
+    same = np.concatenate([[False], key[1:] == key[:-1]])
+    out[same] = DEPTH
+    for word in deep:
+        differ = np.concatenate([[0], word[1:] ^ word[:-1]]).view(np.uint64)
+        equal = np.select([differ >> np.uint64(48) > 0, differ >> np.uint64(32) > 0, differ >> np.uint64(16) > 0, differ > 0], [0, 1, 2, 3], 4)
+        out[same] += equal[same]
+        same &= equal == 4
+    return out
+
+
+def _parts(common: np.ndarray, dense: int) -> tuple[np.ndarray, np.ndarray]:
+    """(region, part) numbers of sorted rows: parts of more than ``dense`` rows are cut at the next minimum, as long as there is one."""
+    region = np.cumsum(common < DEPTH) - 1
+    part = region
+    for depth in range(DEPTH + 1, DEPTH + MORE + 1):
+        large = np.bincount(part)[part] > dense
+        if not large.any():
+            break
+        part = np.cumsum((common < DEPTH) | (np.concatenate([[True], part[1:] != part[:-1]])) | large & (common < depth)) - 1
+    return region, part
+
+
+def _regions(dense: int, chunk: int):
+    """Rows sorted by (key, deep1, deep2, id) to members (key, id, top, n, cut) of regions of several documents: ``top`` is the smallest id of
+    the part, ``n`` the region's size.  ``cut``: the region has several parts, or may go on in another task or chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[np.ndarray] | None = None
+        chunks = _gathered(batches, chunk)
+        now, first = next(chunks, None), True
+        while now is not None:
+            after = next(chunks, None)
+            cols = now if last is None else [np.concatenate([a, b]) for a, b in zip(last, now, strict=True)]  # the row before belongs to both chunks
+            key, deep1, deep2, ids = cols
+            region, part = _parts(_common(key, deep1, deep2), dense)
+            n = np.bincount(region)[region]
+            lows = np.full(part[-1] + 1, np.iinfo(np.int64).max)
+            np.minimum.at(lows, part, ids)
+            several = np.zeros(region[-1] + 1, bool)
+            several[region[1:][(part[1:] != part[:-1]) & (region[1:] == region[:-1])]] = True
+            several[[region[0], region[-1]]] = True  # at the ends it may go on
+            edge = np.zeros(len(ids), bool)
+            edge[0] = first
+            edge[-1] |= after is None
+            keep = (n > 1) | edge
+            yield pa.record_batch([pa.array(key[keep]), pa.array(ids[keep]), pa.array(lows[part][keep]), pa.array(n[keep]), pa.array(several[region][keep])], names=["key", "id", "top", "n", "cut"])
+            last, now, first = [c[-1:] for c in cols], after, False
+
+    return run
+
+
 class _Forest:
     """Union-find of one block."""
 
@@ -151,7 +221,100 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirm(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """``rows``: blk, role, id, comp.  The block's texts meet in one task; only links leave it."""
     dealt = rows.join(texts, "id").select("blk", "role", "id", "comp", "text")
-    return dealt.repartition("blk").sortWithinPartitions("blk", "role").mapInArrow(_links, "u long, v long")
+    return cut(dealt.repartition("blk").sortWithinPartitions("blk", "role").mapInArrow(_links, "u long, v long"))
+
+
+def _confirm_stars(star: DataFrame, texts: DataFrame) -> DataFrame:
+    """The true ones of the links (top, id); a star of many links is dealt out in blocks."""
+    star = cut(star.distinct())
+    wide = cut(star.groupBy("top").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")))
+    spread = star.join(wide, "top").select("top", "id", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("b"))
+    leaf = spread.select(F.xxhash64("top", "b").alias("blk"), F.lit(1).alias("role"), "id", F.col("id").alias("comp"))
+    hub = spread.select("top", "b").distinct().select(F.xxhash64("top", "b").alias("blk"), F.lit(0).alias("role"), F.col("top").alias("id"), F.col("top").alias("comp"))
+    return _confirm(leaf.unionByName(hub), texts)
+
+
+def _first_links(members: DataFrame) -> DataFrame:
+    """(top, id): of each region in one part all of them; of regions that were cut, each document's ``BEST`` first ones (those that it
+    shares most orders with) and the first one of each part with the region's."""
+    apart = members.where("cut")
+    ranked = apart.where("top <> id").groupBy("id", "top").agg(F.count("*").alias("n")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", (-F.col("top")).alias("m"))), asc=False).alias("x"))  # at most one entry per order
+    best = ranked.select("id", F.explode(F.slice("x", 1, BEST)).alias("x")).select((-F.col("x.m")).alias("top"), "id")
+    tops = apart.select("key", "top").distinct()
+    chief = tops.groupBy("key").agg(F.min("top").alias("first"))
+    between = tops.join(chief, "key").where("top <> first").select(F.col("first").alias("top"), F.col("top").alias("id"))
+    return members.where("not cut and top <> id").select("top", "id").unionByName(best).unionByName(between)
+
+
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, id, comp) of the regions that hold several components among documents that have not all been compared."""
+    comps = connected_components(links)
+    now = members.join(comps.select("id", "component"), "id", "left").select("key", "id", "top", "n", "cut", F.coalesce("component", "id").alias("comp"))
+    # a region's first document has met all others already, but not if the region was cut
+    unmet = F.col("cut") | (F.col("n") > 2) & (F.col("id") != F.col("top"))
+    keys = cut(now.where(unmet).groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key"))
+    return cut(now.join(keys, "key").select("key", "id", "comp"))
+
+
+def _chief_links(left: DataFrame) -> DataFrame:
+    """(top, id): in each region the first document of the largest component with that of each other one."""
+    each = cut(left.groupBy("key", "comp").agg(F.min("id").alias("id"), F.count("*").alias("c")))
+    main = each.groupBy("key").agg(F.max(F.struct("c", F.negative("comp").alias("m"), "id")).alias("x")).select("key", F.col("x.id").alias("top"))
+    return each.join(main, "key").where("id <> top").select("top", "id")
+
+
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTS, np.int64)
+    for batch in slices(batches):
+        for s in shingle_sets([encode(t) for t in batch.column("text").to_pylist()], SHINGLE):
+            total += np.bincount((s % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
+    yield pa.record_batch([pa.array(np.arange(COUNTS)), pa.array(total)], names=["at", "n"])
+
+
+def _prefixes(counts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = shingle_sets([encode(t) for t in batch.column("text").to_pylist()], SHINGLE)
+            found, owner, leads = [], [], []
+            for i, s in enumerate(sets):
+                n = len(s)
+                probe, lead = n + -(3 * n) // 4 + 1, n + -(6 * n) // 7 + 1
+                found.append(s[np.lexsort((s, counts[(s % np.uint64(COUNTS)).astype(np.int64)]))[:probe]])
+                owner.append(np.full(probe, i))
+                leads.append(np.arange(probe) < lead)
+            at = np.concatenate(owner)
+            yield pa.record_batch(
+                [pa.array(np.concatenate(found).view(np.int64)), *(batch.column(c).take(pa.array(at)) for c in ("id", "comp")), pa.array(np.concatenate(leads))],
+                names=["key", "id", "comp", "lead"],
+            )
+
+    return run
+
+
+def _rare_groups(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, id, comp): the documents that share a shingle of the prefix filter, where they are of several components; of equal groups one.
+
+    Any order of the shingles is right; counts by hash, of a fixed number, put the common ones last.
+    """
+    docs = stash(left.select("id", "comp").distinct().join(texts, "id"), "undecided")
+    counts = np.zeros(COUNTS, np.int64)
+    summed = docs.mapInArrow(_shingle_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTS rows
+    counts[summed["at"].to_numpy()] = summed["n"].to_numpy()
+    shared = stash(docs.mapInArrow(_prefixes(counts), "key long, id long, comp long, lead boolean"), "prefixes")
+    name = F.xxhash64("id")
+    groups = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.max("lead").alias("lead"), F.bit_xor(name).alias("x"), F.sum(F.shiftright(name, 24)).alias("y"))
+    once = cut(groups.where("a <> b and lead").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"))
+    return cut(shared.join(once, "key").select("key", "id", "comp"))
+
+
+def _confirm_groups(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """The true links between components of each group (key, id, comp): what is outside the largest one against all, in blocks."""
+    sizes = left.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    main = cut(sizes.groupBy("key").agg(F.max(F.struct("c", F.negative("comp").alias("m"))).alias("x"), F.sum("c").alias("all")).select("key", F.negative("x.m").alias("main"), F.ceil((F.col("all") - F.col("x.c")) / BLOCK).cast("int").alias("ns"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nm")))
+    split = left.join(main, "key")
+    outer = split.where("comp <> main").select("key", F.pmod(F.xxhash64("id"), F.col("ns")).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), F.lit(0).alias("role"), "id", "comp")
+    target = split.select("key", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("s"), F.pmod(F.xxhash64("id"), F.col("nm")).cast("int").alias("m"), F.lit(1).alias("role"), "id", "comp")
+    return _confirm(outer.unionByName(target).select(F.xxhash64("key", "s", "m").alias("blk"), "role", "id", "comp"), texts)
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,48 +327,26 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     an empty table gives an empty result.
     """
     src = source(docs, id_col, text_col)
-    sig = stash(src.mapInArrow(_signatures, "doc_id long, n_shingles long, c1 long, c2 long, keys array<long>, deep array<int>"), "signatures")
+    sig = stash(src.mapInArrow(_signatures, "doc_id long, n_shingles long, c1 long, c2 long, keys array<long>, packed array<long>"), "signatures")
     real = sig.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
-    one = real.join(classes, ["c1", "c2", "n_shingles", "doc_id"])
-    rows = one.select(F.col("doc_id").alias("id"), F.explode(F.arrays_zip("keys", "deep")).alias("k")).select("id", F.col("k.keys").alias("key"), F.col("k.deep").alias("deep"))
-    # one row per key is stored before it is joined back: the join then reads two plain exchanges, whose large partitions can be split
-    regions = cut(rows.groupBy("key").agg(F.min("id").alias("top"), F.count("*").alias("n")).where("n > 1"))
-    members = stash(rows.join(regions, "key"), "regions")
-
-    dense = members.where(F.col("n") > DENSE)
-    parts = cut(dense.groupBy("key", "deep").agg(F.min("id").alias("sub")))
-    near = dense.join(parts, ["key", "deep"])
-    star = (
-        members.where(F.col("n") <= DENSE)
-        .select("top", "id")
-        .unionByName(near.select(F.col("sub").alias("top"), "id"))
-        .unionByName(near.select("top", F.col("sub").alias("id")))
-        .where("top <> id")
-        .distinct()
-    )
+    one = stash(real.join(classes, ["c1", "c2", "n_shingles", "doc_id"]).select(F.col("doc_id").alias("id"), "keys", "packed"), "distinct")
+    labels = one.select("id", "packed", F.posexplode("keys").alias("t", "key"))
+    deeper = [F.get("packed", F.pmod(F.col("t") + k, F.lit(TREES))).alias(f"deep{k}") for k in (1, 2)]  # an order goes on with the next orders' minima
+    order = ["key", "deep1", "deep2", "id"]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = labels.select("key", *deeper, "id").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    members = stash(sorted_.mapInArrow(_regions(DENSE, CHUNK), "key long, id long, top long, n long, cut boolean"), "regions")
     texts = stash(src.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "text"), "candidate-texts")
 
-    star = cut(star)
-    wide = cut(star.groupBy("top").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")))
-    spread = star.join(wide, "top").select("top", "id", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("b"))
-    leaf = spread.select(F.xxhash64("top", "b").alias("blk"), F.lit(1).alias("role"), "id", F.col("id").alias("comp"))
-    hub = spread.select("top", "b").distinct().select(F.xxhash64("top", "b").alias("blk"), F.lit(0).alias("role"), F.col("top").alias("id"), F.col("top").alias("comp"))
-    first = cut(_confirm(leaf.unionByName(hub), texts))
-    comps = connected_components(first)
-
-    now = members.join(comps.select("id", "component"), "id", "left").select("key", "id", "top", "n", F.coalesce("component", "id").alias("comp"))
-    # a region's first document has met all others already, but in a dense one only the first of each part
-    unmet = (F.col("n") > 2) & ((F.col("id") != F.col("top")) | (F.col("n") > DENSE))
-    open_keys = cut(now.where(unmet).groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key"))
-    left = cut(now.join(open_keys, "key").select("key", "id", "n", "comp"))
-    sizes = left.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = cut(sizes.groupBy("key").agg(F.max(F.struct("c", F.negative("comp").alias("m"))).alias("x"), F.sum("c").alias("all")).select("key", F.negative("x.m").alias("main"), F.ceil((F.col("all") - F.col("x.c")) / BLOCK).cast("int").alias("ns"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nm")))
-    split = left.join(main, "key")
-    outer = split.where("comp <> main").select("key", F.pmod(F.xxhash64("id"), F.col("ns")).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), F.lit(0).alias("role"), "id", "comp")
-    target = split.select("key", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("s"), F.pmod(F.xxhash64("id"), F.col("nm")).cast("int").alias("m"), F.lit(1).alias("role"), "id", "comp")
-    second = cut(_confirm(outer.unionByName(target).select(F.xxhash64("key", "s", "m").alias("blk"), "role", "id", "comp"), texts))
-    comps = connected_components(first.unionByName(second))
+    links = _confirm_stars(_first_links(members), texts)
+    left = _open(members, links)
+    if left.head(1):
+        links = cut(links.unionByName(_confirm_stars(_chief_links(left), texts)))
+        left = _open(members, links)
+    if left.head(1):
+        links = links.unionByName(_confirm_groups(_rare_groups(left, texts), texts))
+    comps = connected_components(links)
 
     named = classes.withColumnRenamed("doc_id", "rep").join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "c1", "c2").join(named, ["c1", "c2", "n_shingles"], "left")
