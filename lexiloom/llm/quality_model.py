@@ -5,7 +5,7 @@ and there is no table of them.  A word's context vector is the sum of the index
 documents: whole numbers, summed per word by a native aggregation, so the result does not depend on the order of tasks.  Words whose
 share of all words is at least ``LEAST_SHARE`` have one; there can't be more than 1 / ``LEAST_SHARE`` of them, whatever the corpus.  A rarer word, too
 seldom for sums over the corpus to say more, is described where it stands: by the index vectors of its neighbours there.  A document
-is the mean and the variance of its words' vectors and the mean of its shapes'.  The network (tanh layer, logistic output) is trained in numpy on at most ``MAX_TRAIN``
+is the mean of its words' and of its shapes' vectors, and how alike the index vectors of words ``1`` to ``LAGS`` places apart are.  The network (tanh layer, logistic output) is trained in numpy on at most ``MAX_TRAIN``
 labelled rows, a bounded sample by hash order; a temperature fitted on a fifth of them that it did not see calibrates its probabilities.
 """
 
@@ -22,8 +22,8 @@ from lexiloom.llm.hashing import encode, mix, word_hashes
 from lexiloom.llm.tables import bounded_sample, slices, source
 from lexiloom.plans.stash import stash
 
-LEAST_SHARE, DIMS, REACH = 1e-5, 24, 2
-FEATURES = 3 * DIMS
+LEAST_SHARE, DIMS, REACH, LAGS = 1e-5, 24, 2, 8
+FEATURES = 2 * DIMS + LAGS
 MAX_TRAIN, HIDDEN, EPOCHS, SEED = 40_000, 24, 60, 7
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 1 << 20
@@ -157,6 +157,17 @@ def _described(table: np.ndarray, vectors: np.ndarray, hashes: np.ndarray, owner
     return out
 
 
+def _alike(hashes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """Mean product of the index vectors of words that stand 1 to LAGS places apart in a text (1: equal, 0: unrelated)."""
+    drawn, out = index_vectors(hashes), np.zeros((texts, LAGS))
+    for lag in range(1, LAGS + 1):
+        near = np.flatnonzero(owner[lag:] == owner[:-lag]) if len(owner) > lag else np.empty(0, np.int64)
+        product = sum((p[near] == q[near + lag]) * s[near] * t[near + lag] for p, s in drawn for q, t in drawn) / 2 if len(near) else np.empty(0)
+        pairs = np.bincount(owner[near], minlength=texts)
+        out[:, lag - 1] = np.bincount(owner[near], weights=product, minlength=texts) / np.maximum(1, pairs)
+    return out
+
+
 def _pool(known: list[tuple[np.ndarray, np.ndarray]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, budget=1 << 20):
@@ -166,10 +177,10 @@ def _pool(known: list[tuple[np.ndarray, np.ndarray]]):
             out = np.zeros((len(size), FEATURES), np.float64)
             full = np.flatnonzero(size)
             if len(full):
-                mean = lambda x: np.add.reduceat(x, bounds[:-1][full], axis=0, dtype=np.float64) / size[full, None]  # noqa: B023, E731
-                words, shapes = (_described(*known[k], both[k], owner) for k in range(2))
-                out[full, :DIMS], out[full, 2 * DIMS :] = mean(words), mean(shapes)
-                out[full, DIMS : 2 * DIMS] = np.maximum(0, mean(words * words) - out[full, :DIMS] ** 2)
+                for k, ((table, vectors), hashes) in enumerate(zip(known, both, strict=True)):
+                    sums = np.add.reduceat(_described(table, vectors, hashes, owner), bounds[:-1][full], axis=0, dtype=np.float64)
+                    out[full, k * DIMS : (k + 1) * DIMS] = sums / size[full, None]
+                out[:, 2 * DIMS :] = _alike(both[0], owner, len(size))
             flat = pa.array(out.astype(np.float32).ravel())
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(np.arange(0, out.size + 1, FEATURES, dtype=np.int32), flat)], names=["doc_id", "features"])
 
