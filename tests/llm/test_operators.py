@@ -235,17 +235,74 @@ def test_binomial_tail(spark):
             assert got < 0
 
 
+def rules_by_force(texts, langs, good, risk=quality_rules.RISK, confidence=quality_rules.CONFIDENCE):
+    """(level, n, k) of each language, from scratch."""
+    from math import ceil, comb, log
+
+    def strict_at(t):
+        n, chars, symbols, dup, repeat, _ = rule_counts(t)
+        lines = max(1, sum(bool(WORDS.search(x)) for x in t.split("\n")))
+        x = {"symbols_per_word": symbols / n, "dup_line_share": dup / lines, "repeat_word_share": repeat / n, "word_length_excess": abs(chars / n - 5.5), "shout_share": len(re.findall("[A-Z]", t)) / chars}
+        return min([j for s, v in x.items() for j, c in enumerate(quality_rules.LADDER[s]) if v > c], default=quality_rules.LEVELS)
+
+    def window(t):
+        w = WORDS.findall(t)
+        return min(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+
+    groups = {}
+    for i in good:
+        if not rule_counts(texts[i])[-1]:
+            own = groups.setdefault(langs[i], {})
+            key = window(texts[i])
+            own[key] = min(own.get(key, 99), strict_at(texts[i]))
+    share = confidence / (len(groups) + 2)
+    need = ceil(log(share) / log(1 - risk))
+
+    def level(found):
+        out = (None, len(found), None)
+        for j in range(quality_rules.LEVELS):
+            k = sum(x <= j for x in found)
+            if sum(comb(len(found), i) * risk**i * (1 - risk) ** (len(found) - i) for i in range(k + 1)) > share:
+                break
+            out = (j, len(found), k)
+        return out
+
+    large = {g: level(list(x.values())) for g, x in groups.items() if len(x) >= need}
+    pools = [[x for g, y in groups.items() if g not in large for x in y.values()], [x for y in groups.values() for x in y.values()]]
+    pools = sorted((p for p in pools if len(p) >= need), key=len)
+    return large | {g: level(pools[0]) if pools else (None, None, None) for g in groups if g not in large}
+
+
+def test_quality_cutoffs_equal_brute_force(spark, docs, prose):
+    good = [prose(40, i) for i in range(700)] + [" ".join(w + ("#" if i % 3 else "") for i, w in enumerate(prose(40, 3000 + j).split())) for j in range(9)]
+    texts = good + [good[i] + f" note{i}" for i in range(60)] + [" ".join(w + "%$#" for w in prose(40, 5000 + i).split()) for i in range(20)]
+    langs = [("en", "en", "de", None, "en", "fr", "en")[i % 7] for i in range(len(texts))]
+    marked = list(range(len(good) + 60))
+    labels = spark.createDataFrame([(i, int(i in set(marked)), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    which = F.element_at(F.array(*[F.lit(x).cast("string") for x in langs]), (F.col("doc_id") + 1).cast("int"))
+    frame = docs(texts).withColumn("lang", which)
+    want = {g or "": x for g, x in rules_by_force(texts, langs, marked).items()}
+    got = {r["stratum"]: (r["level"], r["n"], r["k"]) for r in quality_rules.cutoffs(quality_rules.features(frame), labels).collect()}
+    assert got == want and want["en"][1] != want["de"][1] == want["fr"][1] == want[""][1]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_verdicts(frame, labels).collect()}
+    assert not any(kept[i] for i in range(len(texts) - 20, len(texts))) and sum(kept[i] for i in marked) >= len(marked) * (1 - quality_rules.RISK)
+
+
 def test_quality_rules_certify_and_reject(spark, docs, prose):
-    good = [prose(40, i) for i in range(1400)]
+    good = [prose(40, i) for i in range(400)]
     bad = [" ".join(w + "%$#" for w in prose(40, 5000 + i).split()) for i in range(20)]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(1400)] + [(1400 + i, 0, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)] + [(400 + i, 0, 0) for i in range(20)], "doc_id long, quality int, toxic int")
     frame = docs(good + bad).withColumn("lang", F.lit("en"))
     got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_verdicts(frame, labels).collect()}
-    assert not any(got[1400 + i] for i in range(20)) and sum(got[i] for i in range(1400)) >= 1400 * (1 - quality_rules.RISK * len(quality_rules.SIGNALS))
+    assert not any(got[400 + i] for i in range(20)) and sum(got[i] for i in range(400)) >= 400 * (1 - quality_rules.RISK)
     kept = quality_rules.drop_rejected(frame, labels)
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, k in got.items() if k}
-    few = quality_rules.quality_verdicts(frame.where("doc_id >= 1300"), labels)
+    few = quality_rules.quality_verdicts(frame.where("doc_id >= 300"), labels)
     assert few.where("not base_failed and not kept").count() == 0  # too few labels certify nothing
+    copies = spark.createDataFrame([(i, t, "en") for i, t in enumerate([good[0]] * 400 + bad)], "doc_id long, text string, lang string")
+    assert quality_rules.quality_verdicts(copies, labels).where("not base_failed and not kept").count() == 0  # one label, 400 times
+    bare = quality_rules.drop_rejected(frame.drop("lang"), labels)
+    assert "lang" not in bare.columns and bare.count() == kept.count()
 
 
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
