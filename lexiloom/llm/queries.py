@@ -60,8 +60,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secrets_forest.train(secrets_forest.built_in_findings(spark))
-    return secrets_forest.find_secrets(table(spark, sf_dir, "documents"), forest)
+    docs = table(spark, sf_dir, "documents")
+    words = secrets_forest.corpus_words(docs)
+    return secrets_forest.find_secrets(docs, secrets_forest.train(secrets_forest.built_in_findings(spark), words), words)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
