@@ -523,13 +523,47 @@ def test_chat_round_trip(spark, prose, budget, history):
         assert digest[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
 
 
-def test_chat_windows_keep_system_and_history(spark):
-    turns = [("system", "S" * 8)] + [(("user", "assistant")[i % 2], f"{i:08d}") for i in range(12)]
-    out = rows(chat_format.format_conversations(chat(spark, {1: turns}), 36, 12), "window")
-    assert len(out) > 2
-    for r in out[1:]:
-        assert r["formatted"].startswith("<|turn|>system<|text|>SSSSSSSS<|end|>") and r["carried"] == 3
-        assert all("<|turn|>" not in r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"])
+def windows_by_force(costs, system, budget, history):
+    """(start, first carried turn, system turn before it) of each window, turn by turn."""
+    out, used = [], 0
+    for i, c in enumerate(costs):
+        if i and used + c <= budget:
+            used += c
+            continue
+        room = budget - c
+        own = system is not None and system < i and costs[system] <= room
+        left, h = min(history, room - (costs[system] if own else 0)), i
+        while h and sum(costs[h - 1 : i]) <= left:
+            h -= 1
+        kept = own and system < h
+        used = c + sum(costs[h:i]) + (costs[system] if kept else 0)
+        out.append((i, h, kept))
+    return out
+
+
+@pytest.mark.parametrize("budget,history", [(60, 30), (40, 12), (90, 200)])
+def test_chat_windows_equal_brute_force(spark, budget, history):
+    rng = random.Random(budget)
+    convs = {c: [(("system" if i == c % 4 and c % 3 else ("user", "assistant")[i % 2]), f"{c}.{i} " + "é" * rng.choice([0, 3, 20, 60, 130])) for i in range(rng.randrange(1, 300 if c == 7 else 25))] for c in range(20)}
+    got = {}
+    for r in rows(chat_format.format_conversations(chat(spark, convs), budget, history), "conv_id", "window"):
+        got.setdefault(r["conv_id"], []).append(r)
+    for c, turns in convs.items():
+        costs = [-(-len(f"<|turn|>{r}<|text|>{t}<|end|>".encode()) // 4) for r, t in turns]
+        system = next((i for i, (r, _) in enumerate(turns) if r == "system"), None)
+        cuts = windows_by_force(costs, system, budget, history)
+        ends = [s for s, _, _ in cuts[1:]] + [len(turns)]
+        for (start, hist, kept), end, r in zip(cuts, ends, got[c], strict=True):
+            own = ([turns[system]] if kept else []) + turns[hist:end]
+            assert r["formatted"] == "".join(f"<|turn|>{a}<|text|>{t}<|end|>" for a, t in own) and r["carried"] == len(own) - (end - start)
+            assert [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]] == [t for a, t in turns[start:end] if a == "assistant"]
+            assert len(r["formatted"].encode()) / 4 <= budget or len(own) == 1
+
+
+def test_chat_windows_by_token_counts(spark):
+    frame = spark.createDataFrame([(1, i, ("user", "assistant")[i % 2], f"t{i}", 14) for i in range(9)], "conv_id long, turn long, role string, text string, tokens int")
+    out = rows(chat_format.format_conversations(frame, 3 * (14 + chat_format.LEAST), 0, tokens_col="tokens"), "window")
+    assert [r["formatted"].count(chat_format.TURN) for r in out] == [3, 3, 3]
 
 
 def test_chat_awkward(spark):
