@@ -4,8 +4,8 @@ Seeds are all word pairs of a test item, none left out however often it leaked.
 has at least s - n - 1 matched pairs of neighbours within 3n - s words of the document; places with so many seeds that near
 each other are aligned, and no other place can reach the threshold.  Where that number is below one (items of up to five words at
 0.6) single words are the seeds, of which s / 2 must match.  The score is the alignment's share of a perfect one.  Test items
-are a query set against all documents, taken in blocks of ``ITEM_BLOCK`` items, so what is broadcast is bounded whatever the
-table's size.
+are a query set against all documents, taken in blocks of about ``ITEM_WORDS`` words, so what is broadcast is bounded whatever the
+table's size: each block is one pass over the documents.
 """
 
 from __future__ import annotations
@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 from lexiloom.llm.hashing import WORD_TABLE, corpus_words, encode, gram_hashes
 from lexiloom.llm.tables import slices, source
 
-ITEM_BLOCK, MOST_HITS = 5000, 1 << 21
+ITEM_WORDS, MOST_HITS = 1 << 20, 1 << 21
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.6
-MAX_ITEM_WORDS = 4096
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -162,8 +161,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     spark = docs.sparkSession
     src = source(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    total = items.count()
-    blocks = max(1, -(-total // ITEM_BLOCK))
+    total = items.agg(F.sum(F.size(F.split("text", r"[^A-Za-z0-9\x{80}-\x{10ffff}]+"))).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-total // ITEM_WORDS))
     out = spark.createDataFrame([], _FOUND)
     for b in range(blocks):
         rows = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]

@@ -28,14 +28,24 @@ BASE: dict[str, str] = {"cc by": "cc-by", "general public license": "gpl", "all
 TEMPLATES: list[tuple[str, str]] = [
     ("mit", "Released under the MIT License"),
     ("mit", "Licensed under the MIT License"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License"),
     ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("gpl", "licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details"),
+    ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("lgpl", "licensed under the GNU Lesser General Public License"),
     ("agpl", "licensed under the GNU Affero General Public License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
@@ -52,22 +62,22 @@ def split_words(text: str) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Online automaton of several sequences of small integers; a state keeps one (template, end) per template."""
+    """Online automaton of several sequences of small integers; a state keeps all ends of its runs, by template."""
 
     def __init__(self, sequences: list[list[int]]) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.size = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, list[int]]] = [{}]
         for k, seq in enumerate(sequences):
             last = 0
             for at, word in enumerate(seq):
                 last = self._extend(last, word)
-                self.ends[last].setdefault(k, at)
+                self.ends[last].setdefault(k, []).append(at)
         for s in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
-            up = self.ends[self.link[s]]
-            for k, at in self.ends[s].items():
-                if k not in up or at < up[k]:
-                    up[k] = at
+            if self.link[s]:
+                up = self.ends[self.link[s]]
+                for k, at in self.ends[s].items():
+                    up[k] = up.get(k, []) + at
 
     def _state(self, size: int, link: int, edges: dict[int, int]) -> int:
         self.size.append(size)
@@ -134,16 +144,36 @@ class Scanner:
         return np.where(self.table[at] == hashes, at, -1)
 
     def anchors(self, words: list[int], offset: int) -> Iterator[tuple[int, int, int, int]]:
-        """Maximal runs as (template, start in text, start in template, words)."""
+        """Maximal runs as (template, start in text, start in template, words), once for each place in the template."""
         previous, held, at = 0, 0, offset - 1
-        for state, n in self.automaton.statistics(words):
+        for state, n in [*self.automaton.statistics(words), (0, 0)]:
             if held >= MIN_RUN and n <= held:
-                for k, end in self.automaton.ends[previous].items():
-                    yield k, at - held + 1, end - held + 1, held
+                for k, ends in self.automaton.ends[previous].items():
+                    for end in ends:
+                        yield k, at - held + 1, end - held + 1, held
             previous, held, at = state, n, at + 1
-        if held >= MIN_RUN:
-            for k, end in self.automaton.ends[previous].items():
-                yield k, at - held + 1, end - held + 1, held
+
+    def _chained(self, found: list[tuple[int, int, int]], size: int) -> Iterator[tuple[float, int, int]]:
+        """(cover, start, end) of the chains of one template: each anchor goes on with the chain that covers most, of those that end at most
+        ``MAX_GAP`` words before it and, in the template, not beyond it; of chains that share an anchor the best one counts."""
+        best: list[tuple[int, int, int, int, int]] = []  # covered, root, start in text, end in text, end in template
+        first = 0
+        for text_at, own_at, n in found:
+            chain = (n, len(best), text_at, text_at + n, own_at + n)
+            while first < len(best) and best[first][3] < text_at - MAX_GAP - size:
+                first += 1  # too far back for any anchor from here on
+            for covered, root, start, text_end, own_end in best[first:]:
+                fresh = min(n, own_at + n - own_end, text_at + n - text_end)
+                if text_at - text_end <= MAX_GAP and fresh > 0 and covered + fresh > chain[0]:
+                    chain = (covered + fresh, root, start, text_at + n, own_at + n)
+            best.append(chain)
+        ends: dict[int, tuple[int, int, int, int, int]] = {}
+        for chain in best:
+            if chain[1] not in ends or chain[0] > ends[chain[1]][0]:
+                ends[chain[1]] = chain
+        for covered, _, start, end, _ in ends.values():
+            if covered >= COVER * size:
+                yield min(1.0, covered / size), start, end
 
     def chains(self, ids: np.ndarray) -> list[tuple[float, str, int, int]]:
         """Findings in one text: (cover, label, start word, end word)."""
@@ -153,20 +183,8 @@ class Scanner:
             if b - a >= MIN_RUN:
                 for k, text_at, own_at, n in self.anchors(ids[a:b].tolist(), int(a)):
                     per.setdefault(k, []).append((text_at, own_at, n))
-        out = []
-        for k, found in per.items():
-            size, chain = len(self.sequences[k]), None
-            for text_at, own_at, n in sorted(found):
-                if chain and text_at - chain[1] <= MAX_GAP and own_at + n > chain[2]:
-                    fresh = min(n, own_at + n - chain[2], text_at + n - chain[1])
-                    chain = (chain[0], max(chain[1], text_at + n), own_at + n, chain[3] + max(0, fresh))
-                else:
-                    if chain and chain[3] >= COVER * size:
-                        out.append((min(1.0, chain[3] / size), self.templates[k][0], chain[0], chain[1]))
-                    chain = (text_at, text_at + n, own_at + n, n)
-            if chain and chain[3] >= COVER * size:
-                out.append((min(1.0, chain[3] / size), self.templates[k][0], chain[0], chain[1]))
-        return out
+        found = {(self.templates[k][0], start, end): (cover, self.templates[k][0], start, end) for k, x in per.items() for cover, start, end in sorted(self._chained(sorted(x), len(self.sequences[k])))}
+        return list(found.values())
 
     def scan(self, ids: np.ndarray) -> tuple:
         places, labels = [], set()

@@ -406,7 +406,7 @@ def test_decontamination(spark, docs, prose, monkeypatch):
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     want = planted | {(40, 90)}
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.contamination(docs(texts), bench).collect()} == want
-    monkeypatch.setattr(decontamination, "ITEM_BLOCK", 6)
+    monkeypatch.setattr(decontamination, "ITEM_WORDS", 180)
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.contamination(docs(texts), bench).collect()} == want
     clean = decontamination.drop_contaminated(docs(texts), bench)
     assert {r["doc_id"] for r in clean.collect()} == set(range(60)) - {d for d, _ in want} and clean.columns == docs(texts).columns
@@ -454,14 +454,23 @@ def test_suffix_automaton_statistics():
         subs = {tuple(s[i:j]) for s in seqs for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
         for at, (state, n) in enumerate(sam.statistics(text), 1):
             assert n == max(k for k in range(at + 1) if not k or tuple(text[at - k : at]) in subs)
-            for k, end in sam.ends[state].items() if n else ():
-                assert seqs[k][end - n + 1 : end + 1] == text[at - n : at]
             if n:
-                assert set(sam.ends[state]) == {k for k, s in enumerate(seqs) if any(s[i : i + n] == text[at - n : at] for i in range(len(s)))}
+                want = {k: [i + n - 1 for i in range(len(s)) if s[i : i + n] == text[at - n : at]] for k, s in enumerate(seqs)}
+                assert {k: sorted(x) for k, x in sam.ends[state].items()} == {k: x for k, x in want.items() if x}
+
+
+def test_license_chains_with_repeated_wording():
+    notice = "you may copy the software and you may copy the manual and you may sell the software at once"
+    scanner = licenses.Scanner([("own", notice)])
+    ids = lambda t: scanner.known(licenses.corpus_words([t.encode()], licenses.WORD_TABLE)[0])
+    assert [c[1:] for c in scanner.chains(ids(notice)) if c[0] == 1] == [("own", 0, 19)]
+    cut = notice.replace("and you may copy the manual", "but please")
+    assert max(c[0] for c in scanner.chains(ids(cut))) >= 13 / 19
+    assert not scanner.chains(ids("you may copy the " * 40))[:1] or max(c[0] for c in scanner.chains(ids("you may copy the " * 40))) < 0.7
 
 
 def test_license_scan(spark, docs, awkward, prose):
-    mit = licenses.TEMPLATES[2][1]
+    mit = next(t for label, t in licenses.TEMPLATES if label == "mit" and "obtaining" in t)
     edited_mit = mit.replace("software and associated", "program and its associated").replace("publish,", "print, publish,")
     texts = [prose(30, 1) + " Licensed under CC BY-NC 4.0. All rights reserved.", edited_mit + prose(9, 2), "cc by cc by", "permission is hereby granted", "the GNU\nGeneral, Public; LICENSE", *AWKWARD]
     got = {r["doc_id"]: r for r in licenses.license_scan(docs(texts)).collect()}
