@@ -6,10 +6,10 @@ an entity, outside all base spans, is scored by its pointwise mutual information
 
     bits(t, e) = log2( contexts(t, e) * texts / (df(t) * de(e)) ).
 
-The counts are of distinct texts after near copies, as ``near_copies`` links them, have become one: contexts and de among the texts
-that hold an entity which enough texts hold to be scored, df among all texts that hold a candidate.  A term seen with an entity in at
-least ``MIN_CONTEXTS`` of them, whose share contexts(t, e) / df(t) is at least ``MIN_SHARE``, both among the texts with entities and
-among all, and whose bits reach ``MIN_BITS``, discloses the entity: its occurrences are spans of kind ``term``.
+The counts are of distinct texts, copies as one.  Among the texts with entities, on which contexts, de and the larger part of df of what
+discloses rest, copies are what ``near_copies`` links; a text without an entity counts towards df(t) once for all that have its smallest
+shingle hash.  A term seen with an entity in at least ``MIN_CONTEXTS`` texts, whose share contexts(t, e) / df(t) is at least ``MIN_SHARE`` and whose
+bits reach ``MIN_BITS``, discloses the entity: its occurrences are spans of kind ``term``.
 """
 
 from __future__ import annotations
@@ -28,8 +28,11 @@ from lexiloom.plans.stash import cut, stash
 MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 6.0
 #: Slots of the filter of candidate terms: sixteen for each of them, within these bounds.
 FEWEST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 22
-#: Near copies: words of a shingle, values of a sketch, bands of two minima each, least similarity.
-SHINGLE, SKETCH, BANDS, COPY = 3, 64, 10, 0.7
+#: Near copies: words of a shingle, values of a sketch, bands of two minima each, least similarity.  One word in ten replaced leaves
+#: about 0.57 of the shingles.
+SHINGLE, SKETCH, BANDS, COPY = 3, 64, 24, 0.4
+#: Texts with disclosing terms whose keys are broadcast; more are joined.
+MOST_KEYS = 1_000_000
 #: Spans that are replaced against one stretch of the text.
 PART = 512
 
@@ -127,13 +130,12 @@ def _entities() -> Column:
 
 def _sketch(text: Column) -> Column:
     """The ``SKETCH`` smallest hashes of the text's word shingles; null without words."""
+    return let(F.filter(_terms(text), lambda w: w != ""), lambda w: F.when(F.size(w) > 0, F.slice(F.sort_array(F.array_distinct(_shingles(w))), 1, SKETCH)))
 
-    def lowest(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0)))
-        grams = F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
-        return F.when(F.size(w) > 0, F.slice(F.sort_array(F.array_distinct(grams)), 1, SKETCH))
 
-    return let(F.filter(_terms(text), lambda w: w != ""), lowest)
+def _shingles(w: Column) -> Column:
+    at = F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0)))
+    return F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
 
 
 def near_copies(sketches: DataFrame) -> DataFrame:
@@ -141,8 +143,8 @@ def near_copies(sketches: DataFrame) -> DataFrame:
     key of its group.
 
     Texts that agree in a band (two minima over the sketch) with the band's first text are linked if their sketches put the
-    similarity at ``COPY`` or more; groups are what hangs together by links.  A pair of similarity 0.75 shares no band with
-    probability (1 - 0.75**2)**10, about 3e-4.
+    similarity at ``COPY`` or more; groups are what hangs together by links.  A pair of similarity 0.5 shares no band with
+    probability (1 - 0.5**2)**24, about 1e-3.
     """
     held = sketches.where("sketch is not null")
     low = lambda i: F.array_min(F.transform("sketch", lambda x: F.xxhash64(x, F.lit(i))))
@@ -185,53 +187,45 @@ class _Filter:
         return F.substring(self.table, self._slot(w) + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
 
 
-def _entity_texts(found: DataFrame, min_contexts: int) -> DataFrame:
-    """(text_key, es, terms, sketch), each text once: those with an entity that enough texts hold, and these entities."""
-    texts = stash(found.groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("entities", "terms", "sketch")]), "entity-texts")
-    one = texts.select("text_key", F.explode("entities").alias("e"))
-    enough = cut(one.groupBy("e").agg(F.count("*").alias("n")).where(F.col("n") >= min_contexts).select("e"))
-    kept = one.join(enough, "e", "left_semi").groupBy("text_key").agg(F.collect_set("e").alias("es"))
-    return stash(texts.drop("entities").join(kept, "text_key"), "scored-texts")
-
-
-def disclosing_terms(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
-    """One row per term over the thresholds: term, bits (its largest), contexts.
+def disclosing_terms(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> tuple[DataFrame, DataFrame | None]:
+    """One row per term over the thresholds: term, bits (its largest), contexts; and the texts (text_key) that may hold one.
 
     ``found``: text_key, entities, terms, sketch of the texts with entities.  These give the candidates: a term that stands in more of
     them than ``min_share`` allows for its contexts is none, which leaves out the common words before the corpus is read.  Words of all
     documents pass a filter of the candidates (a fixed size whatever the corpus) inside the row; the counts of those that pass are exact.
     """
-    own = _entity_texts(found, min_contexts)
-    none = own.select(F.lit("").alias("term"), F.lit(0.0).alias("bits"), F.lit(0).cast("long").alias("contexts")).limit(0)
-    if not own.head(1):
-        return none
-    units = near_copies(own.select("text_key", "sketch"))
-    seen = cut(own.join(units, "text_key", "left").select("text_key", "unit", "es", "terms"))
-    pairs = _in_units(seen.select("text_key", "unit", F.explode("es").alias("e"), "terms").select("text_key", "unit", "e", F.explode("terms").alias("term")), ["e", "term"], "contexts")
-    among = _in_units(seen.select("text_key", "unit", F.explode("terms").alias("term")), ["term"], "among")
-    likely = cut(pairs.where(F.col("contexts") >= min_contexts).join(among, "term").where(F.col("contexts") >= min_share * F.col("among")).drop("among"))
+    texts = stash(found.groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("entities", "terms", "sketch")]), "entity-texts")
+    units = near_copies(texts.select("text_key", "sketch"))
+    seen = stash(texts.join(units, "text_key", "left").select("text_key", "unit", "entities", "terms"), "entity-units")
+    each = seen.select("text_key", "unit", "entities", F.explode("terms").alias("term"))
+    pairs = _in_units(each.select("text_key", "unit", F.explode("entities").alias("e"), "term"), ["e", "term"], "contexts")
+    likely = cut(pairs.where(F.col("contexts") >= min_contexts))
+    among = _in_units(each.select("text_key", "unit", "term"), ["term"], "among")
+    likely = cut(likely.join(among, "term").where(F.col("contexts") >= min_share * F.col("among")))
+    none = likely.select("term", F.lit(0.0).alias("bits"), "contexts")
     terms = cut(likely.select("term").distinct())
     if not terms.head(1):
-        return none
+        return none, None
     asked = _Filter(terms)
-    held = docs.select(F.xxhash64("text").alias("text_key"), rows.unmarked(F.col("text")).alias("text"))
-    hits = held.withColumn("terms", F.filter(F.array_distinct(_terms(F.col("text"))), asked.passes)).where(F.size("terms") > 0)
-    holders = stash(hits.select("text_key", "terms", _sketch(F.col("text")).alias("sketch")).groupBy("text_key").agg(F.first("terms").alias("terms"), F.first("sketch").alias("sketch")), "holders")
-    copies = near_copies(holders.select("text_key", "sketch"))
-    each = holders.join(copies, "text_key", "left").select("text_key", "unit", F.explode("terms").alias("term")).join(terms, "term", "left_semi")
-    df = _in_units(each, ["term"], "df")
-    de = _in_units(seen.select("text_key", "unit", F.explode("es").alias("e")), ["e"], "de")
+    held = docs.select(F.xxhash64("text").alias("text_key"), let(rows.unmarked(F.col("text")), _terms).alias("w"))
+    hits = held.select("text_key", F.filter(F.array_distinct("w"), asked.passes).alias("terms"), "w").where(F.size("terms") > 0)
+    alike = F.array_min(let(F.filter("w", lambda x: x != ""), _shingles))
+    holders = stash(hits.select("text_key", alike.alias("alike"), F.explode("terms").alias("term")).join(terms, "term", "left_semi"), "holders")
+    others = holders.join(texts.select("text_key"), "text_key", "left_anti").select("alike", "term").distinct().groupBy("term").agg(F.count("*").alias("others"))
+    de = _in_units(seen.select("text_key", "unit", F.explode("entities").alias("e")), ["e"], "de")
     total = docs.select(F.xxhash64("text")).distinct().count()
-    bits = F.log2(F.col("contexts") * F.lit(float(total)) / (F.col("df") * F.col("de")))
-    scored = likely.join(df, "term").join(de, "e").withColumn("bits", bits)
-    return cut(scored.where((F.col("bits") >= min_bits) & (F.col("contexts") >= min_share * F.col("df"))).groupBy("term").agg(F.max("bits").alias("bits"), F.max("contexts").alias("contexts")))
+    df = F.col("among") + F.coalesce("others", F.lit(0))
+    scored = likely.join(others, "term", "left").withColumn("df", df).join(de, "e").withColumn("bits", F.log2(F.col("contexts") * F.lit(float(total)) / (F.col("df") * F.col("de"))))
+    over = scored.where((F.col("bits") >= min_bits) & (F.col("contexts") >= min_share * F.col("df")))
+    out = cut(over.groupBy("term").agg(F.max("bits").alias("bits"), F.max("contexts").alias("contexts")))
+    return out, cut(holders.join(out.select("term"), "term", "left_semi").select("text_key").distinct())
 
 
-def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, text_key, term_spans): occurrences of disclosing terms, for the documents that hold any."""
+def _term_spans(docs: DataFrame, terms: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, text_key, term_spans): occurrences of disclosing terms, for the texts of ``keys``, which are those that hold any."""
     asked = _Filter(terms)
-    key = docs.select("doc_id", F.xxhash64("text").alias("text_key"), rows.unmarked(F.col("text")).alias("text"))
-    some = key.where(F.exists(_terms(F.col("text")), asked.passes))
+    known = F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
+    some = docs.select("doc_id", F.xxhash64("text").alias("text_key"), rows.unmarked(F.col("text")).alias("text")).join(known, "text_key", "left_semi")
 
     def place(cut_: Column) -> Column:
         words = lambda at: F.transform(F.slice(cut_, F.lit(2), F.size(cut_)), lambda p, i: F.struct(F.get(at, i).cast("int").alias("start"), rows.matched(p).alias("value")))
@@ -257,11 +251,11 @@ def find_personal_data(docs: DataFrame, keep_text: bool = True, **limits: float)
     text = rows.unmarked(F.col("text"))
     about = {"entities": _entities(), "terms": F.when(some, let(text, _outside)), "sketch": F.when(some, let(text, _sketch))}
     stored = stash((found if keep_text else found.select("doc_id", "text", "text_key", "base_spans")).withColumns(about).drop(*([] if keep_text else ["text"])), "spans")
-    terms = disclosing_terms(plain.select("doc_id", "text"), stored.where(F.size("entities") > 0).select("text_key", "entities", "terms", "sketch"), **limits)
+    terms, keys = disclosing_terms(plain.select("doc_id", "text"), stored.where(F.size("entities") > 0).select("text_key", "entities", "terms", "sketch"), **limits)
     out = stored.drop("entities", "terms", "sketch")
     if not terms.head(1):
         return out.drop("text_key").withColumn("term_spans", F.array().cast(_SPANS))
-    extra = _term_spans(plain.select("doc_id", "text"), terms).withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
+    extra = _term_spans(plain.select("doc_id", "text"), terms, keys).withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
     both = out.join(extra, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t")), "left").drop("_d", "_t", "text_key")
     return both.withColumn("term_spans", F.coalesce("term_spans", F.array().cast(_SPANS)))
 
