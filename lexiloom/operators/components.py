@@ -24,9 +24,15 @@ def _with_low(rows: DataFrame, n_rows: int) -> DataFrame:
     """Add ``m``, the smallest ``v`` of each ``u``."""
     low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     most = max(16, n_rows // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    hot = F.broadcast(low.where(F.col("n") > most).select("u", "m"))  # at most n_rows / most of them
-    usual = rows.join(hot, "u", "left_anti").join(low.where(F.col("n") <= most).select("u", "m"), "u")
-    return usual.unionByName(rows.join(hot, "u"))
+    hot = F.broadcast(low.where(F.col("n") > most).select("u", F.col("m").alias("h")))  # at most n_rows / most of them
+    dealt = rows.join(hot, "u", "left").withColumn("k", F.when(F.col("h").isNull(), F.col("u")).otherwise(F.xxhash64("u", "v")))
+    return dealt.join(low.select(F.col("u").alias("k"), "m"), "k", "left").select("u", "v", F.coalesce("h", "m").alias("m"))
+
+
+def _settled(e: DataFrame) -> bool:
+    """Is every component a star around its smallest node?"""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").head(1)
 
 
 def _large_star(e: DataFrame, n: int) -> DataFrame:
@@ -79,16 +85,15 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ma
         .where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
         .distinct()
     )
-    e, seen = cut(e), None
+    e = cut(e)
     n = e.count()
     if small and n <= small:
         return e.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_in_one_task, "id long, component long")
     for _ in range(max_rounds):
-        e = cut(_small_star(_large_star(e, n), n))
-        now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum((F.col("v") % 1000003)).alias("s")).first()
-        if seen == now:
+        if not n or _settled(e):
             break
-        seen, n = now, now.n
+        e = cut(_small_star(_large_star(e, n), n))
+        n = e.count()
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     tops = e.select(F.col("v").alias("id")).distinct()
