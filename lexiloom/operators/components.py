@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from lexiloom.plans.stash import cut
 
 
-def _with_low(rows: DataFrame, n_rows: int) -> DataFrame:
-    """Add ``m``, the smallest ``v`` of each ``u``."""
+def _with_low(rows: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``m``, the smallest ``v`` of each ``u``; and one row for each of these."""
     low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     most = max(16, n_rows // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     hot = F.broadcast(low.where(F.col("n") > most).select("u", F.col("m").alias("h")))  # at most n_rows / most of them
     dealt = rows.join(hot, "u", "left").withColumn("k", F.when(F.col("h").isNull(), F.col("u")).otherwise(F.xxhash64("u", "v")))
-    return dealt.join(low.select(F.col("u").alias("k"), "m"), "k", "left").select("u", "v", F.coalesce("h", "m").alias("m"))
+    return dealt.join(low.select(F.col("u").alias("k"), "m"), "k", "left").select("u", "v", F.coalesce("h", "m").alias("m")), low
 
 
 def _settled(e: DataFrame) -> bool:
@@ -37,12 +37,13 @@ def _settled(e: DataFrame) -> bool:
 
 def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_low(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    return _with_low(both, 2 * n)[0].where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(e: DataFrame, n: int) -> DataFrame:
-    moved = _with_low(e, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(e.groupBy("u").agg(F.min("v").alias("v"))).distinct()
+    joined, low = _with_low(e, n)
+    moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
 def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
