@@ -7,10 +7,10 @@ together in their order and are candidates: a pair of similarity 0.75 has no suc
 documents it is cut at the next minimum, so the depth adapts to the region.
 
 1. Every document is compared with the first document of its part, and the first ones of parts with the region's.
-2. Where a region still holds several components, the first document of each is compared with the largest one's.
-3. What is then left, documents of regions with several components, is decided exactly by a prefix filter: with shingles ordered from rare
-   to common, two sets of similarity 0.75 share one among the first 1/7 of the smaller and the first 1/4 of the larger set.  Documents
-   that share such a shingle are compared in blocks of ``BLOCK``; equal groups of documents are compared once.
+2. What is then left, documents of regions that still hold several components, is decided exactly by a prefix filter: with shingles
+   ordered from rare to common, two sets of similarity 0.75 share one among the first 1/7 of the smaller and the first 1/4 of the larger
+   set, and how far down it stands bounds the size of the other set.  Documents that share such a shingle, and whose sizes and places allow
+   a link, are compared in blocks of ``BLOCK``; equal groups of documents are compared once.
 
 All comparisons are on full shingle sets.  No region is reduced, capped or sampled, pairs are never emitted as rows (a block returns
 at most a spanning forest of its links), and no task holds more than two blocks.
@@ -25,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.hashing import encode, mix, shingle_sets
+from lexiloom.llm.hashing import MASK, encode, mix, shingle_sets
 from lexiloom.llm.tables import slices, source
 from lexiloom.operators.components import connected_components
 from lexiloom.plans.stash import cut, stash
 
 TREES, DEPTH, MORE = 32, 4, 8
 SHINGLE, DENSE, BLOCK = 5, 64, 256
-#: In regions that were cut, first documents that a document is compared with; shingle counts that order the prefix filter; rows sorted out at a time.
-BEST, COUNTS, CHUNK = 2, 1 << 16, 1 << 16
+#: In regions that were cut, first documents that a document is compared with; rows that are cut into parts at a time.
+BEST, CHUNK = 2, 1 << 16
+#: Slots of shingle counts for the prefix filter's order, and how many of the common ones are handed to all tasks.
+SLOTS, MOST_COMMON = 1 << 24, 1 << 20
 _SEEDS = np.random.default_rng(20240229).integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -246,9 +248,8 @@ def _first_links(members: DataFrame) -> DataFrame:
     return members.where("not cut and top <> id").select("top", "id").unionByName(best).unionByName(between)
 
 
-def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     """(key, id, comp) of the regions that hold several components among documents that have not all been compared."""
-    comps = connected_components(links)
     now = members.join(comps.select("id", "component"), "id", "left").select("key", "id", "top", "n", "cut", F.coalesce("component", "id").alias("comp"))
     # a region's first document has met all others already, but not if the region was cut
     unmet = F.col("cut") | (F.col("n") > 2) & (F.col("id") != F.col("top"))
@@ -256,37 +257,50 @@ def _open(members: DataFrame, links: DataFrame) -> DataFrame:
     return cut(now.join(keys, "key").select("key", "id", "comp"))
 
 
-def _chief_links(left: DataFrame) -> DataFrame:
-    """(top, id): in each region the first document of the largest component with that of each other one."""
-    each = cut(left.groupBy("key", "comp").agg(F.min("id").alias("id"), F.count("*").alias("c")))
-    main = each.groupBy("key").agg(F.max(F.struct("c", F.negative("comp").alias("m"), "id")).alias("x")).select("key", F.col("x.id").alias("top"))
-    return each.join(main, "key").where("id <> top").select("top", "id")
-
-
-def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTS, np.int64)
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        for s in shingle_sets([encode(t) for t in batch.column("text").to_pylist()], SHINGLE):
-            total += np.bincount((s % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
-    yield pa.record_batch([pa.array(np.arange(COUNTS)), pa.array(total)], names=["at", "n"])
+        sets = shingle_sets([encode(t) for t in batch.column("text").to_pylist()], SHINGLE)
+        at, n = np.unique(np.concatenate(sets) % np.uint64(SLOTS), return_counts=True)
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(n)], names=["at", "n"])
+
+
+def _common_slots(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the most common shingles and the binary logarithms of their counts: as many whole classes as ``MOST_COMMON`` allows."""
+    counted = stash(docs.mapInArrow(_slot_counts, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).where("n > 1").select("at", F.floor(F.log2("n")).cast("int").alias("size")), "slots")
+    least, held = 64, 0
+    for row in sorted(counted.groupBy("size").count().collect(), reverse=True):  # at most 63 rows
+        held += row["count"]
+        least = row["size"] if held <= MOST_COMMON else least
+    common = counted.where(F.col("size") >= least).toArrow()
+    at, size = common["at"].to_numpy(), common["size"].to_numpy()
+    order = np.argsort(at)
+    return at[order], size[order].astype(np.int8)
+
+
+def _prefixes(at: np.ndarray, size: np.ndarray):
+    def common(s: np.ndarray) -> np.ndarray:
+        slot = (s % np.uint64(SLOTS)).astype(np.int32)
+        if not len(at):
+            return np.zeros(len(s), np.int8)
+        spot = np.searchsorted(at, slot)
+        spot[spot == len(at)] = 0
+        return np.where(at[spot] == slot, size[spot], np.int8(0))
 
-
-def _prefixes(counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets([encode(t) for t in batch.column("text").to_pylist()], SHINGLE)
-            found, owner, leads = [], [], []
+            cols: list[list[np.ndarray]] = [[], [], [], []]
             for i, s in enumerate(sets):
                 n = len(s)
-                probe, lead = n + -(3 * n) // 4 + 1, n + -(6 * n) // 7 + 1
-                found.append(s[np.lexsort((s, counts[(s % np.uint64(COUNTS)).astype(np.int64)]))[:probe]])
-                owner.append(np.full(probe, i))
-                leads.append(np.arange(probe) < lead)
-            at = np.concatenate(owner)
-            yield pa.record_batch(
-                [pa.array(np.concatenate(found).view(np.int64)), *(batch.column(c).take(pa.array(at)) for c in ("id", "comp")), pa.array(np.concatenate(leads))],
-                names=["key", "id", "comp", "lead"],
-            )
+                first = s[np.lexsort((s, common(s)))[: n + -(3 * n) // 4 + 1]]
+                place = int(np.log(n) / np.log(4 / 3) + 1e-9)  # sets of similarity 0.75 are of the same or neighbouring sizes
+                most = (7 * (n - np.arange(len(first)))) // 3 - n
+                for near in (place, place - 1):
+                    for col, x in zip(cols, (mix(first + np.uint64((near + 2) * 0x9E3779B97F4A7C15 & MASK)), np.full(len(first), i), np.full(len(first), n), most), strict=True):
+                        col.append(x)
+            key, owner, size, most = (np.concatenate(c) for c in cols)
+            rows = pa.array(owner)
+            yield pa.record_batch([pa.array(key.view(np.int64)), *(batch.column(c).take(rows) for c in ("id", "comp")), pa.array(size), pa.array(most)], names=["key", "id", "comp", "size", "most"])
 
     return run
 
@@ -294,17 +308,17 @@ def _prefixes(counts: np.ndarray):
 def _rare_groups(left: DataFrame, texts: DataFrame) -> DataFrame:
     """(key, id, comp): the documents that share a shingle of the prefix filter, where they are of several components; of equal groups one.
 
-    Any order of the shingles is right; counts by hash, of a fixed number, put the common ones last.
+    Any order of the shingles is right; counts put the common ones last.  ``most`` is the largest set that can be linked with one whose shingle
+    stands at this place: a document whose ``most`` is below the group's smallest set has no partner there.
     """
     docs = stash(left.select("id", "comp").distinct().join(texts, "id"), "undecided")
-    counts = np.zeros(COUNTS, np.int64)
-    summed = docs.mapInArrow(_shingle_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTS rows
-    counts[summed["at"].to_numpy()] = summed["n"].to_numpy()
-    shared = stash(docs.mapInArrow(_prefixes(counts), "key long, id long, comp long, lead boolean"), "prefixes")
+    shared = stash(docs.mapInArrow(_prefixes(*_common_slots(docs)), "key long, id long, comp long, size long, most long"), "prefixes")
+    several = shared.groupBy("key").agg(F.min("size").alias("least"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key", "least")
+    able = cut(shared.join(several, "key").where("most >= least").select("key", "id", "comp"))
     name = F.xxhash64("id")
-    groups = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.max("lead").alias("lead"), F.bit_xor(name).alias("x"), F.sum(F.shiftright(name, 24)).alias("y"))
-    once = cut(groups.where("a <> b and lead").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"))
-    return cut(shared.join(once, "key").select("key", "id", "comp"))
+    groups = able.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.bit_xor(name).alias("x"), F.sum(F.shiftright(name, 24)).alias("y"))
+    once = cut(groups.where("a <> b").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"))
+    return cut(able.join(once, "key").select("key", "id", "comp"))
 
 
 def _confirm_groups(left: DataFrame, texts: DataFrame) -> DataFrame:
@@ -340,13 +354,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     texts = stash(src.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "text"), "candidate-texts")
 
     links = _confirm_stars(_first_links(members), texts)
-    left = _open(members, links)
-    if left.head(1):
-        links = cut(links.unionByName(_confirm_stars(_chief_links(left), texts)))
-        left = _open(members, links)
+    comps = cut(connected_components(links))
+    left = _open(members, comps)
     if left.head(1):
-        links = links.unionByName(_confirm_groups(_rare_groups(left, texts), texts))
-    comps = connected_components(links)
+        more = _confirm_groups(_rare_groups(left, texts), texts)
+        if more.head(1):
+            comps = connected_components(links.unionByName(more))
 
     named = classes.withColumnRenamed("doc_id", "rep").join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "c1", "c2").join(named, ["c1", "c2", "n_shingles"], "left")
