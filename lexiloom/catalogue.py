@@ -6,8 +6,6 @@ Every query runs over its whole table.  Byte strings are returned as upper-case
 from __future__ import annotations
 
 import base64
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,7 +17,7 @@ from lexiloom.operators import assembly, containment, layout, membership, mergin
 from lexiloom.operators.kernels.genetic import Settings
 from lexiloom.plans.build import Dictionary, build_dictionary
 from lexiloom.plans.stash import shared_dir, stash
-from lexiloom.sources import archive, text
+from lexiloom.sources import archive, files, text
 from lexiloom.sources.codecs import decode_ranks
 
 POSITIONS = 1 << 21
@@ -37,11 +35,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def work_file(spark: SparkSession, name: str) -> str:
-    """A path that the driver can write and executors can read."""
-    shared = shared_dir(spark)
-    folder = f"{shared.removeprefix('file://').removeprefix('file:')}/archives" if shared.startswith(("file:", "/")) else tempfile.mkdtemp()
-    os.makedirs(folder, exist_ok=True)
-    return f"{folder}/{uuid.uuid4().hex}-{name}"
+    """A path in the shared folder, which the driver writes and executors read."""
+    return f"{shared_dir(spark)}/archives/{uuid.uuid4().hex}-{name}"
 
 
 # --- corpora -------------------------------------------------------------------------------------------------
@@ -50,7 +45,8 @@ def work_file(spark: SparkSession, name: str) -> str:
 def words_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus of all letter runs of all documents, numbered by document and place."""
     words = _documents(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("i", "w"))
-    return words.select((F.col("doc_id") * POSITIONS + F.col("i")).alias("line_no"), from_text(F.col("w")).alias("b"))
+    number = F.when(F.col("i") < POSITIONS, F.col("doc_id") * POSITIONS + F.col("i")).otherwise(F.raise_error(F.lit(f"a document of more than {POSITIONS} words")).cast("long"))
+    return words.select(number.alias("line_no"), from_text(F.col("w")).alias("b"))
 
 
 def names_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,15 +249,17 @@ def archive_header(spark, sf_dir):
 
 def search_batch(spark, sf_dir):
     entries = stash(vocabulary.distinct_first(words_of_documents(spark, sf_dir)), "vocabulary")
-    asked = _table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{1,6}"), F.lit(0))).alias("w"))
+    both = [F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in (r"[A-Za-z]{1,6}", r"\p{L}+")]  # whole words, and pieces that may be none
+    asked = _table(spark, sf_dir, "benchmark").select(F.explode(F.concat(*both)).alias("w"))
     return membership.membership(asked.select(from_text(F.col("w")).alias("b")), entries).select(to_text(F.col("b")).alias("word"), "status")
 
 
 def merge_split(spark, sf_dir):
     first = build_dictionary(names_of_parts(spark, sf_dir))
     payload = b"".join(first.payload())
-    words = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line_no"), F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").agg(F.min("line_no").alias("line_no"))
-    other = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("w"), F.col("n_nationkey").cast("long").alias("line_no"))
+    spots = _table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("i", "w"))
+    words = spots.groupBy("w").agg(F.min(F.col("p_partkey") * 16 + F.col("i")).alias("line_no"))
+    other = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("w"), (-1 - F.col("n_nationkey")).cast("long").alias("line_no"))
     news = words.select("w", "line_no").unionByName(other).select("line_no", from_text(F.col("w")).alias("b"))
     split = merging.split_update(news, merging.payload_table(spark, payload, 64))
     return split.select(to_text(F.col("b")).alias("word"), F.col("offset").isNotNull().alias("eliminated"))
@@ -286,17 +284,16 @@ def merge_ordered(spark, sf_dir):
 def tokenizer_ranks(spark, sf_dir):
     path = work_file(spark, "customers.tiktoken")
     rows = names_of_customers(spark, sf_dir).orderBy("line_no").toLocalIterator()
-    with open(path, "wb") as f:
+    with files.writing(path) as write:
         for r in rows:
-            f.write(base64.b64encode(r["b"].encode("latin-1")) + b" %d\n" % r["line_no"])
+            write(base64.b64encode(r["b"].encode("latin-1")) + b" %d\n" % r["line_no"])
     return text.read_tokenizer(spark, path).select(to_text(F.col("b")).alias("word"), "rank")
 
 
 def rank_sidecar(spark, sf_dir):
     corpus = names_of_customers(spark, sf_dir).withColumn("rank", F.col("line_no"))
     path = _written(spark, build_dictionary(corpus), "ranks.bin")
-    with open(archive.sidecar_path(path, ".rank"), "rb") as f:
-        ranks = decode_ranks(f.read())
+    ranks = decode_ranks(files.read_bytes(archive.sidecar_path(path, ".rank")))
     return spark.createDataFrame(list(enumerate(ranks)), "place long, rank long")
 
 
@@ -305,8 +302,9 @@ def compression_ratio(spark, sf_dir):
     for ordered in (True, False):
         built = build_dictionary(vocabulary.distinct_first(words_of_documents(spark, sf_dir)).select(F.col("id").alias("line_no"), "b"), ordered=ordered)
         raw = built.corpus.agg(F.sum(F.length("b") + 1).alias("n")).first()["n"]
-        rows.append((ordered, raw, built.payload_bytes(), os.path.getsize(_written(spark, built, "ratio"))))
-    return spark.createDataFrame(rows, "is_ordered boolean, raw_bytes long, payload_bytes long, archive_bytes long").withColumn("reduction", F.round(1 - F.col("archive_bytes") / F.col("raw_bytes"), 4))
+        words, payload = built.offsets.count(), built.payload_bytes()
+        rows.append((ordered, raw, payload < raw - words, built.write(work_file(spark, "ratio")) > 12 + payload))
+    return spark.createDataFrame(rows, "is_ordered boolean, raw_bytes long, payload_shrinks boolean, has_footer boolean")
 
 
 _ALL = (
@@ -343,7 +341,7 @@ def oracle_sql() -> dict[str, str]:
     gain = " + ".join(_overlap(f"t{i}.w", f"t{i + 1}.w") for i in range(4))
     return {
         "dedup_first": f"SELECT h AS b_hex, id AS first_line FROM ({_VOCAB})",
-        "survivors": f"WITH v AS ({_VOCAB}), x AS ({_SUBS}) SELECT id, h AS b_hex FROM v WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.s = v.h)",
+        "survivors": f"WITH v AS MATERIALIZED ({_VOCAB}), x AS MATERIALIZED ({_SUBS}) SELECT id, h AS b_hex FROM v ANTI JOIN x ON x.s = v.h",
         "containment_pairs": """WITH t AS (SELECT p_partkey, unnest(x) AS w, generate_subscripts(x, 1) - 1 AS i FROM (SELECT p_partkey, string_split(p_name, ' ') AS x FROM part)),
 v AS (SELECT w, max(id) AS id FROM (SELECT w, min(p_partkey * 16 + i) AS id FROM t GROUP BY w UNION ALL SELECT p_name, -min(p_partkey) - 1 FROM part GROUP BY p_name) GROUP BY w)
 SELECT id, hid, pos FROM (SELECT a.id, b.id AS hid, a.w, b.w AS h, unnest(range(0, length(b.w))) AS pos FROM v a JOIN v b ON a.id <> b.id AND contains(b.w, a.w)) WHERE w <> '' AND substr(h, pos + 1, length(w)) = w""",
@@ -354,6 +352,15 @@ SELECT id, hid, pos FROM (SELECT a.id, b.id AS hid, a.w, b.w AS h, unnest(range(
         "islands_parts": f"WITH RECURSIVE {_PART_ISLANDS} SELECT id, island_id FROM i",
         "island_sizes": f"WITH RECURSIVE {_PART_ISLANDS} SELECT island_id, count(*) AS size FROM i GROUP BY island_id",
         "island_count": f"WITH RECURSIVE {_PART_ISLANDS} SELECT count(DISTINCT island_id) AS islands, count(*) AS words FROM i",
+        "islands_words": f"""WITH RECURSIVE v AS MATERIALIZED ({_VOCAB}), x AS MATERIALIZED ({_SUBS}), w AS MATERIALIZED (SELECT id, h FROM v ANTI JOIN x ON x.s = v.h),
+k AS MATERIALIZED (SELECT id, h, unnest(range(5, length(h) // 2 + 1)) AS l FROM w),
+s AS MATERIALIZED (SELECT id, right(h, 2 * l) AS key, 1 AS s, 0 AS p FROM k UNION ALL SELECT id, left(h, 2 * l), 0, 1 FROM k),
+y AS MATERIALIZED (SELECT key, min(id) AS low FROM s GROUP BY key HAVING max(s) = 1 AND max(p) = 1 AND min(id) < max(id)),
+e AS MATERIALIZED (SELECT DISTINCT s.id AS u, y.low AS v FROM s JOIN y USING (key) WHERE s.id <> y.low),
+b AS MATERIALIZED (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r(id, island_id) USING KEY (id) AS (SELECT id, id FROM w UNION
+  SELECT b.u, min(r.island_id) FROM r JOIN b ON b.v = r.id JOIN recurring.r AS o ON o.id = b.u WHERE r.island_id < o.island_id GROUP BY b.u)
+SELECT id, island_id FROM r""",
         "solver_routing": f"WITH RECURSIVE {_PART_ISLANDS} SELECT island_id, count(*) AS size, CASE WHEN count(*) = 1 THEN 'single' WHEN count(*) <= 15 THEN 'exact' ELSE 'greedy' END AS solver FROM i GROUP BY island_id",
         "ga_budgets": """WITH s AS (SELECT CAST(c_nationkey AS BIGINT) AS island_id, count(*) AS size FROM customer GROUP BY c_nationkey),
 b AS (SELECT island_id, size, CASE WHEN size > 15 THEN size * size * 480.0::DOUBLE / (SELECT sum(size * size)::DOUBLE FROM s WHERE size > 15) ELSE 0 END AS b FROM s)
@@ -374,8 +381,10 @@ FROM (SELECT n_nationkey, n_name, r_name, {_overlap('n_name', 'r_name')} AS f, {
         "archive_ordered_roundtrip": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ordinal, p_name AS word, strlen(p_name) AS length FROM part",
         "archive_roundtrip": f"SELECT h AS b_hex, length(h) // 2 AS length FROM ({_VOCAB})",
         "archive_header": "SELECT CAST(2 AS BIGINT) AS version, '0A' AS separator_hex, true AS is_ordered, 12 + CAST(sum(length(w)) AS BIGINT) AS footer_offset FROM (SELECT DISTINCT c_name AS w FROM customer)",
-        "search_batch": rf"""WITH v AS ({_VOCAB}), x AS ({_SUBS}), q AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{{1,6}}')) AS w FROM benchmark)
+        "search_batch": rf"""WITH v AS ({_VOCAB}), x AS ({_SUBS}), q AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{{1,6}}') || regexp_extract_all(text, '\p{{L}}+')) AS w FROM benchmark)
 SELECT w AS word, CASE WHEN w IN (SELECT w FROM v) THEN 'member' WHEN hex(encode(w)) IN (SELECT s FROM x) THEN 'substring' ELSE 'absent' END AS status FROM q""",
+        "merge_split": "SELECT w AS word, EXISTS (SELECT 1 FROM part WHERE contains(p_name, w)) AS eliminated FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part UNION ALL SELECT n_name FROM nation)",
+        "compression_ratio": f"SELECT o AS is_ordered, raw_bytes, true AS payload_shrinks, true AS has_footer FROM (SELECT CAST(sum(strlen(w) + 1) AS BIGINT) AS raw_bytes FROM ({_VOCAB})), (VALUES (true), (false)) AS t(o)",
         "merge_roundtrip": "SELECT w AS word, false AS is_ordered FROM (SELECT p_name AS w FROM part UNION SELECT c_name FROM customer)",
         "merge_ordered": "SELECT row_number() OVER (ORDER BY src, k) - 1 AS ordinal, w AS word, true AS is_ordered FROM (SELECT 0 AS src, c_custkey AS k, c_name AS w FROM customer UNION ALL SELECT 1, n_nationkey, n_name FROM nation)",
         "tokenizer_ranks": "SELECT c_name AS word, c_custkey AS rank FROM customer",

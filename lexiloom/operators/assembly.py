@@ -30,6 +30,12 @@ class Options:
     ga: Settings | None = None
     slice_words: int = SLICE
     verbose: bool = False
+    #: Up to so many overlap links find their islands in one task instead of in rounds: the same islands, fewer jobs for a small vocabulary.
+    one_task_links: int = 0
+
+    def __post_init__(self) -> None:
+        if self.dp_limit > MOST:
+            raise ValueError(f"dp limit {self.dp_limit} exceeds the exact solver's {MOST} words")
 
     def genetic(self) -> Settings | None:
         if self.ga is not None:
@@ -72,7 +78,7 @@ _SOLVED = "grp string, id long, start long, ov int, seq int, sw string, solver s
 
 
 def _solver(options: Options):
-    ga, limit = options.genetic(), min(options.dp_limit, MOST)
+    ga, limit = options.genetic(), options.dp_limit
     log = Telemetry() if options.verbose else None
 
     def solve(ids: list[int], texts: list[str], budget: float, rows: list[tuple], grp: str, may_exact: bool) -> None:

@@ -49,11 +49,11 @@ class Merge:
     separator: bytes
 
     def write(self, path: str) -> int:
-        chunks = iter([self.payload, self.fragment])
+        chunks, size = iter([self.payload, self.fragment]), len(self.payload) + len(self.fragment)
         if self.ordered:
-            return write_archive(path, chunks, self.separator, lines=self.lines)
+            return write_archive(path, chunks, size, self.separator, lines=self.lines)
         words = self.lines.where("length > 0").groupBy("b").agg(F.first("length").alias("length"), F.min_by("offset", "line_no").alias("offset"))
-        return write_archive(path, chunks, self.separator, offsets=words)
+        return write_archive(path, chunks, size, self.separator, offsets=words)
 
 
 def merge_archives(spark: SparkSession, primary: str, update: str) -> Merge:

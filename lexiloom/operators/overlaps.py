@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators.components import connected_components
 
-#: So many links are solved in one task (16 MB of them); more in rounds.
-SMALL = 1_000_000
-
 
 def _keys(words: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     k = max(1, k)
@@ -26,17 +23,18 @@ def overlap_pairs(words: DataFrame, k: int) -> DataFrame:
     return suffix.join(prefix, "key").where("u <> v").groupBy("u", "v").agg(F.max(F.length("key")).alias("ov"))
 
 
-def islands(words: DataFrame, k: int) -> DataFrame:
+def islands(words: DataFrame, k: int, one_task_links: int = 0) -> DataFrame:
     """(id, island_id): weak components of the overlaps of at least ``k`` bytes; ``island_id`` is the smallest id.
 
     Pairs are never listed.  All words around one key (as suffix or as prefix, with both present) hang together, so
-    each is linked to the key's smallest word: the edges grow with the keys, not with the pairs.
+    each is linked to the key's smallest word: the edges grow with the keys, not with the pairs.  ``one_task_links``: up to so many links are solved by
+    one task's union-find instead of in rounds, with the same result.
     """
     suffix, prefix = _keys(words, k)
     sides = suffix.select(F.col("u").alias("id"), "key", F.lit(1).alias("s"), F.lit(0).alias("p")).unionByName(prefix.select(F.col("v").alias("id"), "key", F.lit(0).alias("s"), F.lit(1).alias("p")))
     keys = sides.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("s").alias("s"), F.max("p").alias("p")).where("s = 1 and p = 1 and low < high").select("key", "low")
     edges = sides.select("id", "key").join(keys, "key").where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v"))
-    comp = connected_components(edges, small=SMALL)
+    comp = connected_components(edges, small=one_task_links)
     return words.select("id").join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("island_id"))
 
 

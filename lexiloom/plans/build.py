@@ -39,8 +39,8 @@ class Dictionary:
     def write(self, path: str, metadata: str | None = None) -> int:
         """Write the archive; with ranks in the corpus also its sidecars.  Returns the archive's size in bytes."""
         if self.ordered:
-            return write_archive(path, self.payload(), self.separator, lines=self.lines())
-        size = write_archive(path, self.payload(), self.separator, offsets=self.offsets)
+            return write_archive(path, self.payload(), self.payload_bytes(), self.separator, lines=self.lines())
+        size = write_archive(path, self.payload(), self.payload_bytes(), self.separator, offsets=self.offsets)
         if "rank" in self.corpus.columns:
             write_ranks(path, self.offsets, self.corpus)
             if metadata:
@@ -62,7 +62,7 @@ def build_dictionary(corpus: DataFrame, options: Options | None = None, ordered:
     corpus = stash(corpus, "corpus")
     vocab = stash(distinct_first(corpus), "vocabulary")
     kept = stash(survivors(vocab), "survivors")
-    members = stash(islands(kept, options.min_overlap), "islands")
+    members = stash(islands(kept, options.min_overlap, options.one_task_links), "islands")
     tops, places = assemble(kept, members, options)
     placed = stash(place_superwords(tops), "superwords")
     offsets = stash(locate(vocab, kept, placed, places), "offsets")

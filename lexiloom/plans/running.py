@@ -30,5 +30,6 @@ def running(df: DataFrame, order: list[Column], weight: str | None = None, group
     match = run["_part"] == bases["_part"]
     for g in group:
         match = match & run[g].eqNullSafe(bases[g])
-    joined = run.join(bases.select("_part", *group, "_b"), match)
+    few = bases.select("_part", *group, "_b")
+    joined = run.join(few if group else F.broadcast(few), match)  # without groups one row per partition
     return joined.select(*[run[c] for c in df.columns], (run["_r"] + bases["_b"]).cast("long").alias(out))

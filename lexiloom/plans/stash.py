@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder.  Only where a session names none (tests, a laptop) is a
-    folder chosen here; on a cluster the setting has to be there."""
+    folder chosen here; on a cluster a missing setting is an error."""
     sc = spark.sparkContext
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
         jdir = sc._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             have = jdir.get()
+        elif not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and all executors share")
         else:
             have = "file://" + tempfile.mkdtemp(prefix="lexiloom-", dir=None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():

@@ -1,14 +1,13 @@
 """Archive scan and archive, rank and metadata sinks.
 
 The archive is one raw file, which no Spark writer makes: bit fields and delta codes are encoded in blocks on the executors and the driver
-only strings the blocks together, one at a time.
+only strings the blocks together, one at a time, on a local path or through Hadoop's file systems.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +21,7 @@ from lexiloom.functions.bytesview import to_binary
 from lexiloom.operators.layout import entry_bits
 from lexiloom.plans.running import running
 from lexiloom.sources.codecs import ArchiveError, Header, bits_needed, decode_archive, encode_ranks, pack_columns, split_archive, uleb_encode
+from lexiloom.sources.files import local, read_bytes, writing
 
 BLOCK = 1 << 16
 
@@ -57,13 +57,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_header(path: str) -> Header:
-    with open(path, "rb") as f:
-        return Header.decode(f.read(12))
+    return Header.decode(read_bytes(path, 12))
 
 
 def read_payload(path: str) -> tuple[Header, bytes]:
-    with open(path, "rb") as f:
-        head, payload, _ = split_archive(f.read())
+    head, payload, _ = split_archive(read_bytes(path))
     return head, payload
 
 
@@ -110,21 +108,24 @@ def _unordered_blocks(offsets: DataFrame) -> Iterator[bytes]:
         yield bytes(row["data"])
 
 
-def write_archive(path: str, payload: Iterator[bytes], separator: bytes, lines: DataFrame | None = None, offsets: DataFrame | None = None) -> int:
-    """Write header, payload and footer: ordered from ``lines`` (line_no, length, offset), else unordered from ``offsets``.  Returns the file's size."""
-    part = f"{path}.part"
-    with open(part, "wb") as f:
-        f.write(b"\0" * 12)
+def write_archive(path: str, payload: Iterator[bytes], payload_bytes: int, separator: bytes, lines: DataFrame | None = None, offsets: DataFrame | None = None) -> int:
+    """Write header, payload and footer: ordered from ``lines`` (line_no, length, offset), else unordered from ``offsets``.  Returns the file's size.
+
+    ``payload_bytes`` has to be the payload's length, as the header comes first and no file system is asked to go back.
+    """
+    at = 12 + payload_bytes
+    size = 0
+    with writing(path) as write:
+        write(Header(separator, lines is not None, at).encode())
         for chunk in payload:
-            f.write(chunk)
-        at = f.tell()
-        for chunk in _ordered_blocks(lines, at - 12) if lines is not None else _unordered_blocks(offsets):
-            f.write(chunk)
-        size = f.tell()
-        f.seek(0)
-        f.write(Header(separator, lines is not None, at).encode())
-    os.replace(part, path)
-    return size
+            write(chunk)
+            size += len(chunk)
+        if size != payload_bytes:
+            raise ArchiveError(f"payload of {size} bytes, {payload_bytes} expected")
+        for chunk in _ordered_blocks(lines, payload_bytes) if lines is not None else _unordered_blocks(offsets) if offsets is not None else ():
+            write(chunk)
+            size += len(chunk)
+    return 12 + size
 
 
 def payload_chunks(superwords: DataFrame) -> Iterator[bytes]:
@@ -138,8 +139,11 @@ def sidecar_path(path: str, extension: str) -> str:
 
 
 def _write_private(path: str, data: bytes) -> None:
-    with open(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "wb") as f:
-        f.write(data)
+    here = local(path)
+    with writing(path) as write:
+        if here is not None:
+            os.chmod(f"{here}.part", 0o600)
+        write(data)
 
 
 def write_ranks(path: str, offsets: DataFrame, ranks: DataFrame) -> str:
@@ -156,8 +160,7 @@ def write_ranks(path: str, offsets: DataFrame, ranks: DataFrame) -> str:
 def write_metadata(path: str, source: str) -> str:
     """``.json`` sidecar: a byte copy of ``source``."""
     out = sidecar_path(path, ".json")
-    shutil.copyfile(source, out)
-    os.chmod(out, 0o600)
+    _write_private(out, read_bytes(source))
     return out
 
 

@@ -281,10 +281,32 @@ def test_write_archive_is_atomic(tmp_path, corpus):
             yield b"abc"
             raise RuntimeError("lost")
 
-        write_archive(path, broken(), b"\n")
+        write_archive(path, broken(), 3, b"\n")
     assert not (tmp_path / "x").exists()
 
 
+def test_limits_are_refused():
+    with pytest.raises(ValueError, match="dp limit"):
+        Options(dp_limit=19)
+
+
+def test_files_through_hadoop(spark, tmp_path, monkeypatch):
+    from lexiloom.sources import files
+
+    assert files.local("/a/b") == files.local("file:///a/b") == files.local("file:/a/b") == "/a/b" and files.local("hdfs://h/a") is None
+    monkeypatch.setattr(files, "local", lambda path: None)
+    path = f"file://{tmp_path}/raw"
+    with files.writing(path) as write:
+        write(b"ab\xff")
+        write(b"\0" * 10)
+    assert files.read_bytes(path) == b"ab\xff" + b"\0" * 10 and files.read_bytes(path, 3) == b"ab\xff"
+    out = f"file://{tmp_path}/x.dict"
+    built = build_dictionary(spark.createDataFrame([(0, "hello"), (1, "lower")], "line_no long, b string"))
+    size = built.write(out)
+    monkeypatch.undo()
+    assert size == len(files.read_bytes(out)) and {r["b"] for r in read_archive(spark, out).collect()} == {"hello", "lower"}
+
+
 def test_encoding_metadata():
     import json
 
