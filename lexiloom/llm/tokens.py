@@ -50,7 +50,8 @@ class Encoder:
     A byte-level BPE encodes each piece of its split pattern on its own, so each distinct piece of a batch is given to
     the tokenizer's model once and its ids are kept (a tokenizer of another kind gets whole texts).  Texts that hold the content of an
     added token, such as an end-of-text mark, go through the tokenizer as a whole too, which decides what becomes of it.  New pieces
-    are remembered as young, those met again in a later batch as settled; a full memory forgets, which costs time and changes no result.
+    are remembered as young, those met again in a later batch as settled; settled ones that have become too many are young again, and too many
+    young ones are forgotten, which costs time and changes no result.
     """
 
     def __init__(self, path: str) -> None:
@@ -83,7 +84,7 @@ class Encoder:
         found = list(map(self.settled.get, parts))
         if None in found:
             if len(self.settled) > _CACHE_ENTRIES:
-                self.settled.clear()
+                self.settled, self.young = {}, self.settled
             holes = [i for i, f in enumerate(found) if f is None]
             lost = {parts[i] for i in holes}
             own = {p: v for p in lost if (v := self.young.pop(p, None)) is not None}
