@@ -25,7 +25,7 @@ from lexiloom.plans.stash import stash, stash_path
 #: them the public byte-level BPE split pattern.  Texts with other characters go through the tokenizer's own splitter as a whole.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 SPLIT = rf"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-_CACHE_ENTRIES = 250_000
+_CACHE_ENTRIES = 500_000
 
 PARQUET = {
     "parquet.writer.version": "PARQUET_2_0",
