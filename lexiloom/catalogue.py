@@ -21,6 +21,8 @@ from lexiloom.sources import archive, files, text
 from lexiloom.sources.codecs import decode_ranks
 
 POSITIONS = 1 << 21
+#: The vocabularies of these queries are small: so many links find their islands in one task, as a caller of the engine may ask for.
+ONE_TASK = 1_000_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,7 +129,7 @@ def island_count(spark, sf_dir):
 def islands_words(spark, sf_dir):
     vocab = stash(vocabulary.distinct_first(words_of_documents(spark, sf_dir)), "vocabulary")
     kept = stash(containment.survivors(vocab), "survivors")
-    return overlaps.islands(kept, 5)
+    return overlaps.islands(kept, 5, ONE_TASK)
 
 
 def solver_routing(spark, sf_dir):
@@ -237,7 +239,7 @@ def archive_ordered_roundtrip(spark, sf_dir):
 
 
 def archive_roundtrip(spark, sf_dir):
-    path = _written(spark, build_dictionary(words_of_documents(spark, sf_dir), ordered=False), "words")
+    path = _written(spark, build_dictionary(words_of_documents(spark, sf_dir), assembly.Options(one_task_links=ONE_TASK), ordered=False), "words")
     return archive.read_archive(spark, path).select(to_hex(F.col("b")).alias("b_hex"), "length")
 
 
