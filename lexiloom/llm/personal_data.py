@@ -31,6 +31,8 @@ FEWEST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 22
 #: Near copies: words of a shingle, values of a sketch, bands of two minima each, least similarity.  One word in ten replaced leaves
 #: about 0.57 of the shingles.
 SHINGLE, SKETCH, BANDS, COPY = 3, 64, 24, 0.4
+#: Entities of a text from which on those of too few texts are left out first.
+MANY = 64
 #: Texts with disclosing terms whose keys are broadcast; more are joined.
 MOST_KEYS = 1_000_000
 #: Spans that are replaced against one stretch of the text.
@@ -196,7 +198,13 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_
     """
     texts = stash(found.groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("entities", "terms", "sketch")]), "entity-texts")
     units = near_copies(texts.select("text_key", "sketch"))
-    seen = stash(texts.join(units, "text_key", "left").select("text_key", "unit", "entities", "terms"), "entity-units")
+    # of a text with very many entities only those that enough texts hold meet its terms: the others could not be scored
+    one = texts.select("text_key", F.explode("entities").alias("e"))
+    enough = one.groupBy("e").agg(F.count("*").alias("n")).where(F.col("n") >= min_contexts).select("e")
+    heavy = texts.where(F.size("entities") > MANY).select("text_key", F.explode("entities").alias("e"))
+    kept = heavy.join(enough, "e", "left_semi").groupBy("text_key").agg(F.collect_set("e").alias("es"))
+    scored_ = F.when(F.size("entities") > MANY, F.coalesce("es", F.array().cast("array<long>"))).otherwise(F.col("entities")).alias("entities")
+    seen = stash(texts.join(units, "text_key", "left").join(kept, "text_key", "left").select("text_key", "unit", scored_, "terms"), "entity-units")
     each = seen.select("text_key", "unit", "entities", F.explode("terms").alias("term"))
     pairs = _in_units(each.select("text_key", "unit", F.explode("entities").alias("e"), "term"), ["e", "term"], "contexts")
     likely = cut(pairs.where(F.col("contexts") >= min_contexts))

@@ -188,6 +188,30 @@ def test_near_duplicates_in_a_dense_region(docs, prose, monkeypatch):
     check_components(docs, texts)
 
 
+@pytest.mark.parametrize("dense,chunk", [(4, 10**6), (4, 50), (1000, 30)])
+def test_regions_of_sorted_labels(dense, chunk):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(dense + chunk)
+    minima = rng.integers(0, 2, (400, 8)).astype(np.uint64)
+    packed = [sum((minima[:, 4 * k + j] << np.uint64(48 - 16 * j) for j in range(4)), np.zeros(400, np.uint64)).view(np.int64) for k in range(2)]
+    key, ids = rng.integers(0, 40, 400), rng.permutation(400)
+    order = np.lexsort((ids, packed[1], packed[0], key))
+    cols = [c[order] for c in (key, *packed, ids)]
+    batches = [pa.record_batch([pa.array(c[i : i + 17]) for c in cols], names=list("abcd")) for i in range(0, 400, 17)]
+    got = [r for b in near_duplicates._regions(dense, chunk)(iter(batches)) for r in b.to_pylist()]
+    size = Counter(key.tolist())
+    label = {int(i): (int(k), *m.tolist()) for i, k, m in zip(ids, key, minima, strict=True)}
+    edges = {int(ids[order[0]]), int(ids[order[-1]])}
+    assert {r["id"] for r in got} == {i for i, x in label.items() if size[x[0]] > 1} | edges
+    assert all(label[r["id"]][0] == r["key"] == label[r["top"]][0] and r["top"] <= r["id"] for r in got)
+    assert all(r["cut"] or (r["n"] == size[r["key"]] and r["top"] == min(i for i, x in label.items() if x[0] == r["key"])) for r in got)
+    parts = {}
+    for r in got:
+        parts.setdefault(r["top"], set()).add(r["id"])
+    assert all(len(p) <= dense or len({label[i] for i in p}) == 1 for p in parts.values()) or chunk < 10**6
+
+
 def test_near_duplicates_awkward(spark, awkward):
     got = near_duplicates.near_duplicate_classes(awkward).collect()
     assert len(got) == awkward.count()
@@ -369,6 +393,15 @@ def test_disclosing_terms_far_from_the_entity(docs, prose):
     assert not named & set(" ".join(texts[8:]).split())
 
 
+def test_personal_data_in_a_very_long_text(docs):
+    import time
+
+    text = "".join(f"user{i}@mail.org and so on, the {i}th line of a long list of words\n" for i in range(20_000))
+    began = time.monotonic()
+    clean = personal_data.sanitise(docs([text])).collect()[0]["text"]
+    assert clean == re.sub(r"user[0-9]+@mail\.org", "[EMAIL]", text) and time.monotonic() - began < 60
+
+
 def test_redaction_merges_overlaps(docs):
     out = personal_data.sanitise(docs(["call +4111111111111 now", None, "ä 1.2.3.4 é"])).orderBy("doc_id").collect()
     assert [r["text"] for r in out] == ["call [PHONE] now", None, "ä [IP] é"]
