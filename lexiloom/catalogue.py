@@ -257,13 +257,12 @@ def search_batch(spark, sf_dir):
 
 
 def merge_split(spark, sf_dir):
-    first = build_dictionary(names_of_parts(spark, sf_dir))
-    payload = b"".join(first.payload())
+    path = _written(spark, build_dictionary(names_of_parts(spark, sf_dir)), "first")
     spots = _table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("i", "w"))
     words = spots.groupBy("w").agg(F.min(F.col("p_partkey") * 16 + F.col("i")).alias("line_no"))
     other = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("w"), (-1 - F.col("n_nationkey")).cast("long").alias("line_no"))
     news = words.select("w", "line_no").unionByName(other).select("line_no", from_text(F.col("w")).alias("b"))
-    split = merging.split_update(news, merging.payload_table(spark, payload, 64))
+    split = merging.split_update(news, archive.payload_table(spark, path, 64))
     return split.select(to_text(F.col("b")).alias("word"), F.col("offset").isNotNull().alias("eliminated"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -19,6 +20,7 @@ from lexiloom.plans.stash import stash
 
 #: Words per slice of a large island; the least budget that starts the genetic solver; shares and bounds of a remix.
 SLICE, LEAST_SECONDS = 20_000, 0.010
+SEED_STEP = 1_000_003  # between the seeds of populations side by side
 FIRST_SHARE, REMIX_SHARE, REMIX_PART, REMIX_RATIO = 0.60, 0.15, 5, 0.85
 
 
@@ -32,6 +34,8 @@ class Options:
     verbose: bool = False
     #: Up to so many overlap links find their islands in one task instead of in rounds: the same islands, fewer jobs for a small vocabulary.
     one_task_links: int = 0
+    #: Genetic populations of an island side by side, of which the shortest result wins; 0: as many as its budget allows (1 without a time).
+    populations: int = 0
 
     def __post_init__(self) -> None:
         if self.dp_limit > MOST:
@@ -42,6 +46,11 @@ class Options:
             return self.ga
         return Settings(seconds=self.ga_seconds) if self.ga_seconds > 0 else None
 
+    def ga_time(self) -> float:
+        """Seconds that the whole genetic search may take, 0 if it is bounded by iterations or off."""
+        ga = self.genetic()
+        return float(ga.seconds or 0.0) if ga else 0.0
+
 
 def ga_budgets(sizes: DataFrame, seconds: float, workers: int, dp_limit: int) -> DataFrame:
     """Add ``budget``: seconds * workers, shared over the islands beyond ``dp_limit`` by the square of ``size``; others 0."""
@@ -52,9 +61,9 @@ def ga_budgets(sizes: DataFrame, seconds: float, workers: int, dp_limit: int) ->
     return sizes.withColumn("budget", F.coalesce(over * F.lit(float(seconds) * workers) / F.lit(total), F.lit(0.0)))
 
 
-def wall_and_cores(budget: Column, seconds: float) -> tuple[Column, Column]:
+def wall_and_cores(budget: Column, seconds: Column | float) -> tuple[Column, Column]:
     """Wall time of one island and the number of populations it may run at once."""
-    wall = F.least(F.lit(float(seconds)), budget)
+    wall = F.least(F.lit(seconds).cast("double"), budget)
     return wall, F.greatest(F.lit(1), F.floor(budget / F.when(wall > 0, wall))).cast("int")
 
 
@@ -74,31 +83,31 @@ def pair_superwords(pairs: DataFrame) -> DataFrame:
     return sized.withColumns({"sw": text, "second_first": turned, "ov": F.when(turned, F.col("_b")).otherwise(F.col("_a"))}).drop("_a", "_b")
 
 
-_SOLVED = "grp string, id long, start long, ov int, seq int, sw string, solver string"
+_SOLVED = "grp string, id long, start long, ov int, seq int, sw string, solver string, pop int"
 
 
 def _solver(options: Options):
     ga, limit = options.genetic(), options.dp_limit
     log = Telemetry() if options.verbose else None
 
-    def solve(ids: list[int], texts: list[str], budget: float, rows: list[tuple], grp: str, may_exact: bool) -> None:
+    def solve(ids: list[int], texts: list[str], rows: list[tuple], grp: str, pop: int, seconds: float, may_exact: bool) -> None:
         words = [t.encode("latin-1") for t in texts]
         if len(words) == 1:
             path, gains, name = [0], [0], "single"
         elif may_exact and len(words) <= limit:
             (path, gains), name = solve_exact(words), "exact"
-        elif ga is not None and (ga.seconds is None or budget >= LEAST_SECONDS):
-            timed = ga if ga.seconds is None else replace(ga, seconds=min(ga.seconds, budget))
-            (path, gains), name = solve_genetic(words, options.min_overlap, timed, log), "genetic"
+        elif ga is not None and (ga.seconds is None or seconds >= LEAST_SECONDS):
+            own = replace(ga, seed=ga.seed + pop * SEED_STEP, seconds=None if ga.seconds is None else seconds)
+            (path, gains), name = solve_genetic(words, options.min_overlap, own, log), "genetic"
         else:
             (path, gains), name = solve_greedy(words, options.min_overlap), "greedy"
         text, starts = join_path(words, path, gains)
         for seq, (i, gain, start) in enumerate(zip(path, gains, starts, strict=True)):
-            rows.append((grp, ids[i], start, gain, seq, text.decode("latin-1") if seq == 0 else None, name))
+            rows.append((grp, ids[i], start, gain, seq, text.decode("latin-1") if seq == 0 else None, name, pop))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string())
-        names = ["grp", "id", "start", "ov", "seq", "sw", "solver"]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32())
+        names = ["grp", "id", "start", "ov", "seq", "sw", "solver", "pop"]
         current, held, rows = None, ([], []), []
 
         def flush() -> pa.RecordBatch:
@@ -107,40 +116,64 @@ def _solver(options: Options):
             return done
 
         for batch in batches:
-            for grp, word, text, budget, exact in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if current is None or grp != current[0]:
+            for grp, pop, word, text, seconds, exact in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if current is None or (grp, pop) != current[:2]:
                     if current is not None:
-                        solve(*held, current[1], rows, current[0], current[2])
-                    current, held = (grp, budget, exact), ([], [])
+                        solve(*held, rows, *current)
+                    current, held = (grp, pop, seconds, exact), ([], [])
                 held[0].append(word)
                 held[1].append(text)
             if len(rows) > 50_000:
                 yield flush()
         if current is not None:
-            solve(*held, current[1], rows, current[0], current[2])
+            solve(*held, rows, *current)
         if rows:
             yield flush()
 
     return run
 
 
-def _solve_groups(rows: DataFrame, options: Options) -> DataFrame:
-    """``rows``: grp, id, b, ord, budget, exact.  Each group meets in one task, in the order of ``ord``."""
-    dealt = rows.repartition("grp").sortWithinPartitions("grp", "ord").select("grp", "id", "b", "budget", "exact")
-    return dealt.mapInArrow(_solver(options), _SOLVED)
+def _populations(options: Options, seconds: Column, budget: Column, limit: int) -> tuple[Column, Column]:
+    """(seconds, populations) of a group of ``size`` words that may use ``budget`` core seconds within ``seconds``."""
+    ga = options.genetic()
+    if ga is None:
+        return F.lit(0.0), F.lit(1)
+    wall, cores = (F.lit(0.0), F.lit(1)) if ga.seconds is None else wall_and_cores(budget, seconds)
+    many = F.lit(options.populations) if options.populations else cores
+    return wall, F.when((F.col("size") > limit) & ((wall >= LEAST_SECONDS) | F.lit(ga.seconds is None)), many).otherwise(1)
+
+
+def _solve_groups(rows: DataFrame, options: Options, name: str) -> DataFrame:
+    """``rows``: grp, id, b, ord, seconds, exact, pops.  Each group meets in one task, in the order of ``ord``.
+
+    A group with several populations is solved by as many tasks, each with a seed of its own; the shortest superword wins, ties go to the
+    first population, so results by iterations don't depend on how groups are dealt.
+    """
+    if options.genetic() is None:
+        dealt = rows.withColumn("pop", F.lit(0)).repartition("grp")
+    else:  # a fixed number of partitions: small ones put together would search one after the other
+        spark = rows.sparkSession
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        dealt = rows.withColumn("pop", F.explode(F.sequence(F.lit(0), (F.col("pops") - 1).cast("int")))).repartition(n, "grp", "pop")
+    solved = stash(dealt.sortWithinPartitions("grp", "pop", "ord").select("grp", "pop", "id", "b", "seconds", "exact").mapInArrow(_solver(options), _SOLVED), name)
+    if options.genetic() is None:
+        return solved
+    best = solved.where("seq = 0").groupBy("grp").agg(F.min_by("pop", F.struct(F.length("sw"), F.col("pop"))).alias("pop"))
+    return solved.join(best, ["grp", "pop"], "left_semi")
 
 
-def assemble(words: DataFrame, members: DataFrame, options: Options | None = None, workers: int = 8) -> tuple[DataFrame, DataFrame]:
+def assemble(words: DataFrame, members: DataFrame, options: Options | None = None, workers: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(superwords, places): island_id, sw, solver — and id, island_id, start (the word's byte place in its superword).
 
     ``words``: id, b; ``members``: id, island_id.  Single words and pairs stay in SQL.  Islands of up to ``slice_words`` words go to
     a kernel, each as one group; larger ones are sorted bytewise, cut into slices that are solved like islands, and the slices' superwords
-    are the words of the next round.
+    are the words of the next round.  ``workers`` cores share the genetic solver's time (default: the session's parallelism).
     """
     options = options or Options()
+    workers = workers or words.sparkSession.sparkContext.defaultParallelism
     both = stash(words.join(members, "id").select("id", "island_id", "b"), "island-words")
     sizes = both.groupBy("island_id").agg(F.count("*").alias("size"))
-    sized = stash(ga_budgets(sizes, options.ga_seconds, workers, options.dp_limit), "island-sizes")
+    sized = stash(ga_budgets(sizes, options.ga_time(), workers, options.dp_limit), "island-sizes")
     rows = both.join(sized, "island_id")
     single = rows.where("size = 1")
     top = single.select("island_id", F.col("b").alias("sw"), F.lit("single").alias("solver"))
@@ -156,7 +189,8 @@ def assemble(words: DataFrame, members: DataFrame, options: Options | None = Non
         place = place.unionByName(paired.select("island_id", spots).select("id", "island_id", "start"))
         low = 3
     middle = rows.where((F.col("size") >= low) & (F.col("size") <= options.slice_words))
-    solved = stash(_solve_groups(middle.select(F.col("island_id").cast("string").alias("grp"), "id", "b", F.col("id").alias("ord"), "budget", F.lit(True).alias("exact")), options), "solved")
+    seconds, pops = _populations(options, F.lit(options.ga_time()), F.col("budget"), options.dp_limit)
+    solved = _solve_groups(middle.select(F.col("island_id").cast("string").alias("grp"), "id", "b", F.col("id").alias("ord"), seconds.alias("seconds"), F.lit(True).alias("exact"), pops.alias("pops")), options, "solved")
     top = top.unionByName(solved.where("seq = 0").select(F.col("grp").cast("long").alias("island_id"), "sw", "solver"))
     place = place.unionByName(solved.select("id", F.col("grp").cast("long").alias("island_id"), "start"))
     giant = rows.where(F.col("size") > options.slice_words)
@@ -169,16 +203,15 @@ def assemble(words: DataFrame, members: DataFrame, options: Options | None = Non
 def _assemble_giants(giant: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
     place = giant.select("id", "island_id", F.col("id").alias("piece"), F.lit(0).cast("long").alias("start"))
     pieces = giant.select("island_id", F.col("id").alias("piece"), "b", "budget")
-    ga, level = options.genetic(), 0
+    ga, total, began = options.genetic(), options.ga_time(), time.monotonic()
     while True:
-        level += 1
+        left = max(LEAST_SECONDS, total - (time.monotonic() - began))  # a deeper level has the time that is left
         # the exact row number in bytewise order decides the slice, as the order of words decides ties
         numbered = running(pieces, [F.col("b"), F.col("piece")], group=["island_id"], out="rn")
         sliced = stash(numbered.withColumn("slice", F.floor(F.col("rn") / options.slice_words).cast("long")), "slices")
-        share = FIRST_SHARE if level == 1 else 1.0
-        solved = _solve_slices(sliced, options, share)
-        if ga is not None and level == 1:
-            solved = _remix(sliced, solved, options)
+        solved = _solve_slices(sliced, options, left, FIRST_SHARE)
+        if ga is not None:
+            solved = _remix(sliced, solved, options, left)
         made = solved.where("seq = 0").select("island_id", F.col("slice").alias("piece"), F.col("sw").alias("b"))
         joined = place.join(solved.select("island_id", F.col("id").alias("piece"), "slice", F.col("start").alias("more")), ["island_id", "piece"])
         place = stash(joined.select("id", "island_id", F.col("slice").alias("piece"), (F.col("start") + F.col("more")).alias("start")), "places")
@@ -189,9 +222,16 @@ def _assemble_giants(giant: DataFrame, options: Options) -> tuple[DataFrame, Dat
             return pieces.select("island_id", F.col("b").alias("sw"), F.lit(name).alias("solver")), place.select("id", "island_id", "start")
 
 
-def _solve_slices(sliced: DataFrame, options: Options, share: float) -> DataFrame:
-    grouped = sliced.select(F.concat_ws(":", "island_id", "slice").alias("grp"), F.col("piece").alias("id"), "b", F.col("rn").alias("ord"), (F.col("budget") * share).alias("budget"), F.lit(False).alias("exact"))
-    solved = stash(_solve_groups(grouped, options), "slice-solved")
+def _solve_slices(sliced: DataFrame, options: Options, left: float, share: float) -> DataFrame:
+    """Solve each slice.  The slices of an island have the ``share`` of the ``left`` seconds and of the island's cores; a last one alone has all."""
+    total = options.ga_time()
+    sizes = sliced.groupBy("island_id", "slice").agg(F.count("*").alias("size"))
+    counts = sizes.groupBy("island_id").agg(F.count("*").alias("slices"))
+    own = sliced.join(sizes, ["island_id", "slice"]).join(counts, "island_id")
+    level = F.when(F.col("slices") > 1, share * left).otherwise(left)
+    seconds, pops = _populations(options, level, F.col("budget") * level / F.lit(total or 1.0) / F.col("slices"), 2)
+    grouped = own.select(F.concat_ws(":", "island_id", "slice").alias("grp"), F.col("piece").alias("id"), "b", F.col("rn").alias("ord"), seconds.alias("seconds"), F.lit(False).alias("exact"), pops.alias("pops"))
+    solved = _solve_groups(grouped, options, "slice-solved")
     parts = F.split("grp", ":")
     return solved.select(parts[0].cast("long").alias("island_id"), parts[1].cast("long").alias("slice"), "id", "start", "seq", "sw")
 
@@ -203,7 +243,7 @@ def slice_ratios(sliced: DataFrame, solved: DataFrame) -> DataFrame:
     return before.join(after, ["island_id", "slice"]).withColumn("ratio", F.when(F.col("bytes_in") > 0, F.col("bytes_out") / F.col("bytes_in")).otherwise(1.0))
 
 
-def _remix(sliced: DataFrame, solved: DataFrame, options: Options) -> DataFrame:
+def _remix(sliced: DataFrame, solved: DataFrame, options: Options, left: float) -> DataFrame:
     """Pool the words of the worst fifth of at least three slices, deal them anew and keep the result where it is shorter."""
     from pyspark.sql import Window as W
 
@@ -216,7 +256,7 @@ def _remix(sliced: DataFrame, solved: DataFrame, options: Options) -> DataFrame:
     picks = worst.groupBy("island_id").agg(F.sort_array(F.collect_list("slice")).alias("to"), F.sum("bytes_out").alias("old"))
     pool = sliced.join(worst.select("island_id", "slice"), ["island_id", "slice"]).join(picks, "island_id")
     dealt = pool.withColumn("slice", F.get("to", F.pmod(F.xxhash64("piece", "b"), F.size("to")).cast("int"))).select(*sliced.columns)
-    again = _solve_slices(stash(dealt, "remix"), options, REMIX_SHARE)
+    again = _solve_slices(stash(dealt, "remix"), options, left * REMIX_SHARE, 1.0)
     gain = again.where("seq = 0").groupBy("island_id").agg(F.sum(F.length("sw")).alias("new")).join(picks, "island_id").where("new < old").select("island_id", F.explode("to").alias("slice"))
     gain = stash(gain, "remix-kept")
     return solved.join(gain, ["island_id", "slice"], "left_anti").unionByName(again.join(gain, ["island_id", "slice"], "left_semi"))

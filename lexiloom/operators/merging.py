@@ -5,6 +5,7 @@ Differences that are on purpose: eliminated words keep the order of the update,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,19 +14,14 @@ from pyspark.sql import functions as F
 from lexiloom.operators.assembly import Options
 from lexiloom.operators.containment import first_occurrences
 from lexiloom.operators.kernels.paths import overlap
-from lexiloom.plans.build import build_dictionary
+from lexiloom.plans.build import Dictionary, build_dictionary
 from lexiloom.plans.stash import stash
-from lexiloom.sources.archive import read_archive, read_payload, write_archive
+from lexiloom.sources.archive import payload_table, read_archive, read_header, write_archive
+from lexiloom.sources.codecs import HEADER_BYTES
+from lexiloom.sources.files import read_range
 
 #: The options of a merge's inner build.
 MERGE = Options(min_overlap=3, dp_limit=15)
-CHUNK = 1 << 12
-
-
-def payload_table(spark: SparkSession, payload: bytes, longest: int) -> DataFrame:
-    """(hid, h): the payload in chunks that overlap by ``longest`` - 1 bytes; ``hid`` is the chunk's place."""
-    rows = [(at, payload[at : at + CHUNK + max(0, longest - 1)].decode("latin-1")) for at in range(0, len(payload), CHUNK)]
-    return spark.createDataFrame(rows, "hid long, h string")
 
 
 def split_update(words: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -41,15 +37,27 @@ def split_update(words: DataFrame, chunks: DataFrame) -> DataFrame:
 
 @dataclass
 class Merge:
-    payload: bytes
-    fragment: bytes
+    primary: str
+    payload: int  # bytes of the primary's payload
+    inner: Dictionary  # of the update's survivors
     shared: int
     lines: DataFrame  # line_no, b, length, offset: primary, eliminated, survivors
     ordered: bool
     separator: bytes
 
+    def fragments(self) -> Iterator[bytes]:
+        """What comes after the primary payload, superword by superword."""
+        skip = self.shared
+        for chunk in self.inner.payload():
+            yield chunk[skip:]
+            skip = max(0, skip - len(chunk))
+
+    def _payload(self) -> Iterator[bytes]:
+        yield from read_range(self.primary, HEADER_BYTES, HEADER_BYTES + self.payload)
+        yield from self.fragments()
+
     def write(self, path: str) -> int:
-        chunks, size = iter([self.payload, self.fragment]), len(self.payload) + len(self.fragment)
+        chunks, size = self._payload(), self.payload + self.inner.payload_bytes() - self.shared
         if self.ordered:
             return write_archive(path, chunks, size, self.separator, lines=self.lines)
         words = self.lines.where("length > 0").groupBy("b").agg(F.first("length").alias("length"), F.min_by("offset", "line_no").alias("offset"))
@@ -59,18 +67,20 @@ class Merge:
 def merge_archives(spark: SparkSession, primary: str, update: str) -> Merge:
     """Merge two archives.  Ordered only if both are; the separator is the primary's; sidecars are not merged.
 
-    The primary payload is one byte string that the driver copies anyway; its search runs over chunks of it in a join.
+    The search in the primary payload runs over chunks of it in a join; the driver copies it in pieces and holds none of it.  The appended part
+    begins with a survivor, which stands nowhere in the payload, so the two share less than the longest word and only so much is compared.
     """
-    head, payload = read_payload(primary)
-    other, _ = read_payload(update)
+    head, other = read_header(primary), read_header(update)
+    payload = head.footer - HEADER_BYTES
     first = stash(read_archive(spark, primary).select("ordinal", "b", "offset", "length"), "primary")
     news = stash(read_archive(spark, update).where("length > 0").select(F.col("ordinal").alias("line_no"), "b"), "update")
     longest = news.agg(F.max(F.length("b")).alias("n")).first()["n"] or 0
-    parted = stash(split_update(news, payload_table(spark, payload, longest)), "parted")
+    parted = stash(split_update(news, payload_table(spark, primary, longest)), "parted")
     inner = build_dictionary(parted.where("offset is null").select("line_no", "b"), MERGE)
-    mini = b"".join(inner.payload())
-    shared = overlap(payload[-len(mini) :] if mini else b"", mini)
-    shift = len(payload) - shared
+    ahead = next(inner.payload(), b"")[:longest]
+    tail = b"".join(read_range(primary, HEADER_BYTES + max(0, payload - longest), HEADER_BYTES + payload))
+    shared = overlap(tail, ahead)
+    shift = payload - shared
     gone = parted.where("offset is not null").groupBy("b").agg(F.min("line_no").alias("line_no"), F.first("offset").alias("offset"))
     new = parted.where("offset is null").select("line_no", "b").join(inner.offsets.select("b", F.col("offset").alias("o")), "b").select("line_no", "b", (F.col("o") + shift).alias("offset"))
     ranked = (
@@ -81,4 +91,4 @@ def merge_archives(spark: SparkSession, primary: str, update: str) -> Merge:
     best = ranked.groupBy("b").agg(F.min_by("offset", F.struct("src", "at")).alias("offset"))
     order = (F.col("src").cast("long") * (1 << 55) + F.col("at")).alias("line_no")
     lines = ranked.select(order, "b").join(best, "b").select("line_no", "b", F.length("b").cast("long").alias("length"), "offset")
-    return Merge(payload, mini[shared:], shared, stash(lines, "merged"), head.ordered and other.ordered, head.separator)
+    return Merge(primary, payload, inner, shared, stash(lines, "merged"), head.ordered and other.ordered, head.separator)

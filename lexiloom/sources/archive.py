@@ -11,7 +11,6 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -20,40 +19,69 @@ from pyspark.sql import functions as F
 from lexiloom.functions.bytesview import to_binary
 from lexiloom.operators.layout import entry_bits
 from lexiloom.plans.running import running
-from lexiloom.sources.codecs import ArchiveError, Header, bits_needed, decode_archive, encode_ranks, pack_columns, split_archive, uleb_encode
+from lexiloom.sources.codecs import ArchiveError, Header, bits_needed, decode_footer, encode_ranks, pack_columns, split_archive, uleb_encode
 from lexiloom.sources.files import local, read_bytes, writing
 
-BLOCK = 1 << 16
+BLOCK, CHUNK = 1 << 16, 1 << 12
 
 ENTRIES = "file string, version int, separator binary, is_ordered boolean, ordinal long, b string, offset long, length long"
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, data in zip(pdf["path"], pdf["content"], strict=True):
-            try:
-                head, _, words = decode_archive(bytes(data))
-            except ArchiveError as e:
-                raise ArchiveError(f"{path}: {e}") from None
-            for at in range(0, len(words), BLOCK):
-                part = words[at : at + BLOCK]
-                yield pd.DataFrame(
+def _open(path: str, data: bytes) -> tuple[Header, str, np.ndarray, np.ndarray]:
+    try:
+        head, payload, footer = split_archive(data)
+        return head, payload.decode("latin-1"), *decode_footer(footer, head.ordered, len(payload))
+    except ArchiveError as e:
+        raise ArchiveError(f"{path}: {e}") from None
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A file's entries in blocks; beside the file only two integers an entry are held."""
+    for batch in batches:
+        for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            head, text, lengths, offsets = _open(path, data.as_py())
+            for at in range(0, len(lengths), BLOCK):
+                sizes, places = lengths[at : at + BLOCK], offsets[at : at + BLOCK]
+                n = len(sizes)
+                yield pa.record_batch(
                     {
-                        "file": path,
-                        "version": head.version,
-                        "separator": [head.separator] * len(part),
-                        "is_ordered": head.ordered,
-                        "ordinal": range(at, at + len(part)),
-                        "b": [w.decode("latin-1") for w, _, _ in part],
-                        "offset": [o for _, o, _ in part],
-                        "length": [n for _, _, n in part],
+                        "file": pa.array([path] * n, pa.string()),
+                        "version": pa.array([head.version] * n, pa.int32()),
+                        "separator": pa.array([head.separator] * n, pa.binary()),
+                        "is_ordered": pa.array([head.ordered] * n, pa.bool_()),
+                        "ordinal": pa.array(np.arange(at, at + n), pa.int64()),
+                        "b": pa.array([text[o : o + k] for o, k in zip(places.tolist(), sizes.tolist(), strict=True)], pa.string()),
+                        "offset": pa.array(places, pa.int64()),
+                        "length": pa.array(sizes, pa.int64()),
                     }
                 )
 
 
+def _chunks(longest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                _, payload, _ = split_archive(data.as_py())
+                places = range(0, len(payload), CHUNK)
+                for at in range(0, len(places), 1024):
+                    part = places[at : at + 1024]
+                    texts = [payload[x : x + CHUNK + max(0, longest - 1)].decode("latin-1") for x in part]
+                    yield pa.record_batch({"hid": pa.array(part, pa.int64()), "h": pa.array(texts, pa.string())})
+
+    return run
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Entries of one or many archives (a file is decoded by one task): lines in order, or words by offset."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_decode, ENTRIES)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_entries, ENTRIES)
+
+
+def payload_table(spark: SparkSession, path: str, longest: int) -> DataFrame:
+    """(hid, h): an archive's payload in chunks that overlap by ``longest`` - 1 bytes; ``hid`` is the chunk's place.
+
+    One task reads the file and the chunks are dealt to all of them; the driver sees none of it.
+    """
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_chunks(longest), "hid long, h string").repartition("hid")
 
 
 def read_header(path: str) -> Header:
@@ -177,3 +205,31 @@ def archive_size(lengths: np.ndarray, offsets: np.ndarray, payload: int) -> int:
 def encoding_metadata(pattern: str, special_tokens: dict[str, int]) -> str:
     """The JSON that goes beside a tokenizer's archive: its split pattern and special tokens (by id)."""
     return json.dumps({"pat_str": pattern, "special_tokens": dict(sorted(special_tokens.items(), key=lambda x: x[1]))}, ensure_ascii=False, indent=2) + "\n"
+
+
+#: Split patterns and special tokens of the public encodings.
+_R50K = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+$|\s+(?!\S)|\s"
+_CL100K = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+_O200K = (
+    r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+(?i:'s|'t|'re|'ve|'m|'ll|'d)?"
+    r"|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*(?i:'s|'t|'re|'ve|'m|'ll|'d)?"
+    r"|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+)
+ENCODINGS = {
+    "synthetic": (r"\w+|\S", {"synthetic_end": 100}),
+    "cl100k_base": (_CL100K, {"endoftext": 100257, "fim_prefix": 100258, "fim_middle": 100259, "fim_suffix": 100260, "endofprompt": 100276}),
+    "o200k_base": (_O200K, {"endoftext": 199999, "endofprompt": 200018}),
+    "p50k_base": (_R50K, {"endoftext": 50256}),
+    "p50k_edit": (_R50K, {"endoftext": 50256, "fim_prefix": 50281, "fim_middle": 50282, "fim_suffix": 50283}),
+    "r50k_base": (_R50K, {"endoftext": 50256}),
+}
+
+
+def write_encodings(folder: str) -> list[str]:
+    """One metadata file for each known encoding: its split pattern and its special tokens."""
+    paths = []
+    for name, (pattern, special) in ENCODINGS.items():
+        paths.append(f"{folder}/{name}.json")
+        with writing(paths[-1]) as write:
+            write(encoding_metadata(pattern, {f"<|{k}|>": v for k, v in special.items()}).encode())
+    return paths

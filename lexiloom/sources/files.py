@@ -55,6 +55,29 @@ def writing(path: str) -> Iterator:
     fs.rename(part, target)
 
 
+def read_range(path: str, start: int, end: int) -> Iterator[bytes]:
+    """The bytes from ``start`` up to ``end`` in pieces of at most ``BUFFER``; a file that ends before is an error."""
+    here = local(path)
+    if here is not None:
+        stream = open(here, "rb")  # noqa: SIM115
+        stream.seek(start)
+        read = stream.read
+    else:
+        fs, jpath = _remote(path)
+        stream = fs.open(jpath)
+        stream.seek(start)
+        read = stream.readNBytes
+    try:
+        while start < end:
+            piece = bytes(read(min(BUFFER, end - start)))
+            if not piece:
+                raise EOFError(f"{path} ends at byte {start}, {end} expected")
+            yield piece
+            start += len(piece)
+    finally:
+        stream.close()
+
+
 def read_bytes(path: str, n: int | None = None) -> bytes:
     """The file, or its first ``n`` bytes."""
     here = local(path)

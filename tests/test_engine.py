@@ -11,11 +11,11 @@ from lexiloom.operators.containment import contained_pairs, multi_pattern, occur
 from lexiloom.operators.kernels.genetic import Settings
 from lexiloom.operators.kernels.paths import overlap
 from lexiloom.operators.membership import membership
-from lexiloom.operators.merging import merge_archives, payload_table, split_update
+from lexiloom.operators.merging import merge_archives, split_update
 from lexiloom.operators.overlaps import islands, overlap_pairs
 from lexiloom.operators.vocabulary import distinct_first
 from lexiloom.plans.build import build_dictionary
-from lexiloom.sources.archive import read_archive, read_payload, write_archive
+from lexiloom.sources.archive import payload_table, read_archive, read_payload, write_archive
 from lexiloom.sources.codecs import decode_archive
 from lexiloom.sources.text import ScanError, read_separated, read_tokenizer
 
@@ -140,6 +140,32 @@ def test_giant_island_in_slices_with_remix(corpus):
     check_offsets(build_dictionary(corpus(words), options))
 
 
+def test_populations_side_by_side(spark):
+    from lexiloom.operators.assembly import SEED_STEP
+    from lexiloom.operators.kernels.genetic import solve_genetic
+
+    texts = sorted(set(random_words(30, 21, "ab", 9)))
+    words = spark.createDataFrame(list(enumerate(texts)), "id long, b string")
+    ga = Settings(max_iters=60, population=6, seed=4)
+
+    def size(options):
+        tops, places = assemble(words, words.selectExpr("id", "0L AS island_id"), options)
+        text = tops.first()["sw"]
+        assert all(text[r["start"] :].startswith(texts[r["id"]]) for r in places.collect()) and places.count() == len(texts)
+        return len(text)
+
+    raw = sum(map(len, texts))
+    alone = [raw - sum(solve_genetic([t.encode() for t in texts], 1, Settings(6, 0, 0, 60, None, 4 + p * SEED_STEP))[1]) for p in range(4)]
+    assert size(Options(min_overlap=1, dp_limit=2, ga=ga, populations=4)) == min(alone)
+    assert size(Options(min_overlap=1, dp_limit=2, ga=ga)) == alone[0]
+    assert size(Options(min_overlap=1, dp_limit=2, ga_seconds=0.2)) <= raw
+
+
+def test_slices_share_the_time(corpus):
+    words = sorted({w + "z" for w in random_words(300, 19, "abcde", 8) if len(w) > 5})
+    check_offsets(build_dictionary(corpus(words), Options(min_overlap=1, dp_limit=2, ga_seconds=0.5, slice_words=60)))
+
+
 def test_pairs_and_routing(spark):
     got = pair_superwords(spark.createDataFrame([("xyz", "abc"), ("abcx", "xyab"), ("abab", "baba")], "first string, second string")).collect()
     assert [r["sw"] for r in got] == ["abcxyz", "xyabcx", "babab"]
@@ -213,18 +239,34 @@ def test_missing_file_and_arguments(spark, tmp_path, capfd):
             main(argv, spark)
 
 
-def test_split_update(spark, corpus):
-    payload = b"passwordswordfishbone"
-    got = split_update(corpus(["password", "newword", "fish", "newword", ""]), payload_table(spark, payload, 8)).orderBy("line_no").collect()
+def test_split_update(spark, corpus, tmp_path):
+    payload, path = b"passwordswordfishbone", str(tmp_path / "p")
+    write_archive(path, iter([payload]), len(payload), b"\n")
+    got = split_update(corpus(["password", "newword", "fish", "newword", ""]), payload_table(spark, path, 8)).orderBy("line_no").collect()
     assert [r["offset"] for r in got] == [0, None, 13, None, 0]
 
 
+def test_payload_in_chunks(spark, tmp_path):
+    from lexiloom.sources import archive, files
+
+    payload, path = random.Random(5).randbytes(archive.CHUNK * 1030 + 17), str(tmp_path / "p")
+    write_archive(path, iter([payload]), len(payload), b"\n")
+    for r in payload_table(spark, path, 9).collect():
+        assert r["h"].encode("latin-1") == payload[r["hid"] : r["hid"] + archive.CHUNK + 8]
+    assert payload_table(spark, path, 9).count() == 1031
+    assert b"".join(files.read_range(path, 12, 12 + len(payload))) == payload
+    with pytest.raises(EOFError):
+        list(files.read_range(path, 0, 13 + len(payload)))
+    write_archive(path, iter([]), 0, b"\n")
+    assert payload_table(spark, path, 0).count() == 0
+
+
 def test_merge_overlap(spark, corpus, tmp_path):
     a, b, c = (str(tmp_path / x) for x in "abc")
     build_dictionary(corpus(["abcdef"])).write(a)
     build_dictionary(corpus(["defghi"])).write(b)
     merged = merge_archives(spark, a, b)
-    assert (merged.shared, merged.fragment) == (3, b"ghi")
+    assert (merged.shared, b"".join(merged.fragments())) == (3, b"ghi")
     merged.write(c)
     _, payload, words = decode_archive(open(c, "rb").read())
     assert payload == b"abcdefghi" and [w for w, _, _ in words] == [b"abcdef", b"defghi"]
@@ -307,6 +349,21 @@ def test_files_through_hadoop(spark, tmp_path, monkeypatch):
     assert size == len(files.read_bytes(out)) and {r["b"] for r in read_archive(spark, out).collect()} == {"hello", "lower"}
 
 
+def test_encoding_files(tmp_path):
+    import json
+
+    import regex
+    from lexiloom.sources.archive import write_encodings
+
+    paths = write_encodings(str(tmp_path / "meta"))
+    assert len(paths) == 6
+    for path in paths:
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        assert "".join(regex.findall(data["pat_str"], "it's 1234 naïve\n\n  words")).split()
+        assert all(k.startswith("<|") and k.endswith("|>") for k in data["special_tokens"])
+
+
 def test_encoding_metadata():
     import json
 
