@@ -16,7 +16,7 @@ from lexiloom.operators.kernels.genetic import Settings, Telemetry, solve_geneti
 from lexiloom.operators.kernels.greedy import solve_greedy
 from lexiloom.operators.kernels.paths import join_path
 from lexiloom.plans.running import running
-from lexiloom.plans.stash import stash
+from lexiloom.plans.stash import dealt, stash
 
 #: Words per slice of a large island; the least budget that starts the genetic solver; shares and bounds of a remix.
 SLICE, LEAST_SECONDS = 20_000, 0.010
@@ -150,16 +150,16 @@ def _solve_groups(rows: DataFrame, options: Options, name: str) -> DataFrame:
     first population, so results by iterations don't depend on how groups are dealt.
     """
     if options.genetic() is None:
-        dealt = rows.withColumn("pop", F.lit(0)).repartition("grp")
+        parted = rows.withColumn("pop", F.lit(0)).repartition("grp")
     else:  # a fixed number of partitions: small ones put together would search one after the other
         spark = rows.sparkSession
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        dealt = rows.withColumn("pop", F.explode(F.sequence(F.lit(0), (F.col("pops") - 1).cast("int")))).repartition(n, "grp", "pop")
-    solved = stash(dealt.sortWithinPartitions("grp", "pop", "ord").select("grp", "pop", "id", "b", "seconds", "exact").mapInArrow(_solver(options), _SOLVED), name)
+        parted = rows.withColumn("pop", F.explode(F.sequence(F.lit(0), (F.col("pops") - 1).cast("int")))).repartition(n, "grp", "pop")
+    solved = stash(parted.sortWithinPartitions("grp", "pop", "ord").select("grp", "pop", "id", "b", "seconds", "exact").mapInArrow(_solver(options), _SOLVED), name)
     if options.genetic() is None:
         return solved
     best = solved.where("seq = 0").groupBy("grp").agg(F.min_by("pop", F.struct(F.length("sw"), F.col("pop"))).alias("pop"))
-    return solved.join(best, ["grp", "pop"], "left_semi")
+    return solved.join(dealt(best), ["grp", "pop"], "left_semi")
 
 
 def assemble(words: DataFrame, members: DataFrame, options: Options | None = None, workers: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -171,10 +171,10 @@ def assemble(words: DataFrame, members: DataFrame, options: Options | None = Non
     """
     options = options or Options()
     workers = workers or words.sparkSession.sparkContext.defaultParallelism
-    both = stash(words.join(members, "id").select("id", "island_id", "b"), "island-words")
+    both = stash(words.join(dealt(members), "id").select("id", "island_id", "b"), "island-words")
     sizes = both.groupBy("island_id").agg(F.count("*").alias("size"))
     sized = stash(ga_budgets(sizes, options.ga_time(), workers, options.dp_limit), "island-sizes")
-    rows = both.join(sized, "island_id")
+    rows = both.join(dealt(sized), "island_id")
     single = rows.where("size = 1")
     top = single.select("island_id", F.col("b").alias("sw"), F.lit("single").alias("solver"))
     place = single.select("id", "island_id", F.lit(0).cast("long").alias("start"))
@@ -213,7 +213,7 @@ def _assemble_giants(giant: DataFrame, options: Options) -> tuple[DataFrame, Dat
         if ga is not None:
             solved = _remix(sliced, solved, options, left)
         made = solved.where("seq = 0").select("island_id", F.col("slice").alias("piece"), F.col("sw").alias("b"))
-        joined = place.join(solved.select("island_id", F.col("id").alias("piece"), "slice", F.col("start").alias("more")), ["island_id", "piece"])
+        joined = place.join(dealt(solved.select("island_id", F.col("id").alias("piece"), "slice", F.col("start").alias("more"))), ["island_id", "piece"])
         place = stash(joined.select("id", "island_id", F.col("slice").alias("piece"), (F.col("start") + F.col("more")).alias("start")), "places")
         budgets = pieces.groupBy("island_id").agg(F.max("budget").alias("budget"))
         pieces = stash(made.join(budgets, "island_id").select("island_id", "piece", "b", "budget"), "pieces")
@@ -255,8 +255,8 @@ def _remix(sliced: DataFrame, solved: DataFrame, options: Options, left: float)
         return solved
     picks = worst.groupBy("island_id").agg(F.sort_array(F.collect_list("slice")).alias("to"), F.sum("bytes_out").alias("old"))
     pool = sliced.join(worst.select("island_id", "slice"), ["island_id", "slice"]).join(picks, "island_id")
-    dealt = pool.withColumn("slice", F.get("to", F.pmod(F.xxhash64("piece", "b"), F.size("to")).cast("int"))).select(*sliced.columns)
-    again = _solve_slices(stash(dealt, "remix"), options, left * REMIX_SHARE, 1.0)
+    mixed = pool.withColumn("slice", F.get("to", F.pmod(F.xxhash64("piece", "b"), F.size("to")).cast("int"))).select(*sliced.columns)
+    again = _solve_slices(stash(mixed, "remix"), options, left * REMIX_SHARE, 1.0)
     gain = again.where("seq = 0").groupBy("island_id").agg(F.sum(F.length("sw")).alias("new")).join(picks, "island_id").where("new < old").select("island_id", F.explode("to").alias("slice"))
     gain = stash(gain, "remix-kept")
     return solved.join(gain, ["island_id", "slice"], "left_anti").unionByName(again.join(gain, ["island_id", "slice"], "left_semi"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.plans.stash import cut
+from lexiloom.plans.stash import cut, dealt
 
 
 def _with_low(rows: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -25,8 +25,8 @@ def _with_low(rows: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
     low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     most = max(16, n_rows // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     hot = F.broadcast(low.where(F.col("n") > most).select("u", F.col("m").alias("h")))  # at most n_rows / most of them
-    dealt = rows.join(hot, "u", "left").withColumn("k", F.when(F.col("h").isNull(), F.col("u")).otherwise(F.xxhash64("u", "v")))
-    return dealt.join(low.select(F.col("u").alias("k"), "m"), "k", "left").select("u", "v", F.coalesce("h", "m").alias("m")), low
+    keyed = rows.join(hot, "u", "left").withColumn("k", F.when(F.col("h").isNull(), F.col("u")).otherwise(F.xxhash64("u", "v")))
+    return keyed.join(dealt(low.select(F.col("u").alias("k"), "m")), "k", "left").select("u", "v", F.coalesce("h", "m").alias("m")), low
 
 
 def _settled(e: DataFrame) -> bool:

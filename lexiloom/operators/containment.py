@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.plans.stash import dealt
+
 SHORT, GRAM, PIECE = 24, 8, 256
 
 
@@ -46,7 +48,7 @@ def _in_long(needles: DataFrame, hay: DataFrame) -> DataFrame:
     tiny = needles.where(F.length("b") < GRAM)
     sizes = sorted(r["n"] for r in tiny.select(F.length("b").alias("n")).distinct().collect())  # at most GRAM - 1 numbers
     some = F.flatten(F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), runs))
-    short = pieces.select("hid", "i", F.explode(some).alias("x")).select("hid", place, "x.b").join(tiny, "b").select("id", "hid", (F.col("p") - 1).alias("pos"))
+    short = pieces.select("hid", "i", F.explode(some).alias("x")).select("hid", place, "x.b").join(dealt(tiny), "b").select("id", "hid", (F.col("p") - 1).alias("pos"))
 
     asked = needles.where(F.length("b") >= GRAM).select("id", "b", F.explode(_numbers(F.lit(1), F.length("b") - GRAM + 1)).alias("o")).select("id", F.col("o"), F.substring(F.col("b"), F.col("o"), F.lit(GRAM)).alias("g"))
     every = pieces.select("hid", "i", F.explode(runs(F.lit(GRAM))).alias("x")).select("hid", place, F.col("x.b").alias("g"))
@@ -68,7 +70,7 @@ def occurrences(needles: DataFrame, hay: DataFrame) -> DataFrame:
     ``needles``: id, b; ``hay``: hid, h.  A string occurs in itself; empty and null strings occur nowhere.
     """
     needles, hay = _asked(needles, hay)
-    found = _substrings(hay).join(needles, "b").select("id", "hid", (F.col("p") - 1).alias("pos"))
+    found = _substrings(hay).join(dealt(needles), "b").select("id", "hid", (F.col("p") - 1).alias("pos"))
     return found.unionByName(_in_long(needles, hay)) if _any_long(hay) else found
 
 
@@ -81,13 +83,13 @@ def first_occurrences(needles: DataFrame, hay: DataFrame, proper: bool = False)
     needles, hay = _asked(needles, hay)
     # one long per place: a struct would need a sort instead of a hash aggregation
     near = _substrings(hay, proper).groupBy("b").agg(F.min(F.col("hid") * 32 + F.col("p")).alias("x"))
-    found = near.join(needles, "b").select("id", F.shiftright("x", 5).alias("hid"), (F.col("x").bitwiseAND(F.lit(31)) - 1).cast("int").alias("pos"))
+    found = near.join(dealt(needles), "b").select("id", F.shiftright("x", 5).alias("hid"), (F.col("x").bitwiseAND(F.lit(31)) - 1).cast("int").alias("pos"))
     if not _any_long(hay):
         return found
     far = _in_long(needles, hay)
     if proper:
         sized = needles.select("id", F.length("b").alias("nb"))
-        far = far.join(sized, "id").join(hay.where(F.length("h") > SHORT).select("hid", F.length("h").alias("nh")), "hid").where("nb < nh").select("id", "hid", "pos")
+        far = far.join(dealt(sized), "id").join(dealt(hay.where(F.length("h") > SHORT).select("hid", F.length("h").alias("nh"))), "hid").where("nb < nh").select("id", "hid", "pos")
     return found.unionByName(far).groupBy("id").agg(F.min(F.struct("hid", "pos")).alias("x")).select("id", "x.hid", "x.pos")
 
 
@@ -100,7 +102,7 @@ def survivors(vocab: DataFrame) -> DataFrame:
     """The words that stand in no other word.  A vocabulary of one word stays as it is; of several, the empty word goes."""
     gone = first_occurrences(vocab, vocab.select(F.col("id").alias("hid"), F.col("b").alias("h")), proper=True).select("id")
     words = vocab.where(F.length("b") > 0)
-    return words.join(gone, "id", "left_anti") if words.head(1) else vocab
+    return words.join(dealt(gone), "id", "left_anti") if words.head(1) else vocab
 
 
 def survivors_by_force(words: list[bytes]) -> list[bytes]:
@@ -118,4 +120,4 @@ def multi_pattern(patterns: DataFrame, docs: DataFrame) -> DataFrame:
     """
     hits = occurrences(patterns.select(F.col("pattern_id").alias("id"), "b"), docs.select(F.col("doc_id").alias("hid"), F.col("b").alias("h")))
     sized = patterns.select(F.col("pattern_id").alias("id"), F.length("b").alias("n"))
-    return hits.join(sized, "id").select(F.col("hid").alias("doc_id"), F.col("id").alias("pattern_id"), F.col("pos").cast("int").alias("start"), (F.col("pos") + F.col("n") - 1).cast("int").alias("end"))
+    return hits.join(dealt(sized), "id").select(F.col("hid").alias("doc_id"), F.col("id").alias("pattern_id"), F.col("pos").cast("int").alias("start"), (F.col("pos") + F.col("n") - 1).cast("int").alias("end"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.bytesview import bits_needed, uleb128_hex, uleb128_size
 from lexiloom.operators.containment import first_occurrences
 from lexiloom.plans.running import running
+from lexiloom.plans.stash import dealt
 
 
 def place_superwords(superwords: DataFrame) -> DataFrame:
@@ -22,12 +23,13 @@ def locate(vocab: DataFrame, kept: DataFrame, superwords: DataFrame, places: Dat
 
     ``kept``: id, b of the survivors; ``superwords``: island_id, base; ``places``: id, island_id, start.
     """
-    own = places.join(superwords.select("island_id", "base"), "island_id").select("id", (F.col("base") + F.col("start")).alias("offset"))
-    rest = vocab.where(F.length("b") > 0).join(kept.select("id"), "id", "left_anti")
-    inside = first_occurrences(rest, kept.select(F.col("id").alias("hid"), F.col("b").alias("h")))
-    via = inside.join(own.withColumnRenamed("id", "hid"), "hid").select("id", (F.col("offset") + F.col("pos")).alias("offset"))
-    all_ = own.unionByName(via)
-    return vocab.join(all_, "id", "left").select("id", "b", F.when(F.length("b") == 0, F.lit(0)).otherwise(F.col("offset")).cast("long").alias("offset"), F.length("b").cast("long").alias("length"))
+    own = places.join(dealt(superwords.select("island_id", "base")), "island_id").select("id", (F.col("base") + F.col("start")).alias("offset"))
+    rest = vocab.where(F.length("b") > 0).join(dealt(kept.select("id")), "id", "left_anti")
+    all_ = own
+    if rest.head(1):
+        inside = first_occurrences(rest, kept.select(F.col("id").alias("hid"), F.col("b").alias("h")))
+        all_ = own.unionByName(inside.join(dealt(own.withColumnRenamed("id", "hid")), "hid").select("id", (F.col("offset") + F.col("pos")).alias("offset")))
+    return vocab.join(dealt(all_), "id", "left").select("id", "b", F.when(F.length("b") == 0, F.lit(0)).otherwise(F.col("offset")).cast("long").alias("offset"), F.length("b").cast("long").alias("length"))
 
 
 def footer_deltas(offsets: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def footer_deltas(offsets: DataFrame) -> DataFrame:
 def ordered_lines(corpus: DataFrame, offsets: DataFrame) -> DataFrame:
     """Each line with its word's length and offset (missing: 0), duplicates and empty lines too."""
     known = offsets.select("b", "offset")
-    return corpus.join(known, "b", "left").select("line_no", "b", F.length("b").cast("long").alias("length"), F.coalesce("offset", F.lit(0)).cast("long").alias("offset"))
+    return corpus.join(dealt(known), "b", "left").select("line_no", "b", F.length("b").cast("long").alias("length"), F.coalesce("offset", F.lit(0)).cast("long").alias("offset"))
 
 
 def entry_bits(lines: DataFrame, payload: int) -> DataFrame:

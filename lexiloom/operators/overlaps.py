@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.operators.components import connected_components
+from lexiloom.plans.stash import dealt
 
 
 def _keys(words: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -33,9 +34,9 @@ def islands(words: DataFrame, k: int, one_task_links: int = 0) -> DataFrame:
     suffix, prefix = _keys(words, k)
     sides = suffix.select(F.col("u").alias("id"), "key", F.lit(1).alias("s"), F.lit(0).alias("p")).unionByName(prefix.select(F.col("v").alias("id"), "key", F.lit(0).alias("s"), F.lit(1).alias("p")))
     keys = sides.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("s").alias("s"), F.max("p").alias("p")).where("s = 1 and p = 1 and low < high").select("key", "low")
-    edges = sides.select("id", "key").join(keys, "key").where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v"))
+    edges = sides.select("id", "key").join(dealt(keys), "key").where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v"))
     comp = connected_components(edges, small=one_task_links)
-    return words.select("id").join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("island_id"))
+    return words.select("id").join(dealt(comp), "id", "left").select("id", F.coalesce("component", "id").alias("island_id"))
 
 
 def island_count(members: DataFrame) -> DataFrame:

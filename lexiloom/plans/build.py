@@ -39,7 +39,7 @@ class Dictionary:
     def write(self, path: str, metadata: str | None = None) -> int:
         """Write the archive; with ranks in the corpus also its sidecars.  Returns the archive's size in bytes."""
         if self.ordered:
-            return write_archive(path, self.payload(), self.payload_bytes(), self.separator, lines=self.lines())
+            return write_archive(path, self.payload(), self.payload_bytes(), self.separator, lines=stash(self.lines(), "lines"))
         size = write_archive(path, self.payload(), self.payload_bytes(), self.separator, offsets=self.offsets)
         if "rank" in self.corpus.columns:
             write_ranks(path, self.offsets, self.corpus)

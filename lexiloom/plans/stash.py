@@ -43,6 +43,14 @@ def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(stash_path(df, name, **options))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that has as many rows as the data: never broadcast.
+
+    Spark goes by compressed bytes, of which a million short words or ids take a few MB; as a hash table on the driver they take hundreds.
+    """
+    return df.hint("merge")
+
+
 _RUN = uuid.uuid4().hex
 
 

@@ -8,21 +8,23 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.functions.bytesview import to_binary
 from lexiloom.operators.layout import entry_bits
 from lexiloom.plans.running import running
-from lexiloom.sources.codecs import ArchiveError, Header, bits_needed, decode_footer, encode_ranks, pack_columns, split_archive, uleb_encode
+from lexiloom.plans.stash import dealt, stash
+from lexiloom.sources.codecs import ArchiveError, Header, bits_needed, decode_footer, decode_ranks, encode_ranks, pack_columns, split_archive, uleb_column, uleb_encode
 from lexiloom.sources.files import local, read_bytes, writing
 
 BLOCK, CHUNK = 1 << 16, 1 << 12
+#: Encoded blocks and bytes of payload that the driver takes at once, and bytes of a payload piece.
+AT_ONCE, SPAN, STRETCH = 32, 16 << 20, 1 << 20
 
 ENTRIES = "file string, version int, separator binary, is_ordered boolean, ordinal long, b string, offset long, length long"
 
@@ -103,13 +105,26 @@ def _pack(widths: list[int]):
 
 
 def _deltas(key: tuple, table: pa.Table) -> pa.Table:
+    """A block of (rn, length, offset, count of that length, and length and offset of the row before the block)."""
     order = table.sort_by("rn")
-    out = bytearray()
-    for size, count, delta in zip(order["length"].to_pylist(), order["head"].to_pylist(), order["delta"].to_pylist(), strict=True):
-        if count is not None:
-            out += uleb_encode(size) + uleb_encode(count)
-        out += uleb_encode(delta)
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([bytes(out)], pa.binary())})
+    sizes, places, counts = (order[c].to_numpy() for c in ("length", "offset", "count"))
+    before, at = (np.concatenate([[order[c][0].as_py() or 0], x[:-1]]) for c, x in (("last_length", sizes), ("last_offset", places)))
+    first = np.flatnonzero(sizes != before)
+    codes = np.insert(places - np.where(sizes == before, at, 0), np.repeat(first, 2), np.column_stack([sizes[first], counts[first]]).ravel())
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([uleb_column(codes)], pa.binary())})
+
+
+def _rank_bytes(key: tuple, table: pa.Table) -> pa.Table:
+    data = encode_ranks(table.sort_by([("rn", "ascending"), ("rank", "ascending")])["rank"].to_pylist())
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([data], pa.binary())})
+
+
+def in_blocks(rows: DataFrame, encode, n: int) -> Iterator[bytes]:
+    """``rows``, numbered by ``rn`` from 0 up to ``n``, encoded in blocks on the executors; the driver takes ``AT_ONCE`` blocks at a time."""
+    blocks = rows.withColumn("block", F.floor(F.col("rn") / BLOCK)).groupBy("block").applyInArrow(encode, "block long, data binary")
+    parts = max(1, -(-n // (BLOCK * AT_ONCE)))
+    for row in blocks.repartitionById(parts, F.floor(F.col("block") / AT_ONCE).cast("int")).sortWithinPartitions("block").select("data").toLocalIterator():
+        yield bytes(row["data"])
 
 
 def _ordered_blocks(lines: DataFrame, payload: int) -> Iterator[bytes]:
@@ -117,9 +132,7 @@ def _ordered_blocks(lines: DataFrame, payload: int) -> Iterator[bytes]:
     yield uleb_encode(shape["longest"]) + uleb_encode(shape["n_lines"])
     widths = [bits_needed(shape["longest"]), bits_needed(payload)]
     numbered = running(lines.select("line_no", "length", "offset"), [F.col("line_no")], out="rn")
-    packed = numbered.withColumn("block", F.floor(F.col("rn") / BLOCK)).groupBy("block").applyInArrow(_pack(widths), "block long, data binary")
-    for row in packed.orderBy("block").toLocalIterator():
-        yield bytes(row["data"])
+    yield from in_blocks(numbered, _pack(widths), shape["n_lines"])
 
 
 def footer_order(offsets: DataFrame) -> DataFrame:
@@ -128,12 +141,13 @@ def footer_order(offsets: DataFrame) -> DataFrame:
 
 
 def _unordered_blocks(offsets: DataFrame) -> Iterator[bytes]:
-    counts = offsets.where("length > 0").groupBy("length").agg(F.count("*").alias("count"))
-    by = W.partitionBy("length").orderBy("offset")
-    rows = footer_order(offsets.select("length", "offset")).withColumns({"delta": F.col("offset") - F.lag("offset", 1, 0).over(by), "first": F.row_number().over(by) == 1})
-    headed = rows.join(counts, "length").withColumn("head", F.when(F.col("first"), F.col("count"))).drop("first", "count")
-    for row in headed.withColumn("block", F.floor(F.col("rn") / BLOCK)).groupBy("block").applyInArrow(_deltas, "block long, data binary").orderBy("block").toLocalIterator():
-        yield bytes(row["data"])
+    rows = stash(footer_order(offsets.select("length", "offset")), "footer")
+    block = F.floor(F.col("rn") / BLOCK)
+    counts = rows.groupBy("length").agg(F.count("*").alias("count"))
+    tails = rows.groupBy((block + 1).alias("block")).agg(F.max(F.struct("length", "offset")).alias("x")).select("block", F.col("x.length").alias("last_length"), F.col("x.offset").alias("last_offset"))
+    # a row for each length, and one for each block
+    headed = rows.withColumn("block", block).join(F.broadcast(counts), "length").join(F.broadcast(tails), "block", "left").drop("block")
+    yield from in_blocks(headed, _deltas, rows.count())
 
 
 def write_archive(path: str, payload: Iterator[bytes], payload_bytes: int, separator: bytes, lines: DataFrame | None = None, offsets: DataFrame | None = None) -> int:
@@ -156,9 +170,24 @@ def write_archive(path: str, payload: Iterator[bytes], payload_bytes: int, separ
     return 12 + size
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = bytearray()
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            held += data
+            if len(held) >= STRETCH:
+                yield pa.record_batch({"data": pa.array([bytes(held)], pa.binary())})
+                held.clear()
+    yield pa.record_batch({"data": pa.array([bytes(held)] if held else [], pa.binary())})
+
+
 def payload_chunks(superwords: DataFrame) -> Iterator[bytes]:
-    """The payload, superword by superword."""
-    for row in superwords.select("base", to_binary(F.col("sw")).alias("data")).orderBy("base").toLocalIterator():
+    """The payload in order: superwords are strung together on the executors, and the driver takes those that begin in the same ``SPAN`` bytes at a time."""
+    last = superwords.agg(F.max("base").alias("n")).first()["n"]
+    if last is None:
+        return
+    spans = superwords.select("base", F.length("sw").alias("n"), to_binary(F.col("sw")).alias("data")).repartitionById(last // SPAN + 1, F.floor(F.col("base") / SPAN).cast("int"))
+    for row in spans.sortWithinPartitions("base", "n").select("data").mapInArrow(_stretches, "data binary").toLocalIterator():
         yield bytes(row["data"])
 
 
@@ -166,34 +195,50 @@ def sidecar_path(path: str, extension: str) -> str:
     return os.path.splitext(path)[0] + extension
 
 
-def _write_private(path: str, data: bytes) -> None:
+def _write_private(path: str, data: Iterable[bytes]) -> None:
     here = local(path)
     with writing(path) as write:
         if here is not None:
             os.chmod(f"{here}.part", 0o600)
-        write(data)
+        for piece in data:
+            write(piece)
 
 
 def write_ranks(path: str, offsets: DataFrame, ranks: DataFrame) -> str:
     """``.rank`` sidecar beside the archive: ranks in footer order; a word without a rank is an error."""
-    joined = footer_order(offsets.select("b", "length", "offset")).join(ranks.select("b", "rank").distinct(), "b", "left")
+    numbered = footer_order(offsets.select("b", "length", "offset"))
+    joined = stash(numbered.join(dealt(ranks.select("b", "rank").distinct()), "b", "left").select("rn", "b", "rank"), "ranks")
     missing = joined.where("rank is null").head(1)
     if missing:
         raise ArchiveError(f"no rank for {missing[0]['b']!r}")
     out = sidecar_path(path, ".rank")
-    _write_private(out, b"".join(encode_ranks([r["rank"]]) for r in joined.select("rn", "rank").orderBy("rn").toLocalIterator()))
+    _write_private(out, in_blocks(joined.select("rn", "rank"), _rank_bytes, joined.count()))
     return out
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column(0):
+            ranks = np.array(decode_ranks(data.as_py()), np.int64)
+            for at in range(0, len(ranks), BLOCK):
+                part = ranks[at : at + BLOCK]
+                yield pa.record_batch({"place": pa.array(np.arange(at, at + len(part)), pa.int64()), "rank": pa.array(part, pa.int64())})
+
+
+def read_ranks(spark: SparkSession, path: str) -> DataFrame:
+    """(place, rank): a ``.rank`` sidecar, decoded by one task in blocks."""
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_places, "place long, rank long")
+
+
 def write_metadata(path: str, source: str) -> str:
     """``.json`` sidecar: a byte copy of ``source``."""
     out = sidecar_path(path, ".json")
-    _write_private(out, read_bytes(source))
+    _write_private(out, [read_bytes(source)])
     return out
 
 
 def write_result(path: str, text: str) -> None:
-    _write_private(path, text.encode())
+    _write_private(path, [text.encode()])
 
 
 def archive_size(lengths: np.ndarray, offsets: np.ndarray, payload: int) -> int:

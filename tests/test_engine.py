@@ -382,3 +382,43 @@ def test_stashed_tables_can_be_cleared(spark):
     assert os.path.isdir(path)
     stash.clear(spark)
     assert not os.path.isdir(path)
+
+
+def test_no_table_of_the_data_is_broadcast_and_the_payload_comes_in_stretches(corpus):
+    built = build_dictionary(corpus([f"Customer#{i:09d}" for i in range(3000)]))
+    plans = [built.lines(), survivors(built.offsets.select("id", "b")), islands(built.offsets.select("id", "b"), 3)]
+    for df in plans:
+        df.count()
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    pieces = list(built.payload())
+    assert b"".join(pieces) == b"".join(b"Customer#%09d" % i for i in range(3000)) and len(pieces) <= 4
+
+
+def test_footer_over_several_blocks(spark, corpus, tmp_path, monkeypatch):
+    from lexiloom.sources import archive
+
+    monkeypatch.setattr(archive, "BLOCK", 7)
+    monkeypatch.setattr(archive, "AT_ONCE", 2)
+    monkeypatch.setattr(archive, "SPAN", 50)
+    words = random_words(200, 3, "abcdef", 6) + ["", "é", "long" * 20]
+    for ordered in (True, False):
+        path = str(tmp_path / str(ordered))
+        build_dictionary(corpus(words), ordered=ordered).write(path)
+        with open(path, "rb") as f:
+            got = [b for b, _, _ in decode_archive(f.read())[2]]
+        raw = [w.encode() for w in words]
+        assert got == raw if ordered else sorted(got) == sorted(set(raw) - {b""})
+
+
+def test_rank_sidecar_over_several_blocks(spark, corpus, tmp_path, monkeypatch):
+    from lexiloom.sources import archive
+
+    monkeypatch.setattr(archive, "BLOCK", 5)
+    words = sorted(set(random_words(60, 4, "abcdef", 6)))
+    ranked = corpus(words).withColumn("rank", F.lit(2**32 - 1) - F.col("line_no"))
+    path = str(tmp_path / "r.bin")
+    built = build_dictionary(ranked)
+    built.write(path)
+    got = [r["rank"] for r in archive.read_ranks(spark, str(tmp_path / "r.rank")).orderBy("place").collect()]
+    order = built.offsets.orderBy("length", "offset").collect()
+    assert got == [2**32 - 1 - words.index(r["b"]) for r in order]
