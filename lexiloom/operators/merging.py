@@ -15,7 +15,7 @@ from lexiloom.operators.assembly import Options
 from lexiloom.operators.containment import first_occurrences
 from lexiloom.operators.kernels.paths import overlap
 from lexiloom.plans.build import Dictionary, build_dictionary
-from lexiloom.plans.stash import stash
+from lexiloom.plans.stash import dealt, stash
 from lexiloom.sources.archive import payload_table, read_archive, read_header, write_archive
 from lexiloom.sources.codecs import HEADER_BYTES
 from lexiloom.sources.files import read_range
@@ -31,8 +31,8 @@ def split_update(words: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     distinct = words.groupBy("b").agg(F.min("line_no").alias("id"))
     hits = first_occurrences(distinct, chunks).select("id", (F.col("hid") + F.col("pos")).alias("offset"))
-    found = distinct.join(hits, "id", "left").select("b", F.when(F.length("b") == 0, F.lit(0)).otherwise(F.col("offset")).cast("long").alias("offset"))
-    return words.join(found, "b", "left")
+    found = distinct.join(dealt(hits), "id", "left").select("b", F.when(F.length("b") == 0, F.lit(0)).otherwise(F.col("offset")).cast("long").alias("offset"))
+    return words.join(dealt(found), "b", "left")
 
 
 @dataclass
@@ -82,7 +82,7 @@ def merge_archives(spark: SparkSession, primary: str, update: str) -> Merge:
     shared = overlap(tail, ahead)
     shift = payload - shared
     gone = parted.where("offset is not null").groupBy("b").agg(F.min("line_no").alias("line_no"), F.first("offset").alias("offset"))
-    new = parted.where("offset is null").select("line_no", "b").join(inner.offsets.select("b", F.col("offset").alias("o")), "b").select("line_no", "b", (F.col("o") + shift).alias("offset"))
+    new = parted.where("offset is null").select("line_no", "b").join(dealt(inner.offsets.select("b", F.col("offset").alias("o"))), "b").select("line_no", "b", (F.col("o") + shift).alias("offset"))
     ranked = (
         first.select(F.lit(0).alias("src"), F.col("ordinal").alias("at"), "b", "offset")
         .unionByName(gone.select(F.lit(1).alias("src"), F.col("line_no").alias("at"), "b", "offset"))
@@ -90,5 +90,5 @@ def merge_archives(spark: SparkSession, primary: str, update: str) -> Merge:
     )
     best = ranked.groupBy("b").agg(F.min_by("offset", F.struct("src", "at")).alias("offset"))
     order = (F.col("src").cast("long") * (1 << 55) + F.col("at")).alias("line_no")
-    lines = ranked.select(order, "b").join(best, "b").select("line_no", "b", F.length("b").cast("long").alias("length"), "offset")
+    lines = ranked.select(order, "b").join(dealt(best), "b").select("line_no", "b", F.length("b").cast("long").alias("length"), "offset")
     return Merge(primary, payload, inner, shared, stash(lines, "merged"), head.ordered and other.ordered, head.separator)
