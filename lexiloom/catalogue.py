@@ -5,7 +5,6 @@ Every query runs over its whole table.  Byte strings are returned as upper-case
 
 from __future__ import annotations
 
-import base64
 import uuid
 from collections.abc import Callable
 
@@ -17,8 +16,7 @@ from lexiloom.operators import assembly, containment, layout, membership, mergin
 from lexiloom.operators.kernels.genetic import Settings
 from lexiloom.plans.build import Dictionary, build_dictionary
 from lexiloom.plans.stash import shared_dir, stash
-from lexiloom.sources import archive, files, text
-from lexiloom.sources.codecs import decode_ranks
+from lexiloom.sources import archive, text
 
 POSITIONS = 1 << 21
 #: The vocabularies of these queries are small: so many links find their islands in one task, as a caller of the engine may ask for.
@@ -284,18 +282,14 @@ def merge_ordered(spark, sf_dir):
 
 def tokenizer_ranks(spark, sf_dir):
     path = work_file(spark, "customers.tiktoken")
-    rows = names_of_customers(spark, sf_dir).orderBy("line_no").toLocalIterator()
-    with files.writing(path) as write:
-        for r in rows:
-            write(base64.b64encode(r["b"].encode("latin-1")) + b" %d\n" % r["line_no"])
+    text.write_tokenizer(path, names_of_customers(spark, sf_dir).withColumn("rank", F.col("line_no")))
     return text.read_tokenizer(spark, path).select(to_text(F.col("b")).alias("word"), "rank")
 
 
 def rank_sidecar(spark, sf_dir):
     corpus = names_of_customers(spark, sf_dir).withColumn("rank", F.col("line_no"))
     path = _written(spark, build_dictionary(corpus), "ranks.bin")
-    ranks = decode_ranks(files.read_bytes(archive.sidecar_path(path, ".rank")))
-    return spark.createDataFrame(list(enumerate(ranks)), "place long, rank long")
+    return archive.read_ranks(spark, archive.sidecar_path(path, ".rank"))
 
 
 def compression_ratio(spark, sf_dir):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.functions.bytesview import from_binary, from_text
+from lexiloom.functions.bytesview import from_binary, from_text, to_binary
 from lexiloom.plans.running import running
+from lexiloom.plans.stash import dealt, stash
+from lexiloom.sources.archive import in_blocks
+from lexiloom.sources.files import writing
 
 _BASE64 = r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
 
@@ -52,6 +56,20 @@ def corpus_of(df: DataFrame, order: str, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).select(F.col(order).cast("long").alias("line_no"), from_text(F.col(column)).alias("b"))
 
 
+def _joined(key: tuple, table: pa.Table) -> pa.Table:
+    data = "".join(table.sort_by("rn")["line"].to_pylist()).encode()
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([data], pa.binary())})
+
+
+def write_tokenizer(path: str, corpus: DataFrame) -> None:
+    """Lines of ``base64 rank`` from a corpus (line_no, b, rank), in the order of its lines."""
+    line = F.concat(F.regexp_replace(F.base64(to_binary(F.col("b"))), r"\s", ""), F.lit(" "), F.col("rank").cast("string"), F.lit("\n")).alias("line")
+    rows = stash(running(corpus.select("line_no", line), [F.col("line_no")], out="rn").select("rn", "line"), "tokens")
+    with writing(path) as write:
+        for piece in in_blocks(rows, _joined, rows.count()):
+            write(piece)
+
+
 def read_tokenizer(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, b, rank) from lines of ``base64 rank``; blank lines are skipped, a broken line raises with its number.
 
@@ -66,4 +84,4 @@ def read_tokenizer(spark: SparkSession, path: str) -> DataFrame:
         raise ScanError(f"line {bad[0]['n']}: expected base64 and a 32-bit rank")
     read = rows.select(F.col("n").alias("line_no"), from_binary(F.unbase64("code")).alias("b"), F.col("r").cast("long").alias("rank"))
     last = read.groupBy("b").agg(F.max_by("rank", "line_no").alias("rank"))
-    return read.select("line_no", "b").join(last, "b").select("line_no", "b", "rank")
+    return read.select("line_no", "b").join(dealt(last), "b").select("line_no", "b", "rank")
