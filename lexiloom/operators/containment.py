@@ -3,16 +3,23 @@
 ``contains`` as a join condition plans as a nested loop.  Here every substring of a short haystack is a join key; a long one
 (over ``SHORT`` bytes) is keyed by its ``GRAM``-byte runs instead, which grow with its length and not with the square of it.  A
 needle then asks by its rarest run and is verified at the place found; needles below ``GRAM`` bytes are keys themselves.
+Runs are looked up in a bitmap where they stand, so those of no needle never become rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.plans.stash import dealt
+from lexiloom.plans.stash import dealt, stash
 
 SHORT, GRAM, PIECE = 24, 8, 256
+#: Bits of a run's slot; bytes scanned at once; bytes on both sides that a found run brings along at most; found runs in a batch.
+SLOT_BITS, STRETCH, AROUND, PER_BATCH = 22, 1 << 20, 512, 20_000
 
 
 def _numbers(first: Column, last: Column) -> Column:
@@ -33,6 +40,125 @@ def _substrings(hay: DataFrame, proper: bool = False) -> DataFrame:
     return subs.select("hid", "p", F.substring(F.col("h"), F.col("p"), F.col("n")).alias("b"))
 
 
+def _slots(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The GRAM-byte runs that start at each byte of ``buf`` as integers, and their slots."""
+    grams = np.lib.stride_tricks.as_strided(buf[:GRAM].view("<u8"), (len(buf) - GRAM + 1,), (1,)).copy()
+    return grams, (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _scan(texts: list[bytes], marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text number, place from 0, mark) of the runs whose slot has a mark of 0 or more, a stretch at a time."""
+    ends = np.cumsum([len(t) for t in texts])
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    for at in range(0, len(buf) - GRAM + 1, STRETCH):
+        mark = marks[_slots(buf[at : at + STRETCH + GRAM - 1])[1]]
+        hit = np.flatnonzero(mark >= 0)
+        row = np.searchsorted(ends, hit + at, side="right")
+        inside = hit + at + GRAM <= ends[row]
+        hit, row = hit[inside], row[inside]
+        yield row, hit + at - np.where(row > 0, ends[row - 1], 0), mark[hit]
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, b) to (id, o, g, slot): every run of each needle with its place from 1."""
+    for batch in batches:
+        for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            n = len(text) - GRAM + 1
+            slots = _slots(np.frombuffer(text.encode("latin-1"), np.uint8))[1]
+            yield pa.record_batch({"id": pa.array([ident] * n, pa.int64()), "o": pa.array(np.arange(1, n + 1), pa.int32()), "g": pa.array([text[o : o + GRAM] for o in range(n)], pa.string()), "slot": pa.array(slots, pa.int64())})
+
+
+def _bits(key: tuple, table: pa.Table) -> pa.Table:
+    own = np.zeros(1 << 16, np.uint8)
+    own[table["slot"].to_numpy() & 0xFFFF] = 1
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
+
+
+def _bitmap(slots: DataFrame) -> np.ndarray:
+    """Packed bits of the slots; half a megabyte, however many needles there are."""
+    parts = slots.select("slot").distinct().groupBy(F.shiftright("slot", 16).alias("part")).applyInArrow(_bits, "part long, bits binary").collect()
+    out = np.zeros((1 << (SLOT_BITS - 16), 1 << 13), np.uint8)
+    for r in parts:
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _marks(bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots in use, and the number of each slot among them, else -1."""
+    used = np.flatnonzero(np.unpackbits(bitmap))
+    marks = np.full(1 << SLOT_BITS, -1, np.int32)
+    marks[used] = np.arange(len(used))
+    return used, marks
+
+
+def _counted(bitmap: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used, marks = _marks(bitmap)
+        counts, held, size = np.zeros(len(used), np.int64), [], 0
+        for batch in batches:
+            for _, _, mark in _scan([t.encode("latin-1") for t in batch.column(0).to_pylist()], marks):
+                held.append(mark)
+                size += len(mark)
+                if size > max(len(used), STRETCH):
+                    counts += np.bincount(np.concatenate(held), minlength=len(used))
+                    held, size = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=len(used))
+        some = np.flatnonzero(counts)
+        yield pa.record_batch({"slot": pa.array(used[some], pa.int64()), "c": pa.array(counts[some], pa.int64())})
+
+    return run
+
+
+def _seen(bitmap: np.ndarray, around: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = _marks(bitmap)[1]
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for row, place, _ in _scan([t.encode("latin-1") for t in texts], marks):
+                for at in range(0, len(row), PER_BATCH):
+                    some = list(zip(row[at : at + PER_BATCH].tolist(), place[at : at + PER_BATCH].tolist(), strict=True))
+                    yield pa.record_batch(
+                        {
+                            "hid": pa.array([ids[r] for r, _ in some], pa.int64()),
+                            "p": pa.array([p + 1 for _, p in some], pa.int32()),
+                            "g": pa.array([texts[r][p : p + GRAM] for r, p in some], pa.string()),
+                            "left": pa.array([min(p, around) for _, p in some], pa.int32()),
+                            "win": pa.array([texts[r][max(0, p - around) : p + around] for r, p in some], pa.string()),
+                        }
+                    )
+
+    return run
+
+
+def _by_seeds(needles: DataFrame, far: DataFrame) -> DataFrame:
+    """(id, hid, pos) of needles of GRAM bytes or more.
+
+    The haystacks are read twice: runs that share a slot with one of the needles' are counted, so each needle has its rarest run, its seed;
+    then only the seeds leave the scan, with the bytes around them.  Slots that several runs share cost comparisons and no result.
+    """
+    longest = needles.agg(F.max(F.length("b")).alias("n")).first()["n"]
+    if longest is None:
+        return needles.select("id", F.lit(0).cast("long").alias("hid"), F.lit(0).alias("pos"))
+    around = max(GRAM, min(AROUND, longest))
+    far = far.select("hid", "h")
+    asked = stash(needles.select(F.col("id").cast("long").alias("id"), "b").mapInArrow(_grams, "id long, o int, g string, slot long"), "grams")
+    counts = far.select("h").mapInArrow(_counted(_bitmap(asked)), "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c"))
+    best = asked.join(dealt(counts), "slot").groupBy("id").agg(F.min(F.struct("c", "o", "g", "slot")).alias("x"))
+    seeds = stash(best.join(dealt(needles), "id").select("id", "b", "x.o", "x.g", "x.slot"), "seeds")
+    found = far.select(F.col("hid").cast("long").alias("hid"), "h").mapInArrow(_seen(_bitmap(seeds), around), "hid long, p int, g string, left int, win string")
+    hits = found.join(dealt(seeds), "g").withColumn("s", F.col("p") - F.col("o") + 1).where("s > 0")
+    # the part of the needle that the window shows; of a longer needle, the rest is compared in the haystack
+    skip = F.greatest(F.col("o") - 1 - F.col("left"), F.lit(0))
+    shown = F.substring(F.col("b"), skip + 1, F.col("o") - 1 + around - skip)
+    same = hits.where(F.substring(F.col("win"), F.col("left") - F.col("o") + 2 + skip, F.length(shown)) == shown).withColumn("whole", F.length(shown) == F.length("b"))
+    done = same.where("whole").select("id", "hid", (F.col("s") - 1).alias("pos"))
+    if longest <= around:
+        return done
+    open_ = same.where("not whole").select("id", "hid", "s", "b").join(dealt(far), "hid")
+    return done.unionByName(open_.where(F.substring(F.col("h"), F.col("s"), F.length("b")) == F.col("b")).select("id", "hid", (F.col("s") - 1).alias("pos")))
+
+
 def _in_long(needles: DataFrame, hay: DataFrame) -> DataFrame:
     """(id, hid, pos) in haystacks of over SHORT bytes."""
     far = hay.where(F.length("h") > SHORT)
@@ -47,17 +173,11 @@ def _in_long(needles: DataFrame, hay: DataFrame) -> DataFrame:
     place = (F.col("i") * PIECE + F.col("x.p")).alias("p")
     tiny = needles.where(F.length("b") < GRAM)
     sizes = sorted(r["n"] for r in tiny.select(F.length("b").alias("n")).distinct().collect())  # at most GRAM - 1 numbers
+    if not sizes:
+        return _by_seeds(needles, far)
     some = F.flatten(F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), runs))
     short = pieces.select("hid", "i", F.explode(some).alias("x")).select("hid", place, "x.b").join(dealt(tiny), "b").select("id", "hid", (F.col("p") - 1).alias("pos"))
-
-    asked = needles.where(F.length("b") >= GRAM).select("id", "b", F.explode(_numbers(F.lit(1), F.length("b") - GRAM + 1)).alias("o")).select("id", F.col("o"), F.substring(F.col("b"), F.col("o"), F.lit(GRAM)).alias("g"))
-    every = pieces.select("hid", "i", F.explode(runs(F.lit(GRAM))).alias("x")).select("hid", place, F.col("x.b").alias("g"))
-    grams = every.join(asked.select("g").distinct(), "g")
-    counts = grams.groupBy("g").agg(F.count("*").alias("c"))
-    rarest = asked.join(counts, "g", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "o", "g")).alias("x")).where("x.c > 0").select("id", F.col("x.o").alias("o"), F.col("x.g").alias("g"))
-    hits = grams.join(rarest, "g").select("id", "hid", (F.col("p") - F.col("o") + 1).alias("p")).where("p > 0")
-    long = hits.join(needles, "id").join(far, "hid").where(F.substring(F.col("h"), F.col("p"), F.length("b")) == F.col("b")).select("id", "hid", (F.col("p") - 1).alias("pos"))
-    return short.unionByName(long)
+    return short.unionByName(_by_seeds(needles.where(F.length("b") >= GRAM), far))
 
 
 def _any_long(hay: DataFrame) -> bool:

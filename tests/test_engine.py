@@ -422,3 +422,18 @@ def test_rank_sidecar_over_several_blocks(spark, corpus, tmp_path, monkeypatch):
     got = [r["rank"] for r in archive.read_ranks(spark, str(tmp_path / "r.rank")).orderBy("place").collect()]
     order = built.offsets.orderBy("length", "offset").collect()
     assert got == [2**32 - 1 - words.index(r["b"]) for r in order]
+
+
+def test_runs_of_no_needle_never_become_rows(spark):
+    """Needles in haystacks of some stretches, at their borders, across haystacks, and longer than the window of a found run."""
+    from lexiloom.operators import containment
+
+    rng = random.Random(11)
+    hay = {i: "".join(rng.choice("abcdefgh") for _ in range(n)) for i, n in enumerate((30, 5000, 1_100_000, 40))}
+    big = hay[2]
+    needles = {100: big[:9], 101: big[-8:], 102: big[(1 << 20) - 2000 : (1 << 20) + 900], 103: hay[1][10:1500] + "X", 104: hay[0][-4:] + hay[1][:4] + "zz", 105: hay[1][1000:1020], 106: big[500:2500]}
+    want = {(i, h, t.find(n)) for i, n in needles.items() for h, t in hay.items() if n in t}
+    got = occurrences(spark.createDataFrame(list(needles.items()), "id long, b string"), spark.createDataFrame(list(hay.items()), "hid long, h string"))
+    assert {tuple(r) for r in got.select("id", "hid", "pos").collect()} == want and len(want) >= 5
+    scan = containment._seen(containment._bitmap(spark.createDataFrame([(-1,)], "slot long").where("slot >= 0")), 8)
+    assert spark.createDataFrame(list(hay.items()), "hid long, h string").mapInArrow(scan, "hid long, p int, g string, left int, win string").count() == 0
