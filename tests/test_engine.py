@@ -15,6 +15,7 @@ from lexiloom.operators.merging import merge_archives, split_update
 from lexiloom.operators.overlaps import islands, overlap_pairs
 from lexiloom.operators.vocabulary import distinct_first
 from lexiloom.plans.build import build_dictionary
+from lexiloom.plans.stash import stash
 from lexiloom.sources.archive import payload_table, read_archive, read_payload, write_archive
 from lexiloom.sources.codecs import decode_archive
 from lexiloom.sources.text import ScanError, read_separated, read_tokenizer
@@ -437,3 +438,19 @@ def test_runs_of_no_needle_never_become_rows(spark):
     assert {tuple(r) for r in got.select("id", "hid", "pos").collect()} == want and len(want) >= 5
     scan = containment._seen(containment._bitmap(spark.createDataFrame([(-1,)], "slot long").where("slot >= 0")), 8)
     assert spark.createDataFrame(list(hay.items()), "hid long, h string").mapInArrow(scan, "hid long, p int, g string, left int, win string").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 5, 40, 10**6])
+def test_strongest_pairs_list_no_others(corpus, n):
+    from lexiloom.operators.overlaps import strongest_pairs
+
+    words = stash(distinct_first(corpus(random_words(50, 9, "ab", 12) + ["aaaaaa", "aaaa", "abababab", ""])), "words")
+    rows = [(r["id"], r["b"].encode()) for r in words.collect()]
+    want = sorted(((i, j, o) for i, a in rows for j, b in rows if i != j and (o := overlap(a, b)) >= 2), key=lambda x: (-x[2], x[0], x[1]))[:n]
+    assert [tuple(r) for r in strongest_pairs(words, 2, n).collect()] == want
+
+
+def test_overlap_pairs_are_not_gathered(corpus):
+    plan = overlap_pairs(stash(distinct_first(corpus(["abcabc", "bcabcd", "cabcdd"])), "words"), 2)
+    assert "Aggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in plan.collect()} == {(0, 1, 5), (0, 2, 4), (1, 2, 5)}
