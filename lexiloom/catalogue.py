@@ -103,8 +103,8 @@ def overlap_pairs_k8(spark, sf_dir):
 
 
 def strongest_overlaps(spark, sf_dir):
-    vocab = vocabulary.distinct_first(words_of_documents(spark, sf_dir))
-    return overlaps.strongest_overlaps(overlaps.overlap_pairs(vocab, 8), 100).select("u", "v", F.col("ov").cast("long").alias("ov"))
+    vocab = stash(vocabulary.distinct_first(words_of_documents(spark, sf_dir)), "vocabulary")
+    return overlaps.strongest_pairs(vocab, 8, 100).select("u", "v", F.col("ov").cast("long").alias("ov"))
 
 
 def _part_islands(spark, sf_dir):
