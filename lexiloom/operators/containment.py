@@ -46,26 +46,58 @@ def _slots(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams, (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _scan(texts: list[bytes], marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text number, place from 0, mark) of the runs whose slot has a mark of 0 or more, a stretch at a time."""
+def _scan(texts: list[bytes], marks: np.ndarray, slots: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text number, place from 0, mark or slot) of the runs whose slot has a mark of 0 or more, a stretch at a time."""
     ends = np.cumsum([len(t) for t in texts])
     buf = np.frombuffer(b"".join(texts), np.uint8)
     for at in range(0, len(buf) - GRAM + 1, STRETCH):
-        mark = marks[_slots(buf[at : at + STRETCH + GRAM - 1])[1]]
+        slot = _slots(buf[at : at + STRETCH + GRAM - 1])[1]
+        mark = marks[slot]
         hit = np.flatnonzero(mark >= 0)
         row = np.searchsorted(ends, hit + at, side="right")
         inside = hit + at + GRAM <= ends[row]
         hit, row = hit[inside], row[inside]
-        yield row, hit + at - np.where(row > 0, ends[row - 1], 0), mark[hit]
+        yield row, hit + at - np.where(row > 0, ends[row - 1], 0), (slot if slots else mark)[hit]
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, b) to (id, o, g, slot): every run of each needle with its place from 1."""
+def _grams(bitmap: np.ndarray):
+    """(id, b) to (id, o, g, slot): every run with its place from 1 of each needle whose runs all have their slot in the haystacks' ``bitmap``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(bitmap).astype(bool)
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            if not texts:
+                continue
+            sizes = np.array([len(t) for t in texts])
+            starts = np.cumsum(sizes) - sizes
+            slots = _slots(np.frombuffer("".join(texts).encode("latin-1"), np.uint8))[1]
+            n = sizes - GRAM + 1
+            row = np.repeat(np.arange(len(texts)), n)
+            o = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            own = slots[starts[row] + o]
+            keep = ~np.isin(row, row[~known[own]])
+            row, o, own = row[keep], o[keep], own[keep]
+            grams = [texts[r][k : k + GRAM] for r, k in zip(row.tolist(), o.tolist(), strict=True)]
+            yield pa.record_batch({"id": pa.array(ids[row], pa.int64()), "o": pa.array(o + 1, pa.int32()), "g": pa.array(grams, pa.string()), "slot": pa.array(own, pa.int64())})
+
+    return run
+
+
+def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slots of all runs of the haystacks, as packed parts of a bitmap."""
+    seen, every = np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(1 << SLOT_BITS, np.int32)
     for batch in batches:
-        for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n = len(text) - GRAM + 1
-            slots = _slots(np.frombuffer(text.encode("latin-1"), np.uint8))[1]
-            yield pa.record_batch({"id": pa.array([ident] * n, pa.int64()), "o": pa.array(np.arange(1, n + 1), pa.int32()), "g": pa.array([text[o : o + GRAM] for o in range(n)], pa.string()), "slot": pa.array(slots, pa.int64())})
+        for _, _, slots in _scan([t.encode("latin-1") for t in batch.column(0).to_pylist()], every, True):
+            seen[slots] = 1
+    bits = np.packbits(seen).reshape(-1, 1 << 13)
+    some = np.flatnonzero(bits.any(axis=1))
+    yield pa.record_batch({"part": pa.array(some, pa.int64()), "bits": pa.array([bits[k].tobytes() for k in some], pa.binary())})
+
+
+def _either(key: tuple, table: pa.Table) -> pa.Table:
+    bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table["bits"].to_pylist()])
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
 
 def _bits(key: tuple, table: pa.Table) -> pa.Table:
@@ -76,9 +108,12 @@ def _bits(key: tuple, table: pa.Table) -> pa.Table:
 
 def _bitmap(slots: DataFrame) -> np.ndarray:
     """Packed bits of the slots; half a megabyte, however many needles there are."""
-    parts = slots.select("slot").distinct().groupBy(F.shiftright("slot", 16).alias("part")).applyInArrow(_bits, "part long, bits binary").collect()
+    return _whole(slots.select("slot").distinct().groupBy(F.shiftright("slot", 16).alias("part")).applyInArrow(_bits, "part long, bits binary"))
+
+
+def _whole(parts: DataFrame) -> np.ndarray:
     out = np.zeros((1 << (SLOT_BITS - 16), 1 << 13), np.uint8)
-    for r in parts:
+    for r in parts.collect():
         out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
@@ -134,15 +169,16 @@ def _seen(bitmap: np.ndarray, around: int):
 def _by_seeds(needles: DataFrame, far: DataFrame) -> DataFrame:
     """(id, hid, pos) of needles of GRAM bytes or more.
 
-    The haystacks are read twice: runs that share a slot with one of the needles' are counted, so each needle has its rarest run, its seed;
-    then only the seeds leave the scan, with the bytes around them.  Slots that several runs share cost comparisons and no result.
+    The haystacks are read three times: a bitmap of their runs' slots leaves the needles that can stand in them; runs that share a slot with one of
+    these needles' are counted, so each needle has its rarest run, its seed; then only the seeds leave the scan, with the bytes around them.  Slots that several runs share cost comparisons and no result.
     """
     longest = needles.agg(F.max(F.length("b")).alias("n")).first()["n"]
     if longest is None:
         return needles.select("id", F.lit(0).cast("long").alias("hid"), F.lit(0).alias("pos"))
     around = max(GRAM, min(AROUND, longest))
     far = far.select("hid", "h")
-    asked = stash(needles.select(F.col("id").cast("long").alias("id"), "b").mapInArrow(_grams, "id long, o int, g string, slot long"), "grams")
+    parts = far.select("h").mapInArrow(_present, "part long, bits binary").groupBy("part").applyInArrow(_either, "part long, bits binary")
+    asked = stash(needles.select(F.col("id").cast("long").alias("id"), "b").mapInArrow(_grams(_whole(parts)), "id long, o int, g string, slot long"), "grams")
     counts = far.select("h").mapInArrow(_counted(_bitmap(asked)), "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c"))
     best = asked.join(dealt(counts), "slot").groupBy("id").agg(F.min(F.struct("c", "o", "g", "slot")).alias("x"))
     seeds = stash(best.join(dealt(needles), "id").select("id", "b", "x.o", "x.g", "x.slot"), "seeds")
