@@ -72,3 +72,9 @@ def test_stream_of_words(spark, tmp_path):
         query = stream_words(spark, source, table, mark)
         query.awaitTermination(60)
     assert sorted((r["b"], r["batch"]) for r in known_words(spark, table).collect()) == [("a", 0), ("b", 0), ("c", 1)]
+
+
+def test_both_kinds_of_archive_come_from_one_build(spark, duck, monkeypatch):
+    made = []
+    monkeypatch.setattr(catalogue, "build_dictionary", lambda *a, build=catalogue.build_dictionary, **b: made.append(1) or build(*a, **b))
+    assert sorted(r["is_ordered"] for r in catalogue.compression_ratio(spark, DATA).collect()) == [False, True] and len(made) == 1
